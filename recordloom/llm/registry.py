@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import suffix_dedup
+from . import bpe, suffix_dedup
 
 
 def queries():
-    return {"op1_suffix_dedup": suffix_dedup.op1_suffix_dedup}
+    return {"op1_suffix_dedup": suffix_dedup.op1_suffix_dedup, "op2_bpe": bpe.op2_bpe}
 
 
 def oracle_sql():
