@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, suffix_dedup
+from . import bpe, order_minhash, suffix_dedup
 
 
 def queries():
-    return {"op1_suffix_dedup": suffix_dedup.op1_suffix_dedup, "op2_bpe": bpe.op2_bpe}
+    return {"op1_suffix_dedup": suffix_dedup.op1_suffix_dedup, "op2_bpe": bpe.op2_bpe, "op7_order_minhash": order_minhash.op7_order_minhash}
 
 
 def oracle_sql():
