@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, near_dedup, order_minhash, suffix_dedup, toxicity
+from . import bpe, mixing, near_dedup, order_minhash, suffix_dedup, toxicity, warc
 
 
 def queries():
-    return {"op1_suffix_dedup": suffix_dedup.op1_suffix_dedup, "op2_bpe": bpe.op2_bpe, "op8_near_dedup": near_dedup.op8_near_dedup, "op7_order_minhash": order_minhash.op7_order_minhash, "op10_toxicity": toxicity.op10_toxicity}
+    return {"op1_suffix_dedup": suffix_dedup.op1_suffix_dedup, "op2_bpe": bpe.op2_bpe, "op8_near_dedup": near_dedup.op8_near_dedup, "op4_warc": warc.op4_warc, "op6_mixing": mixing.op6_mixing, "op7_order_minhash": order_minhash.op7_order_minhash, "op10_toxicity": toxicity.op10_toxicity}
 
 
 def oracle_sql():
-    return {}
+    return {"op6_mixing": mixing.ORACLE}
