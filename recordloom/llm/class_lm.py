@@ -184,12 +184,18 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) ->
     return of[:words]
 
 
-REDUCED = "doc_id long, train boolean, n_tokens long, n_known long, log_counts double, codes array<int>, times array<int>, kinds array<long>"
+REDUCED = "doc_id long, train boolean, n_tokens long, n_known long, log_counts double, codes array<int>, times array<int>, kinds array<long>, masses array<long>, moves array<long>"
+
+
+def _classes(symbols: np.ndarray, counts: np.ndarray, exchanged: np.ndarray) -> np.ndarray:
+    """Class of each word: the exchanged words' own, for others by the size of the count, zero for unseen."""
+    by_count = CLASSES + np.where(counts > 0, np.minimum(1 + np.floor(np.log2(np.maximum(counts, 1))).astype(np.int64), BY_COUNT), 0)
+    return np.where(symbols < len(exchanged), np.append(exchanged, 0)[symbols], by_count).astype(np.int64)
 
 
 def _reduce(names, classes):
     def run(docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        columns = ["doc_id", "train", "n_tokens", "n_known", "log_counts", "codes", "times", "kinds"]
+        columns = ["doc_id", "train", "n_tokens", "n_known", "log_counts", "codes", "times", "kinds", "masses", "moves"]
         if not len(docs):
             return pd.DataFrame(columns=columns)
         ids, train, texts = _texts(docs)
@@ -201,10 +207,17 @@ def _reduce(names, classes):
         new = np.concatenate([np.unpackbits(np.frombuffer(C.unpack(x), np.uint8))[:n] for x, n in zip(parts["new"], sizes)]).astype(bool) if sizes else np.zeros(0, bool)
         own = names.value
         s = _symbols(own, words)
-        by_count = CLASSES + np.where(totals > 0, np.minimum(1 + np.floor(np.log2(np.maximum(totals, 1))).astype(np.int64), BY_COUNT), 0)
-        kind = np.where(s < len(own), np.append(classes.value, 0)[s], by_count).astype(np.int64)
-        # Distinct known words of each class that this block is the first to name.
-        kinds = np.bincount(kind[new & (totals > 0)], minlength=TOTAL)
+        kind, left_out = _classes(s, totals, classes.value), _classes(s, totals - 1, classes.value)
+        # Distinct known words of each class that this block is the first to name, and their tokens.
+        first_named = new & (totals > 0)
+        kinds = np.bincount(kind[first_named], minlength=TOTAL)
+        masses = np.bincount(kind[first_named], weights=totals[first_named], minlength=TOTAL).astype(np.int64)
+        # Class transitions of the block's training texts, each word counted as if its own occurrence were not there:
+        # what is seen once teaches how often unseen words come.
+        line = np.insert(left_out[code], first, END)
+        inside = np.insert(np.repeat(train, np.diff(first)), first, np.append(train, False))
+        inside = inside[:-1]  # a pair belongs to the text that its first symbol, or the end before it, opens
+        moves = np.bincount((line[:-1] * TOTAL + line[1:])[inside], minlength=TOTAL * TOTAL)
         logs = np.log10(totals + ADD)[code]
         seq = kind[code]
         known = (totals > 0)[code]
@@ -215,7 +228,7 @@ def _reduce(names, classes):
             line[0] = line[-1] = END
             line[1:-1] = seq[a:b]
             pairs, times = np.unique(line[:-1] * TOTAL + line[1:], return_counts=True)
-            rows.append((None if pd.isna(doc) else int(doc), bool(train[i]), int(b - a) + 1, int(known[a:b].sum()), float(logs[a:b].sum()), pairs.astype(np.int32), times.astype(np.int32), kinds if i == 0 else None))
+            rows.append((None if pd.isna(doc) else int(doc), bool(train[i]), int(b - a) + 1, int(known[a:b].sum()), float(logs[a:b].sum()), pairs.astype(np.int32), times.astype(np.int32), *((kinds, masses, moves) if i == 0 else (None, None, None))))
         return pd.DataFrame(rows, columns=columns)
 
     return run
@@ -236,19 +249,19 @@ def totals(reduced: DataFrame) -> Totals:
     own = reduced.where("train")
     head = own.agg(F.sum("n_tokens"), F.count("*")).first()
     tokens, ends = int(head[0] or 0), int(head[1])
-    moves = np.zeros((TOTAL, TOTAL))
-    for r in own.select(F.explode(F.arrays_zip("codes", "times")).alias("x")).groupBy("x.codes").agg(F.sum("x.times").alias("n")).collect():
-        moves[r["codes"] // TOTAL, r["codes"] % TOTAL] = r["n"]
-    kinds = np.zeros(TOTAL)
-    for r in reduced.where("kinds is not null").select(F.posexplode("kinds").alias("k", "n")).groupBy("k").agg(F.sum("n").alias("n")).collect():
-        kinds[r["k"]] = r["n"]
-    kinds[END] = min(ends, 1)
+    sums = {}
+    for c, size in (("kinds", TOTAL), ("masses", TOTAL), ("moves", TOTAL * TOTAL)):
+        sums[c] = np.zeros(size)
+        for r in reduced.where(F.col(c).isNotNull()).select(F.posexplode(c).alias("k", "n")).where("n > 0").groupBy("k").agg(F.sum("n").alias("n")).collect():
+            sums[c][r["k"]] = r["n"]
+    moves, kinds, masses = sums["moves"].reshape(TOTAL, TOTAL), sums["kinds"], sums["masses"]
+    kinds[END], masses[END] = min(ends, 1), ends
     distinct = int(kinds.sum())
     after, mass = moves.sum(1), moves.sum(0)
     unigram = (mass + ADD) / (mass.sum() + ADD * TOTAL)
     chance = (moves + BACKOFF * unigram[None, :]) / (after[:, None] + BACKOFF)
-    # P(word | class) = (c + 0.5) / (tokens of the class + 0.5 * (its words + 1)); unseen words share one slot.
-    return Totals(tokens, distinct, ends, np.log10(chance) - np.log10(mass + ADD * (kinds + 1))[None, :])
+    # P(word | class) = (c + 0.5) / sum of the same over the class's words; unseen words are one word.
+    return Totals(tokens, distinct, ends, np.log10(chance) - np.log10(masses + ADD * np.maximum(kinds, 1))[None, :])
 
 
 def class_scores(docs: DataFrame) -> DataFrame:
