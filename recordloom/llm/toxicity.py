@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from . import common as C
 
 #: Documented bound of the training sample: labelled documents, those with the smallest hashes of their ids.
-SAMPLE = 20_000
+SAMPLE = 8_000
 #: Prior weight as a share of the sample's counts, least z of a scored token, most scored tokens kept, cost of any
 #: other token.
 PRIOR, LEAST_Z, MOST_TOKENS, COST = 0.05, 4.0, 4_096, -0.15
@@ -227,6 +227,19 @@ def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "score", "predicted", "evidence", "passages")
 
 
+def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs``, all columns, that the model does not predict toxic; one pass, no shuffle."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        own = held.value
+        for pdf in batches:
+            clean = [own.probability(n, found)[0] < 0.5 for n, found in own.passages([C.as_bytes(t) for t in pdf["text"]])]
+            yield pdf[np.array(clean, bool)]
+
+    return docs.mapInPandas(run, docs.schema)
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Train on the labelled folds and score all of ``documents``."""
     docs = C.table(spark, sf_dir, "documents")
