@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,11 +53,11 @@ def input_bytes(df: DataFrame) -> int | None:
     return None if n >= _UNKNOWN_BYTES else n
 
 
-def block_count(docs: DataFrame, per_block: int = 8 << 20) -> int:
+def block_count(docs: DataFrame, per_block: int = 4 << 20) -> int:
     """Number of text blocks of about ``per_block`` stored bytes; grows with the input, without a cap."""
     n = input_bytes(docs)
     if n is None:
-        return max(1, -(-docs.count() // 2000))
+        return max(1, -(-docs.count() // 1000))
     return max(1, -(-n // per_block))
 
 
@@ -119,10 +120,10 @@ def tuple_hash(h: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def gather(texts: Iterable[bytes], limit: int = 1 << 20) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+def gather(texts: Iterable[bytes], limit: int = 1 << 17) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
     """Concatenate neighbouring texts into buffers of about ``limit`` bytes: (indices, buffer, bounds).
 
-    Whole texts only; a text above the limit has a buffer of its own.
+    Whole texts only; a text above the limit has a buffer of its own. The limit keeps 64-bit arrays in the cache.
     """
     ids: list[int] = []
     parts: list[bytes] = []
@@ -169,6 +170,15 @@ def words_of(buf: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return h, np.searchsorted(starts, bounds), starts
 
 
+def pack(data) -> bytes:
+    """Compress what is exchanged: packed arrays and front-coded runs shrink far more than the shuffle's codec does."""
+    return zstandard.ZstdCompressor(level=3).compress(bytes(data))
+
+
+def unpack(blob: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(blob)
+
+
 def as_bytes(text) -> bytes:
     """UTF-8 bytes of a text; null is the empty text."""
     return text.encode("utf-8", "surrogatepass") if isinstance(text, str) else b""

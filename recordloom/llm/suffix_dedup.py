@@ -18,6 +18,7 @@ Copies fold before they are exchanged, so a group of copies of any size costs on
 from __future__ import annotations
 
 import hashlib
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -55,8 +56,10 @@ def anchors(buf: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray
     none = np.zeros(0, np.int64), np.zeros(0, np.uint64)
     if len(buf) < LENGTH:
         return none
-    grams = np.arange(len(buf) - K + 1)
-    h = C.span_hash(C.prefix_hash(buf), grams, grams + K)
+    prefix = C.prefix_hash(buf)
+    h = prefix[K:] - prefix[:-K]
+    h *= C.powers(len(h))[1]
+    h = C.mix(h)
     least = _sliding(np.minimum, h, OFFSETS)  # by window start
     crosses = np.zeros(len(buf) + 1, np.int32)  # windows that begin fewer than LENGTH bytes before a text's end
     ends = bounds[1:]
@@ -74,7 +77,7 @@ def _block(pdf: pd.DataFrame):
     ids = np.array([NONE if pd.isna(x) else int(x) for x in pdf["doc_id"]], np.int64)
     texts = [C.as_bytes(t) for t in pdf["text"]]
     order = sorted(range(len(ids)), key=lambda i: (ids[i], texts[i]))
-    return ids[order], [texts[i] for i in order]
+    return ids[order], [texts[i] for i in order], order
 
 
 def _anchors_of_block(texts: list[bytes]):
@@ -90,7 +93,7 @@ def _send_hashes(buckets: int):
     shift = np.uint64(64 - (buckets - 1).bit_length()) if buckets > 1 else None
 
     def send(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, texts = _block(pdf)
+        ids, texts, _ = _block(pdf)
         found = [(h, ids[d]) for _, _, _, _, h, d in _anchors_of_block(texts)]
         h = np.concatenate([x[0] for x in found]) if found else np.zeros(0, np.uint64)
         d = np.concatenate([x[1] for x in found]) if found else np.zeros(0, np.int64)
@@ -166,7 +169,7 @@ def front_decode(n: int, blob: bytes) -> tuple[list[int], list[bytes]]:
 def _make_run(docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
     if not len(docs) or not len(answers):
         return pd.DataFrame(columns=["blk", "n", "run", "docs", "pos", "item", "sample"])
-    ids, texts = _block(docs)
+    ids, texts, _ = _block(docs)
     wanted = np.sort(np.concatenate([np.frombuffer(x, np.uint64) for x in answers["hashes"]]))
     keys, of, pos = [np.zeros((0, KEY), np.uint8)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     first = 0
@@ -186,7 +189,7 @@ def _make_run(docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
     keys = keys[fresh]
     least = np.minimum.reduceat(of[order], np.flatnonzero(fresh)) if len(keys) else np.zeros(0, np.int64)
     picks = np.unique(np.linspace(0, len(keys) - 1, min(len(keys), 64)).astype(int)) if len(keys) else []
-    row = (int(docs["blk"].iloc[0]), len(keys), front_code(keys), least.tobytes(), pos.astype(np.int64).tobytes(), item.tobytes(), [keys[i].tobytes() for i in picks])
+    row = (int(docs["blk"].iloc[0]), len(keys), C.pack(front_code(keys)), C.pack(least.tobytes()), C.pack(np.diff(pos, prepend=0).tobytes()), C.pack(item.tobytes()), [keys[i].tobytes() for i in picks])
     return pd.DataFrame([row], columns=["blk", "n", "run", "docs", "pos", "item", "sample"])
 
 
@@ -196,13 +199,13 @@ def _cut_runs(splitters: list[bytes]):
     def cut(batches):
         for pdf in batches:
             for blk, n, run, docs in zip(pdf["blk"], pdf["n"], pdf["run"], pdf["docs"]):
-                _, keys = front_decode(n, run)
-                docs, rows = np.frombuffer(docs, np.int64), []
+                _, keys = front_decode(n, C.unpack(run))
+                docs, rows = np.frombuffer(C.unpack(docs), np.int64), []
                 marks = np.frombuffer(b"".join(keys), np.uint8).reshape(n, KEY)
                 bounds = [0, *_bisect(keys, splitters), n]
                 for part, (i, j) in enumerate(zip(bounds[:-1], bounds[1:])):
                     if j > i:
-                        rows.append((part, blk, i, j - i, front_code(marks[i:j]), docs[i:j].tobytes()))
+                        rows.append((part, blk, i, j - i, C.pack(front_code(marks[i:j])), C.pack(docs[i:j].tobytes())))
                 yield pd.DataFrame(rows, columns=["part", "blk", "start", "n", "run", "docs"])
 
     return cut
@@ -230,20 +233,13 @@ def merge(runs: list[tuple[list[int], list[bytes]]]):
     known, place = [0] * size, [0] * size
     lens = [len(r[1]) for r in runs] + [0] * (size - count)
 
-    def differ(a: bytes, b: bytes, h: int) -> int:
-        n = min(len(a), len(b))
-        x, y = a[h:n], b[h:n]
-        if x == y:
-            return n
-        return h + len(x) - (((int.from_bytes(x, "big") ^ int.from_bytes(y, "big")).bit_length() + 7) >> 3)
-
     loser = [0] * size
 
     def build(node: int) -> int:
         if node >= size:
             return node - size
         a, b = build(2 * node), build(2 * node + 1)
-        h = differ(heads[a], heads[b], 0)
+        h = _shared(heads[a], heads[b], 0, KEY)
         if heads[b] < heads[a]:
             a, b = b, a
         known[b] = h
@@ -271,7 +267,7 @@ def merge(runs: list[tuple[list[int], list[bytes]]]):
             elif hw == hb:
                 kw, kb = heads[win], heads[b]
                 if kw is not kb:
-                    h = differ(kw, kb, hw)
+                    h = _shared(kw, kb, hw, KEY)
                     if kb < kw:
                         loser[node], win = win, b
                         known[loser[node]] = h
@@ -280,6 +276,14 @@ def merge(runs: list[tuple[list[int], list[bytes]]]):
             node >>= 1
 
 
+def _shared(a: bytes, b: bytes, i: int, j: int) -> int:
+    """Where a[:j] and b[:j] begin to differ from i on; j if nowhere."""
+    x, y = a[i:j], b[i:j]
+    if x == y:
+        return max(i, j)
+    return j - (((int.from_bytes(x, "big") ^ int.from_bytes(y, "big")).bit_length() + 7) >> 3)
+
+
 def windows(key: bytes):
     """(offset, content) of the windows that a key shows whole."""
     after, before = key[-2], key[-1]
@@ -289,11 +293,17 @@ def windows(key: bytes):
 
 def _merge_part(pdf: pd.DataFrame) -> pd.DataFrame:
     """Merge one range of suffixes; tell each block the least doc_id of each of its entries' windows."""
-    runs = [front_decode(n, run) for n, run in zip(pdf["n"], pdf["run"])]
-    docs = [np.frombuffer(x, np.int64).tolist() for x in pdf["docs"]]
+    runs = [front_decode(n, C.unpack(run)) for n, run in zip(pdf["n"], pdf["run"])]
+    docs = [np.frombuffer(C.unpack(x), np.int64).tolist() for x in pdf["docs"]]
     starts = pdf["start"].tolist()
     blks = pdf["blk"].tolist()
-    out: dict[int, tuple[list, list, list, list]] = {b: ([], [], [], []) for b in blks}
+    out = {b: (array("i"), array("q"), array("i"), array("q")) for b in blks}
+
+    def give(entries, least):
+        for r, p in entries:
+            mixed = out[blks[r]]
+            mixed[2].append(starts[r] + p)
+            mixed[3].extend(least)
 
     def settle(group):
         """group: different keys of one anchor, each with its entries."""
@@ -305,6 +315,22 @@ def _merge_part(pdf: pd.DataFrame) -> pd.DataFrame:
                 solo[0].append(starts[r] + p)
                 solo[1].append(least)
             return
+        if len(group) <= 8:
+            # Two keys share the windows at offsets from 50 - right to left, by what they share on each side.
+            least = [[min(docs[r][p] for r, p in entries)] * OFFSETS for _, entries in group]
+            own = [x[0] for x in least]
+            for i, (a, _) in enumerate(group):
+                for j in range(i):
+                    b = group[j][0]
+                    lo = LENGTH - _shared(a, b, K, min(a[-2], b[-2]))
+                    hi = _shared(a, b, LENGTH, LENGTH + min(a[-1], b[-1])) - LENGTH
+                    for x, d in ((least[i], own[j]), (least[j], own[i])):
+                        for o in range(lo, hi + 1):
+                            if d < x[o]:
+                                x[o] = d
+            for (_, entries), x in zip(group, least):
+                give(entries, x)
+            return
         by: dict[tuple[int, bytes], int] = {}
         for key, entries in group:
             d = min(docs[r][p] for r, p in entries)
@@ -315,10 +341,7 @@ def _merge_part(pdf: pd.DataFrame) -> pd.DataFrame:
             least = [NONE] * OFFSETS
             for w in windows(key):
                 least[w[0]] = by.get(w, NONE)
-            for r, p in entries:
-                mixed = out[blks[r]]
-                mixed[2].append(starts[r] + p)
-                mixed[3].append(least)
+            give(entries, least)
 
     group: list = []
     for r, p, h in merge(runs):
@@ -332,31 +355,44 @@ def _merge_part(pdf: pd.DataFrame) -> pd.DataFrame:
             group = [(runs[r][1][p], [(r, p)])]
     if group:
         settle(group)
-    rows = [(b, np.array(a, np.int32).tobytes(), np.array(m, np.int64).tobytes(), np.array(x, np.int32).tobytes(), np.array(y, np.int64).tobytes()) for b, (a, m, x, y) in out.items()]
+    rows = [(b, *(C.pack(x.tobytes()) for x in found)) for b, found in out.items()]
     return pd.DataFrame(rows, columns=["blk", "solo", "least", "mixed", "leasts"])
 
 
-def _strip(docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+def _strip(docs: pd.DataFrame, answers: pd.DataFrame, with_text: bool = False, carry: tuple[str, ...] = ()) -> pd.DataFrame:
     """Remove the covered bytes of one block."""
     columns = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]
     if not len(docs):
-        return pd.DataFrame(columns=columns)
-    ids, texts = _block(docs)
+        return pd.DataFrame(columns=[*columns, *carry])
+    ids, texts, order = _block(docs)
     bounds = np.zeros(len(texts) + 1, np.int64)
     np.cumsum([len(t) for t in texts], out=bounds[1:])
     cover = np.zeros(bounds[-1] + 1, np.int32)
     own = answers[answers["pos"].notna()]
     if len(own):
-        pos, item = np.frombuffer(own["pos"].iloc[0], np.int64), np.frombuffer(own["item"].iloc[0], np.int32)
-        least = np.full((int(own["n"].iloc[0]), OFFSETS), NONE, np.int64)
-        for a, m, x, y in answers.loc[answers["pos"].isna(), ["solo", "least", "mixed", "leasts"]].itertuples(index=False):
-            least[np.frombuffer(a, np.int32)] = np.frombuffer(m, np.int64)[:, None]
-            least[np.frombuffer(x, np.int32)] = np.frombuffer(y, np.int64).reshape(-1, OFFSETS)
+        pos, item = np.cumsum(np.frombuffer(C.unpack(own["pos"].iloc[0]), np.int64)), np.frombuffer(C.unpack(own["item"].iloc[0]), np.int32)
         text = np.searchsorted(bounds, pos, side="right") - 1
+        told = answers.loc[answers["pos"].isna(), ["solo", "least", "mixed", "leasts"]]
+        solo, least, mixed, leasts = (np.frombuffer(b"".join(map(C.unpack, told[c])), t) for c, t in (("solo", np.int32), ("least", np.int64), ("mixed", np.int32), ("leasts", np.int64)))
+        n = int(own["n"].iloc[0])
+        one = np.full(n, NONE, np.int64)
+        one[solo] = least
+        # all windows at the anchor have the same answer: one interval
+        hit = one[item] < ids[text]
+        p, t = pos[hit], text[hit]
+        a, b = np.maximum(p - OFFSETS + 1, bounds[t]), np.minimum(p + LENGTH, bounds[t + 1])
+        long = b - a >= LENGTH
+        np.add.at(cover, a[long], 1)
+        np.add.at(cover, b[long], -1)
+        place = np.full(n, -1, np.int32)
+        place[mixed] = np.arange(len(mixed))
+        some = place[item] >= 0
+        p, t, leasts = pos[some], text[some], leasts.reshape(-1, OFFSETS)
+        row = place[item[some]]
         for o in range(OFFSETS):
-            hit = (least[item, o] < ids[text]) & (pos - o >= bounds[text]) & (pos - o + LENGTH <= bounds[text + 1])
-            np.add.at(cover, pos[hit] - o, 1)
-            np.add.at(cover, pos[hit] - o + LENGTH, -1)
+            hit = (leasts[row, o] < ids[t]) & (p - o >= bounds[t]) & (p - o + LENGTH <= bounds[t + 1])
+            np.add.at(cover, p[hit] - o, 1)
+            np.add.at(cover, p[hit] - o + LENGTH, -1)
     gone = np.cumsum(cover)[:-1] > 0
     rows = []
     for i, t in enumerate(texts):
@@ -366,25 +402,28 @@ def _strip(docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         if removed:
             kept = np.frombuffer(t, np.uint8)[~mask].tobytes()
             spans = int(mask[0]) + int((mask[1:] & ~mask[:-1]).sum())
-        rows.append((None if ids[i] == NONE else int(ids[i]), len(t), removed, spans, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace")))
-    return pd.DataFrame(rows, columns=columns)
+        rows.append((None if ids[i] == NONE else int(ids[i]), len(t), removed, spans, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if with_text else None))
+    out = pd.DataFrame(rows, columns=columns)
+    for c in carry:
+        out[c] = docs[c].iloc[order].to_numpy()
+    return out
 
 
-def suffix_dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
+def suffix_dedup(docs: DataFrame, with_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """Remove repeats of 50 bytes or more that also start in a document with a smaller doc_id.
 
     Reads doc_id and text of ``docs``; returns doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for,
-    kept_text (bytes of characters cut in two become U+FFFD). Null text is the empty text. A null doc_id counts as
+    kept_text (characters cut in two go whole) and the columns of ``docs`` named in ``carry``. Null text is the empty text. A null doc_id counts as
     larger than all others. Rows that share a doc_id never remove each other's bytes; each is judged and returned
     for itself. Texts below 50 bytes lose nothing. An empty table gives an empty result.
     """
     spark: SparkSession = docs.sparkSession
     blocks = C.block_count(docs)
     buckets = 1 << max(0, (blocks - 1).bit_length())
-    blocked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("blk", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)))
-    sent = blocked.groupBy("blk").applyInPandas(_send_hashes(buckets), "blk long, bucket long, hashes binary, many binary")
+    blocked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *carry).withColumn("blk", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)))
+    sent = blocked.drop(*carry).groupBy("blk").applyInPandas(_send_hashes(buckets), "blk long, bucket long, hashes binary, many binary")
     back = sent.groupBy("bucket").applyInPandas(_repeated, "blk long, hashes binary")
-    runs = C.cut(blocked.groupBy("blk").cogroup(back.groupBy("blk")).applyInPandas(_make_run, RUNS), "suffix-runs")
+    runs = C.cut(blocked.drop(*carry).groupBy("blk").cogroup(back.groupBy("blk")).applyInPandas(_make_run, RUNS), "suffix-runs")
 
     # Splitters: a bounded sample of the runs' own evenly spaced keys, cut to the anchor so that anchors stay whole.
     total = runs.agg(F.sum(F.size("sample")), F.sum("n")).first()
@@ -400,7 +439,8 @@ def suffix_dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
     both = answers.withColumns({k: nothing[k] for k in ("pos", "item")} | {"n": F.lit(None).cast("long")}).unionByName(
         runs.select("blk", "n", "pos", "item").withColumns({k: nothing[k] for k in ("solo", "least", "mixed", "leasts")})
     )
-    out = blocked.groupBy("blk").cogroup(both.groupBy("blk")).applyInPandas(_strip, OUTPUT)
+    schema = OUTPUT + "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
+    out = blocked.groupBy("blk").cogroup(both.groupBy("blk")).applyInPandas(lambda x, y: _strip(x, y, with_text, carry), schema)
     return out if with_text else out.drop("kept_text")
 
 
