@@ -1,6 +1,79 @@
-ORACLE_SQL = None
-STAGES = []
+"""A training-data pipeline of five stages over ``documents``.
+
+Each stage takes (spark, docs, sf_dir), works on every row that its predecessor kept, and returns a DataFrame; ``run``
+writes each result as Parquet in the shared folder and rereads it as the next stage's ``docs``. All stages but the last
+return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from recordloom.llm import bpe, common, mixing, near_dedup, suffix_dedup, toxicity
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model predicts toxic go; it is trained on the labelled folds of ``docs``."""
+    model = toxicity.fit(docs, common.table(spark, sf_dir, "labels"))
+    return toxicity.drop_toxic(docs.select(*COLUMNS), model)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each near-duplicate component the document with the least id stays; texts without words all stay.
+
+    Of rows that share a doc_id one stays (the first in text order); rows without a doc_id stay.
+    """
+    own = docs.select(*COLUMNS)
+    kept = near_dedup.near_duplicates(own).where("kept and doc_id is not null").select("doc_id").distinct()
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+    stay = own.join(kept, "doc_id", "left_semi").withColumn("place", first).where("place = 1").select(*COLUMNS)
+    return stay.unionByName(own.where("doc_id is null"))
+
 
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats of 50 bytes that also start in an earlier document leave the texts; n_chars follows."""
+    out = suffix_dedup.suffix_dedup(docs.select(*COLUMNS), with_text=True, carry=("lang", "source"))
+    return out.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("long").alias("n_chars"))
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The weighted fair mix: a row for each play of a document, whole.
+
+    The one document of each source that is in service when the mix ends stays if half of it was served at least.
+    Documents without words weigh nothing and stay once. Rows alike in doc_id, source and size share one decision.
+    """
+    own = docs.select(*COLUMNS)
+    plays = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int")
+    decided = mixing.mix(own).groupBy("doc_id", "source", "size").agg(F.max("taken").alias("taken")).select("doc_id", "source", "size", plays.alias("plays")).where("plays > 0")
+    sized = own.withColumn("size", mixing.size_of(F.col("text"))).alias("d")
+    same = F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & F.col("d.source").eqNullSafe(F.col("m.source")) & (F.col("d.size") == F.col("m.size"))
+    return sized.join(decided.alias("m"), same).withColumn("play", F.explode(F.sequence(F.lit(1), F.col("plays")))).select(*[f"d.{c}" for c in COLUMNS])
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of every row's ids and decoded text."""
+    return bpe.bpe_encode(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_dedup", drop_near_copies),
+    ("suffix_dedup", cut_repeats),
+    ("mixing", mix_sources),
+    ("bpe", encode),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
+    docs = common.table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = common.cut(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
+
+
+#: Sketches, suffix runs and the tokenizer are beyond SQL; the tests hold each stage against brute force.
+ORACLE_SQL = None
