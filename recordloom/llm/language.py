@@ -84,12 +84,9 @@ class Model:
         out = np.zeros((len(texts), len(self.langs)), np.float64)
         for ids, buf, bounds in C.gather(texts):
             found, owner = buckets(buf, bounds)
-            total, n = np.zeros((len(ids), len(self.langs))), np.zeros(len(ids))
-            for b, o in zip(found, owner):
-                n += np.bincount(o, minlength=len(ids))
-                for k in range(len(self.langs)):
-                    total[:, k] += np.bincount(o, weights=self.table[b, k], minlength=len(ids))
-            out[ids[0] : ids[-1] + 1] = total / np.maximum(n, 1)[:, None]
+            code = [o * BUCKETS + b for b, o in zip(found, owner)]
+            counts = np.bincount(np.concatenate(code) if code else np.zeros(0, np.int64), minlength=len(ids) * BUCKETS).reshape(len(ids), BUCKETS)
+            out[ids[0] : ids[-1] + 1] = (counts.astype(np.float32) @ self.table) / np.maximum(counts.sum(1), 1)[:, None]
         return _softmax((out + self.bias) / self.temperature)
 
 
