@@ -13,7 +13,7 @@ import hashlib
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -127,25 +127,19 @@ def order_minhash(docs: DataFrame) -> DataFrame:
     parts = max(2, 2 * C.block_count(docs))
     ordered = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        .repartitionByRange(parts, F.col("doc_id").asc_nulls_last(), "text")
+        .repartitionByRange(parts, F.col("doc_id").asc_nulls_last())
         .sortWithinPartitions(F.col("doc_id").asc_nulls_last(), "text")
     )
     found = C.cut(ordered.mapInPandas(_walk, "pid int, first string, last string, " + SCHEMA), "order-minhash")
     # One row a range: the text after its last one is the first of the next range, in a ring.
     edges = found.where("first is not null")
-    ranks = edges.select("pid", F.row_number().over(_by_pid()).alias("rank"))
+    by = Window.orderBy("pid")  # one row a range, without its texts
+    ranks = edges.select("pid").withColumn("rank", F.row_number().over(by)).withColumn("ranges", F.count("*").over(Window.partitionBy()))
     ring = edges.select("pid", "first", "last", "doc_id").join(ranks, "pid")
-    count = ranks.agg(F.count("*").alias("ranges"))
-    after = ring.crossJoin(F.broadcast(count)).select(F.when(F.col("rank") == 1, F.col("ranges")).otherwise(F.col("rank") - 1).alias("rank"), F.col("first").alias("next"))
+    after = ring.select(F.when(F.col("rank") == 1, F.col("ranges")).otherwise(F.col("rank") - 1).alias("rank"), F.col("first").alias("next"))
     return found.where("first is null").select(*COLUMNS).unionByName(ring.join(after, "rank").select("doc_id", "last", "next").mapInPandas(_edge, SCHEMA))
 
 
-def _by_pid():
-    from pyspark.sql import Window
-
-    return Window.orderBy("pid")  # one row a range, no texts
-
-
 def _edge(batches):
     for pdf in batches:
         rows = [_row(None if pd.isna(d) else int(d), last, signature(last), nxt, signature(nxt)) for d, last, nxt in zip(pdf["doc_id"], pdf["last"], pdf["next"])]
