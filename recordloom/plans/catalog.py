@@ -1,9 +1,15 @@
 """Registry of the engine's own queries and their SQL equivalents."""
 
+from __future__ import annotations
+
+from . import comparing, generating, linking, reading, scoring_queries
+
+MODULES = (comparing, linking, scoring_queries, generating, reading)
+
 
 def queries():
-    return {}
+    return {k: v for m in MODULES for k, v in m.QUERIES.items()}
 
 
 def oracle_sql():
-    return {}
+    return {k: v for m in MODULES for k, v in m.ORACLES.items()}
