@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -42,11 +43,18 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(at)
     schema = df.schema
     del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    release(spark)
     return spark.read.schema(schema).parquet(at)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark clean shuffle files that nothing refers to any more, now rather than at the driver's next collection."""
+    for _ in range(2):  # the first round lets go of what Python holds, the second of what that held in the JVM
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
+
+
 def input_bytes(df: DataFrame) -> int | None:
     """Bytes of the files behind ``df`` from Spark's own statistics; None if it has none."""
     n = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())

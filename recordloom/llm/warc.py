@@ -154,6 +154,7 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write all of ``pages`` as archives, read them back, one row a page."""
     at = f"{C.shared_folder(spark)}/warc-{uuid.uuid4().hex}"
     write_warc(C.table(spark, sf_dir, "pages"), at)
+    C.release(spark)
     page = lambda x: F.split(x, ":")[0].try_cast("long")
     captures = transactions(read_warc(spark, at, with_payload=False)).select(page(F.col("capture")).alias("page_id"), F.explode("responses").alias("r"), "metadata")
     return captures.select(
