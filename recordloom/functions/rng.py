@@ -48,23 +48,34 @@ def mulberry32(seed: int):
     return draw
 
 
-def row_stream(seed: int, row: Column, per_row: int, skip: int = 0) -> Draws:
-    """Draws of row ``row`` (0-based) in the stream of ``seed``; ``skip`` draws were taken before the first row."""
-    first = row.cast("long") * per_row + F.lit(skip + 1).cast("long")
-    every = uniforms(F.lit(seed & MASK).cast("long"), F.sequence(first, first + F.lit(max(per_row, 1) - 1)))
+def from_array(every: Column) -> Draws:
+    """Draws that are at hand as an array."""
     return lambda i: F.element_at(every, i + 1)
 
 
+def row_draws(seed: int, row: Column, per_row: int, skip: int = 0) -> Column:
+    """All draws of row ``row`` (0-based) in the stream of ``seed``; ``skip`` draws were taken before the first row."""
+    first = row.cast("long") * per_row + F.lit(skip + 1).cast("long")
+    return uniforms(F.lit(seed & MASK).cast("long"), F.sequence(first, first + F.lit(max(per_row, 1) - 1)))
+
+
+def row_stream(seed: int, row: Column, per_row: int, skip: int = 0) -> Draws:
+    return from_array(row_draws(seed, row, per_row, skip))
+
+
 def cell_key(seed: int, *what) -> Column:
     """The stream of a cell: 32 bits of a hash of the seed and what the cell is (text, numbers or Columns)."""
     parts = [x if isinstance(x, Column) else F.lit(x) for x in (seed, *what)]
     return F.xxhash64(*parts).bitwiseAND(F.lit(MASK))
 
 
+def cell_draws(key: Column, count: int) -> Column:
+    """The first draws of one cell."""
+    return uniforms(key, F.sequence(F.lit(1).cast("long"), F.lit(count).cast("long")))
+
+
 def cell_stream(key: Column, count: int = 64) -> Draws:
-    """Draws of one cell."""
-    every = uniforms(key, F.sequence(F.lit(1).cast("long"), F.lit(count).cast("long")))
-    return lambda i: F.element_at(every, i + 1)
+    return from_array(cell_draws(key, count))
 
 
 def integer(u: Column, lo: int, hi: int) -> Column:

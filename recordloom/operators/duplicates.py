@@ -240,14 +240,17 @@ def _variant(rows: DataFrame, e: Entity, seed: int) -> DataFrame:
     order = F.array_sort(F.array_compact(F.array(*[F.when(filled(f), F.struct(key("order", f.name).alias("h"), F.lit(f.name).alias("f"))) for f in can])))
     u = R.cell_stream(key("count"), 1)(0)
     n = F.lit(1) if level == LIGHT else R.integer(u, 1, 2) if level == MEDIUM else R.integer(u, 2, 3)
-    rows = rows.withColumn("__chosen", F.transform(F.slice(order, F.lit(1), n.cast("int")), lambda x: x["f"]))
-    for f in can:
-        v, hit, draws = F.col(f"`{f.name}`"), F.array_contains("__chosen", f.name), R.cell_stream(key("damage", f.name), 6)
+    # Choices and draws are columns before they are used: a damage uses its draws many times.
+    helpers = {"__chosen": F.transform(F.slice(order, F.lit(1), n.cast("int")), lambda x: x["f"])}
+    helpers |= {f"__draws_{i}": R.cell_draws(key("damage", f.name), 6) for i, f in enumerate(can)}
+    rows = rows.withColumns(helpers)
+    for i, f in enumerate(can):
+        v, hit, draws = F.col(f"`{f.name}`"), F.array_contains("__chosen", f.name), R.from_array(F.col(f"__draws_{i}"))
         if f.repeat:
             columns[f.name] = F.when(hit, _one_damaged(v, kind_of(f), level, draws)).otherwise(v)
         else:
             columns[f.name] = F.when(hit, damage(kind_of(f), level, v, draws)).otherwise(v)
-    return rows.withColumns(columns).drop("__chosen")
+    return rows.withColumns(columns).drop(*helpers)
 
 
 def inject(rows: DataFrame, e: Entity, seed: int, match_field: str) -> DataFrame:

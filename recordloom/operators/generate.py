@@ -157,7 +157,15 @@ class Generator:
         fixed = [draws_of(f) for f in e.fields]
         per_row = sum(x or 0 for x in fixed)
         streamed = self.skip is not None and all(x is not None for x in fixed) and e.dup_level == "off"
-        stream = R.row_stream(self.seed, F.col(IX), per_row, self.skip) if streamed and per_row else None
+        # Draws are columns before they are used: a value may use one several times.
+        stream = None
+        if streamed and per_row:
+            base = base.withColumn("__draws", R.row_draws(self.seed, F.col(IX), per_row, self.skip))
+            stream = R.from_array(F.col("__draws"))
+        cells = {} if streamed else {f.name: f"__cell_{i}" for i, f in enumerate(e.fields) if f.type not in ("Formula (JS)", "Reference") and not f.repeat and fixed[i] != 0}
+        for f in e.fields:
+            if f.name in cells:
+                base = base.withColumn(cells[f.name], R.cell_draws(R.cell_key(self.seed, e.name, f.name, F.col(IX)), self._width(f)))
         taken, columns, references, counts = 0, [], [], {}
         for f in e.fields:
             if f.repeat and f.repeat[0] not in counts:
@@ -174,7 +182,7 @@ class Generator:
             if f.repeat:
                 columns.append(self._repeated(e, f, counts[f.repeat[0]]).alias(f.name))
                 continue
-            u = (lambda i, t=taken: stream(t + i)) if streamed else R.cell_stream(R.cell_key(self.seed, e.name, f.name, F.col(IX)), self._width(f))
+            u = R.from_array(F.col(cells[f.name])) if f.name in cells else (lambda i, t=taken: stream(t + i))
             taken += k or 0
             columns.append(value_of(f, u, F.col(IX)).alias(f.name))
         # Draws of references are columns until they are joined to positions.

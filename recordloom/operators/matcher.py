@@ -78,23 +78,28 @@ def test_of(c: Comparison, a: Column, b: Column) -> Column:
     return F.coalesce(measured <= F.lit(c.number), F.lit(False))
 
 
-def passes(rule: Rule, a: dict[str, Column], b: dict[str, Column]) -> Column:
-    """All comparisons pass and one at least was evaluated. Builtin tests come first, Python ones last."""
+def passes(rule: Rule, a: dict[str, Column], b: dict[str, Column], blank_of=K.is_blank, keyed: bool = False) -> Column:
+    """All comparisons pass and one at least was evaluated. Builtin tests come first, Python ones last.
+
+    ``keyed`` says that the pair met on the rule's keys: its equality comparisons were evaluated and passed.
+    """
     ordered = sorted(rule.comparisons, key=lambda c: c.kind in ("jw", "jwTokens"))
-    every, some = [], []
+    every, some = [F.lit(True)] * keyed, [F.lit(True)] * keyed
     for c in ordered:
-        blank = K.is_blank(a[c.field]) | K.is_blank(b[c.field])
+        if keyed and KINDS[c.kind].blocks:
+            continue
+        blank = blank_of(a[c.field]) | blank_of(b[c.field])
         test = test_of(c, a[c.field], b[c.field])
         every.append(F.when(blank, F.lit(rule.blankAgrees)).otherwise(test))
         some.append(~blank)
     return reduce(lambda x, y: x & y, every) & reduce(lambda x, y: x | y, some)
 
 
-def strength(rule: Rule, a: dict[str, Column], b: dict[str, Column]) -> Column:
+def strength(rule: Rule, a: dict[str, Column], b: dict[str, Column], blank_of=K.is_blank) -> Column:
     """Mean closeness over comparisons of non-blank values: 1, the similarity, or 1 / (1 + difference)."""
     total, n = F.lit(0.0), F.lit(0)
     for c in rule.comparisons:
-        blank = K.is_blank(a[c.field]) | K.is_blank(b[c.field])
+        blank = blank_of(a[c.field]) | blank_of(b[c.field])
         measured = measure_of(c, a[c.field], b[c.field])
         if measured is None:
             own = F.lit(1.0)
@@ -137,7 +142,9 @@ class Matcher:
         value = lambda p: K.text(field_column(records, p), _kind_of(records, field_column(records, p)))
         self.column = {f: f"f{i}" for i, f in enumerate(self.fields)}
         place = field_column(records, order) if order else value(id_field)
-        self.records = records.select(value(id_field).alias("id"), place.alias("ord"), *[value(f).alias(c) for f, c in self.column.items()])
+        # Blanks become null once for each record, so that pairs need no pattern to tell them.
+        present = lambda f: F.when(~K.is_blank(value(f)), value(f))
+        self.records = records.select(value(id_field).alias("id"), place.alias("ord"), *[present(f).alias(c) for f, c in self.column.items()])
 
     def check_ids(self) -> None:
         """Refuse records without an id."""
@@ -149,38 +156,46 @@ class Matcher:
 
     def _keyed(self, rule: Rule) -> tuple[DataFrame, DataFrame]:
         """Records with a block key, and those whose key is blank somewhere."""
-        blank = reduce(lambda x, y: x | y, [K.is_blank(F.col(self.column[c.field])) for c in rule.comparisons if KINDS[c.kind].blocks])
+        blank = reduce(lambda x, y: x | y, [F.col(self.column[c.field]).isNull() for c in rule.comparisons if KINDS[c.kind].blocks])
         keyed = self.records.where(~blank)
         return keyed.select("*", *[k.alias(f"k{i}") for i, k in enumerate(self._keys(rule))]), self.records.where(blank)
 
+    def _spread(self, df: DataFrame) -> DataFrame:
+        """Small inputs have few partitions but many pairs: deal them out before a broadcast join."""
+        spark = df.sparkSession
+        least = spark.conf.get("spark.sql.autoBroadcastJoinThreshold").rstrip("b")
+        small = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= (int(least) if least.isdigit() else 10 << 20)
+        return df.repartition(spark.sparkContext.defaultParallelism, "id") if small else df
+
     def _side(self, df: DataFrame, s: str) -> DataFrame:
         return df.select(*[F.col(c).alias(f"{s}_{c}") for c in df.columns])
 
-    def _compared(self, rule: Rule) -> DataFrame:
-        """Pairs a rule compares, oriented, with both sides' values (l_*, r_*)."""
+    def _compared(self, rule: Rule) -> list[tuple[DataFrame, bool]]:
+        """Pairs a rule compares, oriented, with both sides' values (l_*, r_*), and whether they met on its keys."""
         ordered = (F.col("l_ord") < F.col("r_ord")) | ((F.col("l_ord") == F.col("r_ord")) & (F.col("l_id") < F.col("r_id")))
         if not rule.blocked:
-            return self._side(self.records, "l").join(self._side(self.records, "r"), ordered)
+            return [(self._side(self._spread(self.records), "l").join(self._side(self.records, "r"), ordered), False)]
         keyed, wild = self._keyed(rule)
         n = len(self._keys(rule))
         same = reduce(lambda x, y: x & y, [F.col(f"l_k{i}") == F.col(f"r_k{i}") for i in range(n)])
         drop = [f"{s}_k{i}" for s in "lr" for i in range(n)]
-        found = self._side(keyed, "l").join(self._side(keyed, "r"), same & ordered).drop(*drop)
+        found = self._side(self._spread(keyed), "l").join(self._side(keyed, "r"), same & ordered).drop(*drop)
         if not rule.blankAgrees:
-            return found
+            return [(found, True)]
         # Keyless records meet everything: once as the left and once as the right side, wild pairs only once.
-        keyless = wild.withColumn("w", F.lit(True))
         rest = self.records.join(wild.select("id"), "id", "left_anti")
-        with_rest = self._side(keyless.drop("w"), "l").join(self._side(rest, "r"), ordered).unionByName(self._side(rest, "l").join(self._side(keyless.drop("w"), "r"), ordered))
+        with_rest = self._side(self._spread(wild), "l").join(self._side(rest, "r"), ordered).unionByName(self._side(self._spread(rest), "l").join(self._side(wild, "r"), ordered))
         among = self._side(wild, "l").join(self._side(wild, "r"), ordered)
-        return found.unionByName(with_rest).unionByName(among)
+        return [(found, True), (with_rest.unionByName(among), False)]
 
     def rule_links(self, index: int) -> DataFrame:
         """Pairs that pass one rule: a, b, rule, confidence, strength."""
         rule = self.rules[index]
         side = lambda s: {f: F.col(f"{s}_{c}") for f, c in self.column.items()}
-        passed = self._compared(rule).where(passes(rule, side("l"), side("r")))
-        return passed.select(F.col("l_id").alias("a"), F.col("r_id").alias("b"), F.lit(index).alias("rule"), F.lit(rule.score).alias("confidence"), strength(rule, side("l"), side("r")).alias("strength"))
+        null = lambda c: c.isNull()
+        parts = [df.where(passes(rule, side("l"), side("r"), null, keyed)) for df, keyed in self._compared(rule)]
+        passed = reduce(DataFrame.unionByName, parts)
+        return passed.select(F.col("l_id").alias("a"), F.col("r_id").alias("b"), F.lit(index).alias("rule"), F.lit(rule.score).alias("confidence"), strength(rule, side("l"), side("r"), null).alias("strength"))
 
     def cost(self) -> DataFrame:
         """Comparisons each rule needs, from group sizes alone: nothing is paired."""
@@ -229,7 +244,7 @@ class Matcher:
         cost = self.cost()
         per_rule = cost.join(each.groupBy("rule").agg(F.count("*").alias("linked")), "rule", "left").select("rule", "name", F.coalesce("linked", F.lit(0)).alias("linked"), "compared", "blocked")
         pairs = links.where("chosen").select("a", "b", "score", "rules")
-        compared = reduce(DataFrame.unionByName, [self._compared(r).select(F.col("l_id").alias("a"), F.col("r_id").alias("b")) for r in self.rules]).distinct()
+        compared = reduce(DataFrame.unionByName, [df.select(F.col("l_id").alias("a"), F.col("r_id").alias("b")) for r in self.rules for df, _ in self._compared(r)]).distinct()
         return Match(links, pairs, picks, compared, per_rule, cost, ranked)
 
 
