@@ -45,8 +45,9 @@ def targets(sizes: DataFrame) -> DataFrame:
         .withColumn("open", F.sum("weight").over(by.rowsBetween(Window.currentRow, Window.unboundedFollowing)))
         .withColumn("level", (F.col("budget") - F.coalesce("full", F.lit(0.0))) / F.col("open"))
     )
-    # The level is that of the first source in turn that it does not fill; all sources before it are full.
-    own = own.withColumn("final", F.min(F.when(F.col("level") <= F.col("turn"), F.col("level"))).over(every))
+    # The level is that of the first source in turn that it does not fill; all sources before it are full. From there
+    # on levels only fall, so it is the largest of those below their own turn.
+    own = own.withColumn("final", F.max(F.when(F.col("level") <= F.col("turn"), F.col("level"))).over(every))
     return own.select("source", "source_size", F.least(F.col("most"), F.coalesce(F.col("final") * F.col("weight"), F.col("most"))).alias("target"))
 
 
@@ -117,7 +118,7 @@ levels AS (
             / sum(weight) OVER (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
   FROM weighted),
 goals AS (
-  SELECT source, source_size, least(most, COALESCE(min(CASE WHEN level <= most / weight THEN level END) OVER () * weight, most)) AS target
+  SELECT source, source_size, least(most, COALESCE(max(CASE WHEN level <= most / weight THEN level END) OVER () * weight, most)) AS target
   FROM levels),
 placed AS (
   SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, target, floor(target + 0.5) AS goal,

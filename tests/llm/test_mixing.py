@@ -15,12 +15,30 @@ def oracle(pdf):
     return con.execute(M.ORACLE).fetchall()
 
 
+def shared_out(sizes):
+    """Targets by the words of the contract: share by weight, cap, share the excess again until none is above."""
+    names = sorted((s for s in sizes if s is not None)) + ([None] if None in sizes else [])
+    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(names)}
+    target, free, left = {s: 0.0 for s in names}, set(names), 1.5 * sum(sizes.values())
+    while left > 1e-9 and free:
+        whole = sum(weight[s] for s in free)
+        for s in free:
+            target[s] += left * weight[s] / whole
+        left = 0.0
+        for s in list(free):
+            if target[s] >= 2 * sizes[s]:
+                left += target[s] - 2 * sizes[s]
+                target[s] = 2 * sizes[s]
+                free.discard(s)
+    return target
+
+
 def table(n, sources):
     rows = [(i * 7 % (n * 8), " ".join("w" * (i * j % 5 + 1) for j in range(i * 31 % 90)), sources[i * i % len(sources)]) for i in range(n)]
     return rows + [(10**6, None, "a"), (10**6 + 1, "", None), (10**6 + 2, "\x0b\x0c \t", "b"), (10**6 + 3, "x" * 10000, "z"), (None, "one two", "a"), (rows[0])]
 
 
-@pytest.mark.parametrize("sources", [["a", "b", "c", None], ["only"], ["a"] * 9 + ["b", "ä", "Z"]])
+@pytest.mark.parametrize("sources", [["a", "b", "c", None], ["only"], ["a"] * 9 + ["b", "ä", "Z"], [f"src{i}" for i in range(20)], ["big"] * 40 + [f"t{i}" for i in range(9)]])
 def test_against_sql_and_promises(spark, sources):
     rows = table(300, sources)
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, source string, size int")
@@ -29,7 +47,11 @@ def test_against_sql_and_promises(spark, sources):
     pdf = pd.DataFrame(rows, columns=["doc_id", "text", "source"]).astype({"doc_id": "Int64"})
     want = sorted((tuple(r) for r in oracle(pdf)), key=str)
     assert rows_of(mixed.select("doc_id", "size", "source_size", "target", "taken")) == want
-    assert (got.taken <= 2 * got["size"]).all()
+    assert (got.taken <= 2 * got["size"]).all() and (got.target >= 0).all()
+    sizes = {None if pd.isna(k) else k: int(v) for k, v in got.groupby("source", dropna=False)["size"].sum().items()}
+    wanted = shared_out(sizes)
+    for k, v in got.groupby("source", dropna=False).target.first().items():
+        assert abs(v - wanted[None if pd.isna(k) else k]) < 1e-6 * max(1, v)
     for _, g in got.groupby("source", dropna=False):
         assert abs(g.taken.sum() - g.target.iloc[0]) <= 0.5 + 1e-9
         assert g.target.iloc[0] <= 2 * g["size"].sum() + 1e-9
