@@ -447,3 +447,20 @@ def suffix_dedup(docs: DataFrame, with_text: bool = False, carry: tuple[str, ...
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suffix-array dedup over all of ``documents``."""
     return suffix_dedup(C.table(spark, sf_dir, "documents"))
+
+
+#: All 50-byte strings of all documents, in hexadecimal; covered bytes as islands, what is left between them.
+ORACLE = """
+WITH d AS (SELECT doc_id, hex(COALESCE(text, '')) AS hx, CAST(strlen(COALESCE(text, '')) AS BIGINT) AS n FROM documents),
+w AS MATERIALIZED (SELECT doc_id, CAST(i AS INTEGER) AS i, md5_number(substr(hx, 2 * i + 1, 100)) AS string FROM (SELECT doc_id, hx, unnest(range(0, n - 49)) AS i FROM d)),
+g AS (SELECT string, min(doc_id) AS least FROM w GROUP BY string HAVING min(doc_id) < max(doc_id)),
+c AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS fresh FROM w JOIN g ON w.string = g.string WHERE least < doc_id),
+k AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS island FROM c),
+s AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM k GROUP BY doc_id, island),
+cuts AS (SELECT doc_id, a, b FROM s UNION ALL SELECT doc_id, n, n FROM d),
+kept AS (SELECT doc_id, a, COALESCE(lag(b) OVER (PARTITION BY doc_id ORDER BY a, b), 0) AS z FROM cuts),
+texts AS (SELECT k.doc_id, string_agg(substr(hx, 2 * z + 1, 2 * (a - z)), '' ORDER BY a) AS t FROM kept k JOIN d ON d.doc_id = k.doc_id WHERE a > z GROUP BY k.doc_id),
+gone AS (SELECT doc_id, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM s GROUP BY doc_id)
+SELECT d.doc_id, n AS n_bytes, COALESCE(n_removed, 0) AS n_removed, COALESCE(n_spans, 0) AS n_spans, sha256(unhex(COALESCE(t, ''))) AS kept_sha256
+FROM d LEFT JOIN texts ON texts.doc_id = d.doc_id LEFT JOIN gone ON gone.doc_id = d.doc_id
+"""

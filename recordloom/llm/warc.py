@@ -164,3 +164,14 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("r.type").alias("record_type"),
         page(F.col("r.refers_to")).alias("refers_to"),
     )
+
+
+#: base32 of SHA-1: four times 40 bits as eight digits of base 32, in the alphabet of RFC 4648.
+_DIGEST = " || ".join(f"translate(to_base(CAST('0x' || substr(sha1(h), {i * 10 + 1}, 10) AS BIGINT), 32, 8), '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567')" for i in range(4))
+ORACLE = f"""
+WITH p AS (SELECT page_id, COALESCE(html, '') AS h FROM pages),
+f AS (SELECT h, min(page_id) AS first FROM p GROUP BY h)
+SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, {_DIGEST} AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM p JOIN f USING (h)
+"""
