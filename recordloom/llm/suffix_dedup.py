@@ -35,6 +35,8 @@ OFFSETS = LENGTH - K + 1
 KEY = LENGTH + OFFSETS - 1 + 2
 #: Sampled keys that the driver may see when it picks splitters (a bound; the exchange itself covers everything).
 SPLITTER_SAMPLE = 20_000
+#: Keys of an anchor that are compared two by two; more go offset by offset.
+FEW = 8
 NONE = np.iinfo(np.int64).max
 
 RUNS = "blk long, n long, run binary, docs binary, pos binary, item binary, sample array<binary>"
@@ -284,13 +286,6 @@ def _shared(a: bytes, b: bytes, i: int, j: int) -> int:
     return j - (((int.from_bytes(x, "big") ^ int.from_bytes(y, "big")).bit_length() + 7) >> 3)
 
 
-def windows(key: bytes):
-    """(offset, content) of the windows that a key shows whole."""
-    after, before = key[-2], key[-1]
-    for o in range(max(0, LENGTH - after), min(before, OFFSETS - 1) + 1):
-        yield o, key[: LENGTH - o] + key[LENGTH : LENGTH + o]
-
-
 def _merge_part(pdf: pd.DataFrame) -> pd.DataFrame:
     """Merge one range of suffixes; tell each block the least doc_id of each of its entries' windows."""
     runs = [front_decode(n, C.unpack(run)) for n, run in zip(pdf["n"], pdf["run"])]
@@ -315,7 +310,7 @@ def _merge_part(pdf: pd.DataFrame) -> pd.DataFrame:
                 solo[0].append(starts[r] + p)
                 solo[1].append(least)
             return
-        if len(group) <= 8:
+        if len(group) <= FEW:
             # Two keys share the windows at offsets from 50 - right to left, by what they share on each side.
             least = [[min(docs[r][p] for r, p in entries)] * OFFSETS for _, entries in group]
             own = [x[0] for x in least]
@@ -331,17 +326,20 @@ def _merge_part(pdf: pd.DataFrame) -> pd.DataFrame:
             for (_, entries), x in zip(group, least):
                 give(entries, x)
             return
-        by: dict[tuple[int, bytes], int] = {}
-        for key, entries in group:
-            d = min(docs[r][p] for r, p in entries)
-            for w in windows(key):
-                if by.get(w, NONE) > d:
+        # Many keys: one offset after the other, so that only one offset's contents are held at a time.
+        own = [min(docs[r][p] for r, p in entries) for _, entries in group]
+        least = [array("q", [NONE] * OFFSETS) for _ in group]
+        for o in range(OFFSETS):
+            by: dict[bytes, int] = {}
+            seen = [key[: LENGTH - o] + key[LENGTH : LENGTH + o] if key[-2] >= LENGTH - o and key[-1] >= o else None for key, _ in group]
+            for w, d in zip(seen, own):
+                if w is not None and by.get(w, NONE) > d:
                     by[w] = d
-        for key, entries in group:
-            least = [NONE] * OFFSETS
-            for w in windows(key):
-                least[w[0]] = by.get(w, NONE)
-            give(entries, least)
+            for x, w in zip(least, seen):
+                if w is not None:
+                    x[o] = by.get(w, NONE)
+        for (_, entries), x in zip(group, least):
+            give(entries, x)
 
     group: list = []
     for r, p, h in merge(runs):

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from recordloom.llm import suffix_dedup as S
@@ -52,6 +53,30 @@ def test_against_brute_force(spark, monkeypatch, blocks):
     assert sorted(got, key=str) == brute(rows)
 
 
+def by_hand(rows, blocks):
+    """The stages one after the other, without Spark."""
+    df = pd.DataFrame(rows, columns=["doc_id", "text"])
+    df["blk"] = [sum(map(ord, str(d))) % blocks for d in df["doc_id"]]
+    parts = [g for _, g in df.groupby("blk")]
+    sent = pd.concat([S._send_hashes(4)(b) for b in parts])
+    back = pd.concat([S._repeated(g) for _, g in sent.groupby("bucket")])
+    runs = pd.concat([S._make_run(b, back[back["blk"] == b["blk"].iloc[0]]) for b in parts])
+    pieces = pd.concat(list(S._cut_runs([b"h", b"q"])([runs])))
+    answers = pd.concat([S._merge_part(g) for _, g in pieces.groupby("part")])
+    out = []
+    for b in parts:
+        told = answers[answers["blk"] == b["blk"].iloc[0]].assign(pos=None, item=None, n=np.nan)
+        out.append(S._strip(b, pd.concat([told, runs[runs["blk"] == b["blk"].iloc[0]][["blk", "n", "pos", "item"]]])))
+    return sorted([(None if pd.isna(r[0]) else int(r[0]), *r[1:5]) for r in pd.concat(out).itertuples(index=False)], key=str)
+
+
+@pytest.mark.parametrize("few", [1, 8])
+def test_few_and_many_keys_of_an_anchor(monkeypatch, few):
+    monkeypatch.setattr(S, "FEW", few)
+    for seed in (1, 5, 9):
+        assert by_hand(planted(seed), 4) == brute(planted(seed))
+
+
 def test_empty_table(spark):
     assert S.suffix_dedup(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
