@@ -36,6 +36,32 @@ def kind_of(f: Field) -> str:
     return {"Date": "date", "Number": "number", "Zip Code": "digits", "UUID": "uuid"}.get(f.type, "string")
 
 
+#: What a level can do to each kind of field, for those who write rules.
+NOTES = {
+    "email": {LIGHT: "case changes"},
+    "phone": {},
+    "date": {LIGHT: "unchanged", HEAVY: "a day off, or month and day swapped"},
+    "digits": {LIGHT: "unchanged"},
+    "number": {LIGHT: "unchanged", MEDIUM: "unchanged", HEAVY: "one off"},
+    "string": {LIGHT: "case or spacing", MEDIUM: "a typo, case or spacing", HEAVY: "typos, case, or blanked"},
+}
+USUAL = {"email": "dots dropped, a typo or lower case", "phone": "reformatted", "date": "a day off", "digits": "one digit changed"}
+
+
+def variant_note(f: Field, level: str) -> str:
+    """What variants show in a field at a level."""
+    kind = kind_of(f)
+    if level == "off" or f.keep or kind == "keep":
+        return "unchanged in variants"
+    if kind == "uuid":
+        return "new in every variant"
+    if kind == "formula":
+        return "computed again from the variant's fields"
+    if level == TARGETED:
+        return f"fuzzed to {f.sim[0]} similarity {f.sim[1]:g}" if f.sim else "unchanged in variants"
+    return NOTES[kind].get(level, USUAL.get(kind, ""))
+
+
 def _at(u: Column, n: Column) -> Column:
     """A position from 1 to n."""
     return (F.floor(u * n) + 1).cast("int")

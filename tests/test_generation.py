@@ -188,6 +188,13 @@ def test_documents_and_counts():
             resolve_counts(one, bad)
 
 
+def test_variant_notes():
+    note = lambda kind, level, **more: D.variant_note(Field("x", kind, **more), level)
+    assert note("UUID", "light") == "new in every variant" and note("City", "off") == note("City", "heavy", keep=True) == "unchanged in variants"
+    assert note("Date", "heavy") != note("Date", "medium") == "a day off" and note("City", "targeted", sim=("jw", 0.9)) == "fuzzed to jw similarity 0.9"
+    assert all(note(k, lv) for k in ("Email", "Phone", "Date", "Zip Code", "Number", "City", "Row Number", "Formula (JS)") for lv in D.NOTES["string"])
+
+
 def test_dense_index(spark):
     got = dense_index(spark.range(100).repartition(7), F.col("id") % 10, F.col("id")).collect()
     assert [r.id for r in sorted(got, key=lambda r: r[IX])] == sorted(range(100), key=lambda i: (i % 10, i)) and {r[IX] for r in got} == set(range(100))
