@@ -8,15 +8,16 @@ with probability J, with concentration as for independent hash functions.
 
 Equal sets fold into classes first, so copies cost nothing further. Bands of ``ROWS`` coordinates make candidates. In
 a bucket each class is compared with the bucket's least class (a star, never all pairs) on full sets; links join
-classes into components. Then every pair in a bucket whose classes are *still in different components* is compared
-too: pairs already connected need no link, all others are verified, so no bucket is capped and no link is lost.
+classes into components. Then the classes of a bucket that are *still in different components* are searched too, by an exact prefix
+filter and exact intersections of their full sets: pairs already connected need no link, all others that can be
+similar are verified, so no bucket is capped and no link is lost.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.closure import connected_components
@@ -25,6 +26,8 @@ from . import common as C
 #: Words in a shingle, coordinates of a sketch, coordinates in a band; similarity 3/4 exactly.
 WORDS, BINS, ROWS = 5, 128, 4
 BANDS = BINS // ROWS
+#: Classes in a chunk of a family, shingles in a slab of an incidence matrix: the bounds of a task's memory.
+CHUNK, SLAB = 256, 8_192
 _SEEDS = C.mix(np.arange(1, 2 * BINS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -109,7 +112,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     star = members.where("class <> center").select(F.col("center").alias("a"), F.col("class").alias("b")).distinct()
     links = C.cut(_verified(star, sets).unionByName(_same_id_links(named, classes)), "near-links")
-    more = C.cut(_verified(_unconnected(members, connected_components(links), sets).join(star, ["a", "b"], "left_anti"), sets), "near-more-links")
+    more = C.cut(_across(members, connected_components(links), sets), "near-more-links")
     every = connected_components(links.unionByName(more))
 
     out = described.drop("keys").join(classes, "digest", "left").join(every.select(F.col("id").alias("class"), "component"), "class", "left")
@@ -118,23 +121,92 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def _unconnected(members: DataFrame, placed: DataFrame, sets: DataFrame) -> DataFrame:
-    """All pairs of classes that share a bucket, are in different components and may be similar by their sizes."""
-    sizes = sets.groupBy("class").agg(F.min(F.size("items")).alias("least"), F.max(F.size("items")).alias("most"))
+def _across(members: DataFrame, placed: DataFrame, sets: DataFrame) -> DataFrame:
+    """All links between classes that share a bucket but are in different components, found without listing pairs.
+
+    Shingles are ordered by the number of classes that hold them, those of one component only first. Two sets with
+    J >= 3/4 share a shingle among the first n - ceil(3n/4) + 1 of each (the prefix filter), and as the two are in
+    different components it is one that crosses components; a passage that thousands of documents share comes last
+    in that order. Classes that such shingles connect are a family. A family's sets meet chunk by chunk, any two
+    chunks in a task of bounded size, which counts all intersections by products of incidence matrices and puts out
+    links only: families of many almost-similar texts cost arithmetic, not rows.
+    """
     own = members.join(placed.select(F.col("id").alias("class"), "component"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     split = own.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    loose = C.cut(own.join(split, "key").join(sizes, "class").select("key", "class", "component", "least", "most"), "near-loose")
-    x, y = loose.alias("x"), loose.alias("y")
-    near = (4 * F.col("x.most") >= 3 * F.col("y.least")) & (4 * F.col("y.most") >= 3 * F.col("x.least"))
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.class") < F.col("y.class")) & (F.col("x.component") != F.col("y.component")) & near)
-    return pairs.select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct()
+    loose = C.cut(own.join(split, "key").select("class", "component").distinct(), "near-loose")
+    items = sets.join(loose, "class").select("class", "component", F.size("items").alias("n"), F.explode("items").alias("item"))
+    held = items.groupBy("item").agg(F.count("*").alias("df"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("item", "df")
+    crossing = items.join(held, "item")
+    by = Window.partitionBy("class", "n").orderBy("df", "item")
+    prefix = F.col("n") - F.ceil(F.col("n") * 3 / 4) + 1
+    ranked = crossing.withColumn("place", F.row_number().over(by)).withColumn("shared", F.count("*").over(Window.partitionBy("class", "n")))
+    heads = C.cut(ranked.where(F.col("n") - F.col("shared") + F.col("place") <= prefix).select("class", "item"), "near-prefixes")
+    least = heads.groupBy("item").agg(F.min("class").alias("a"))
+    family = C.cut(connected_components(heads.join(least, "item").select("a", F.col("class").alias("b"))), "near-families").select(F.col("id").alias("class"), F.col("component").alias("family"))
+    chunks = family.groupBy("family").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+    dealt = family.join(chunks, "family").withColumn("chunk", F.pmod(F.xxhash64("class"), F.col("chunks")).cast("int"))
+    meets = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    placed_sets = sets.join(loose, "class")
+    full = meets.select("class", "family", "chunk", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi")).join(placed_sets, "class")
+    return full.groupBy("family", "lo", "hi").applyInPandas(_linked_chunks, "a long, b long")
+
+
+def _linked_chunks(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Links between two chunks of a family (or within one), in different components."""
+    lo, hi = int(pdf["lo"].iloc[0]), int(pdf["hi"].iloc[0])
+    pdf = pdf.sort_values("class", kind="stable")
+    left = pdf[pdf["chunk"] == lo]
+    right = left if lo == hi else pdf[pdf["chunk"] == hi]
+    if not len(left) or not len(right):
+        return pd.DataFrame({"a": [], "b": []}).astype("int64")
+    x, y = list(left["items"]), list(right["items"])
+    nx, ny = np.array(list(map(len, x))), np.array(list(map(len, y)))
+    vocabulary, count = np.unique(np.concatenate(x + ([] if lo == hi else y)), return_counts=True)
+    vocabulary = vocabulary[count > 1]
+    common = np.zeros((len(x), len(y)), np.float32)
+    for s in range(0, len(vocabulary), SLAB):
+        slab = vocabulary[s : s + SLAB]
+        a = _incidence(x, slab)
+        common += a @ (a if lo == hi else _incidence(y, slab)).T
+    near = 100 * common >= 75 * (nx[:, None] + ny[None, :] - common)
+    p, q = left["component"].to_numpy(), right["component"].to_numpy()
+    near &= p[:, None] != q[None, :]
+    i, j = np.nonzero(near)
+    # One link connects two components as well as all: keep the first of each pair of components.
+    joined = np.stack([np.minimum(p[i], q[j]), np.maximum(p[i], q[j])], 1)
+    _, first = np.unique(joined, axis=0, return_index=True)
+    i, j = i[first], j[first]
+    a, b = left["class"].to_numpy()[i], right["class"].to_numpy()[j]
+    top: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while top.get(x, x) != x:
+            top[x] = top.get(top[x], top[x])
+            x = top[x]
+        return x
+
+    rows = []
+    for x, y, u, v in zip(p[i].tolist(), q[j].tolist(), a.tolist(), b.tolist()):
+        x, y = root(x), root(y)
+        if x != y:
+            top[x] = y
+            rows.append((min(u, v), max(u, v)))
+    return pd.DataFrame(rows, columns=["a", "b"]).astype("int64")
+
+
+def _incidence(sets: list[np.ndarray], slab: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(sets), len(slab)), np.float32)
+    for i, items in enumerate(sets):
+        at = np.minimum(np.searchsorted(slab, items), len(slab) - 1)
+        out[i, at[slab[at] == items]] = 1
+    return out
 
 
 def _same_id_links(named: DataFrame, classes: DataFrame) -> DataFrame:
     """Rows that share a doc_id but not a set link their classes."""
     several = named.groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo < hi").select("doc_id")
     of = named.join(several, "doc_id", "left_semi").join(classes, "digest").select("doc_id", "class")
-    return of.groupBy("doc_id").agg(F.min("class").alias("a"), F.max("class").alias("z"), F.collect_set("class").alias("own")).select("a", F.explode("own").alias("b")).where("a <> b")
+    return of.groupBy("doc_id").agg(F.min("class").alias("a"), F.collect_set("class").alias("own")).select("a", F.explode("own").alias("b")).where("a <> b")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -147,3 +219,20 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components over all of ``documents``."""
     return near_duplicates(C.table(spark, sf_dir, "documents"))
+
+
+#: All shingles joined on equality, intersections counted, links closed.
+ORACLE = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))) END AS items FROM w),
+s AS (SELECT doc_id, unnest(items) AS item FROM sets),
+common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n FROM s x JOIN s y ON x.item = y.item AND x.doc_id < y.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM common JOIN sets x ON x.doc_id = a JOIN sets y ON y.doc_id = b WHERE 100 * n >= 75 * (len(x.items) + len(y.items) - n)),
+edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT doc_id AS id, doc_id AS other FROM documents UNION SELECT reach.id, edges.b FROM reach JOIN edges ON reach.other = edges.a),
+least AS (SELECT id, min(other) AS component_id FROM reach GROUP BY id)
+SELECT doc_id, CAST(len(items) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM sets JOIN least ON least.id = sets.doc_id
+"""

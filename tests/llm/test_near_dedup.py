@@ -56,12 +56,45 @@ def planted(seed):
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-def test_against_brute_force(spark, seed):
+def test_against_brute_force(spark, monkeypatch, seed):
+    if seed == 2:
+        monkeypatch.setattr(N, "CHUNK", 2)
+        monkeypatch.setattr(N, "SLAB", 16)
     rows = planted(seed)
     df = spark.createDataFrame([(d, t, 5, "k") for d, t in rows], "doc_id long, text string, n int, key string")
     assert sorted((tuple(x) for x in N.near_duplicates(df).collect()), key=str) == brute(rows)
 
 
+def test_chunks_meet_like_all_pairs():
+    r = np.random.default_rng(4)
+    base = r.integers(0, 2**62, 400)
+    sets = [np.unique(np.concatenate([r.choice(base, r.integers(40, 60), False), base[:150]])) for _ in range(20)]
+    sets += [sets[0], sets[1][:-5]]
+    rows = [(i, i % 3, i % 2, s) for i, s in enumerate(sets)]
+    want = set()
+    for i, (a, ca, _, x) in enumerate(rows):
+        for b, cb, _, y in rows[i + 1 :]:
+            both = len(np.intersect1d(x, y))
+            if ca != cb and 100 * both >= 75 * (len(x) + len(y) - both):
+                want.add((a, b))
+    import pandas as pd
+
+    got = set()
+    for lo, hi in ((0, 0), (0, 1), (1, 1)):
+        part = [(*row, lo, hi) for row in rows if row[2] in (lo, hi)]
+        out = N._linked_chunks(pd.DataFrame(part, columns=["class", "component", "chunk", "items", "lo", "hi"]))
+        got |= set(map(tuple, out.to_numpy().tolist()))
+    # as many links as connect the components, all of them true
+    def joined(links):
+        top = {c: c for c in range(3)}
+        for a, b in links:
+            x, y = top[a % 3], top[b % 3]
+            top = {c: (x if t == y else t) for c, t in top.items()}
+        return {frozenset(c for c in top if top[c] == t) for t in top.values()}
+
+    assert got <= want and len(got) <= 6 and joined(got) == joined(want)
+
+
 def test_empty(spark):
     assert N.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
