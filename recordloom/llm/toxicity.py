@@ -24,11 +24,11 @@ from . import common as C
 SAMPLE = 8_000
 #: Prior weight as a share of the sample's counts, least z of a scored token, most scored tokens kept, cost of any
 #: other token.
-PRIOR, LEAST_Z, MOST_TOKENS, COST = 0.05, 4.0, 4_096, -0.15
+PRIOR, LEAST_Z, MOST_TOKENS, COST = 0.05, 2.5, 4_096, -0.15
 #: A token scores if it follows so many different tokens in toxic training documents: in copies of one passage it
 #: always follows the same one, and a passage that was copied proves nothing about its words. It must also occur in
 #: so many of them, and its odds must be so many times those in clean documents (log).
-LEAST_CONTEXTS, LEAST_DOCS, LEAST_ODDS = 5, 5, 3.0
+LEAST_CONTEXTS, LEAST_DOCS, LEAST_ODDS = 3, 3, 3.0
 
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
