@@ -28,6 +28,8 @@ PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{
 
 #: Pieces that a worker remembers at most; beyond it the older half is forgotten. Bounds memory, not results.
 REMEMBERED = 300_000
+#: Pairs of tokens whose compatibility a worker remembers at most.
+PAIRS = 400_000
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -78,7 +80,7 @@ class Tokenizer:
         self.alphabet = alphabet
         self.pattern = regex.compile(PIECES)
         self.special = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -93,7 +95,7 @@ class Tokenizer:
         Walks down the merge trees along the seam, undoing the later merge first; a merge across the seam that
         comes before the merge undone last would have been made.
         """
-        key = (a, b)
+        key = a << 32 | b
         known = self.pairs.get(key)
         if known is not None:
             return known
@@ -113,7 +115,7 @@ class Tokenizer:
             else:
                 out = True
                 break
-        if len(self.pairs) >= 2_000_000:
+        if len(self.pairs) >= PAIRS:
             self.pairs.clear()
         self.pairs[key] = out
         return out
