@@ -25,8 +25,6 @@ from . import common as C
 
 #: Words that are exchanged, classes they are put into, sweeps at most, classes by count (up to 2**i) for the others.
 WORDS, CLASSES, SWEEPS, BY_COUNT = 1_000, 60, 8, 24
-#: Candidates for the exchanged words that each block may name (their counts are exact all the same).
-NAMED = 4 * WORDS
 END = CLASSES + BY_COUNT + 1
 TOTAL = END + 1
 #: Weight of the class unigram in smoothed transitions, added count.
@@ -73,31 +71,27 @@ def _count(buckets: int):
 
 
 def _answer(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Owners of one range of words: totals for every block that asked; the first asker also reports the words."""
+    """Owners of one range of words: totals for every block that asked; the first asker also reports the words.
+
+    An owner's totals are exact, and a word has one owner: the most frequent words of all are among its own.
+    """
     order = np.argsort(pdf["blk"].to_numpy(), kind="stable")
     blks = pdf["blk"].to_numpy()[order]
     words = [np.frombuffer(pdf["words"].iloc[i], np.uint64) for i in order]
     counts = [np.frombuffer(C.unpack(pdf["counts"].iloc[i]), np.int32) for i in order]
     every, code = np.unique(np.concatenate(words), return_inverse=True)
     totals = np.bincount(code, weights=np.concatenate(counts), minlength=len(every)).astype(np.int64)
+    signed = every.view(np.int64)
+    top = np.lexsort((signed, -totals))[:WORDS]
+    top = top[totals[top] > 0]
     new = np.ones(len(every), bool)
     rows, at = [], 0
-    for blk, w in zip(blks, words):
+    for i, (blk, w) in enumerate(zip(blks, words)):
         own = code[at : at + len(w)]
         at += len(w)
-        rows.append((int(blk), C.pack(totals[own].tobytes()), C.pack(np.packbits(new[own]).tobytes()), int(pdf["bucket"].iloc[0])))
+        rows.append((int(blk), C.pack(totals[own].tobytes()), C.pack(np.packbits(new[own]).tobytes()), int(pdf["bucket"].iloc[0]), *((None, None) if i else (signed[top], totals[top]))))
         new[own] = False
-    return pd.DataFrame(rows, columns=["blk", "totals", "new", "bucket"])
-
-
-def _frequent(batches):
-    """Each batch names its most frequent training words with their counts."""
-    for pdf in batches:
-        _, train, texts = _texts(pdf)
-        h, first = _tokens(texts)
-        words, counts = np.unique(h[_owned(train, first)], return_counts=True)
-        top = np.argsort(-counts, kind="stable")[:NAMED]
-        yield pd.DataFrame({"word": words[top].view(np.int64), "n": counts[top]})
+    return pd.DataFrame(rows, columns=["blk", "totals", "new", "bucket", "top", "top_n"])
 
 
 def _bigrams(names):
@@ -184,6 +178,7 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) ->
     return of[:words]
 
 
+TOLD = "blk long, totals binary, new binary, bucket long, top array<long>, top_n array<long>"
 REDUCED = "doc_id long, train boolean, n_tokens long, n_known long, log_counts double, codes array<int>, times array<int>, kinds array<long>, masses array<long>, moves array<long>"
 
 
@@ -274,20 +269,19 @@ def class_scores(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     train = F.coalesce(C.crc_mod("doc_id", 5) != 1, F.lit(True))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("train", train)
-    named = own.mapInPandas(_frequent, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(WORDS)
+    blocks = C.block_count(docs)
+    buckets = 1 << max(0, (blocks - 1).bit_length())
+    blocked = own.withColumn("blk", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)))
+    asked = blocked.groupBy("blk").applyInPandas(_count(buckets), "blk long, bucket long, words binary, counts binary")
+    told = C.cut(asked.groupBy("bucket").applyInPandas(_answer, TOLD), "class-lm-words")
+    named = told.where("top is not null").select(F.explode(F.arrays_zip("top", "top_n")).alias("t")).select(F.col("t.top").alias("word"), F.col("t.top_n").alias("n")).orderBy(F.desc("n"), "word").limit(WORDS)
     names = np.sort(np.array([r.word for r in named.collect()], np.int64).view(np.uint64))
     sent = spark.sparkContext.broadcast(names)
     pairs = np.zeros((len(names) + 2, len(names) + 2))
     for r in own.mapInPandas(_bigrams(sent), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas().itertuples(index=False):
         pairs[r.pair // len(pairs), r.pair % len(pairs)] = r.n
     classes = spark.sparkContext.broadcast(exchange(pairs))
-
-    blocks = C.block_count(docs)
-    buckets = 1 << max(0, (blocks - 1).bit_length())
-    blocked = own.withColumn("blk", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)))
-    asked = blocked.groupBy("blk").applyInPandas(_count(buckets), "blk long, bucket long, words binary, counts binary")
-    told = asked.groupBy("bucket").applyInPandas(_answer, "blk long, totals binary, new binary, bucket long")
-    reduced = C.cut(blocked.groupBy("blk").cogroup(told.groupBy("blk")).applyInPandas(_reduce(sent, classes), REDUCED), "class-lm")
+    reduced = C.cut(blocked.groupBy("blk").cogroup(told.select("blk", "totals", "new", "bucket").groupBy("blk")).applyInPandas(_reduce(sent, classes), REDUCED), "class-lm")
     t = totals(reduced)
     steps = spark.sparkContext.broadcast(t.step.ravel())
     # c of the end token is the number of training texts.

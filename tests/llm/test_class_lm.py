@@ -79,3 +79,17 @@ def test_exchange_is_a_local_optimum():
 
 def test_empty(spark):
     assert L.class_scores(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+@pytest.mark.parametrize("parts", [1, 30])
+def test_exchanged_words_are_the_most_frequent_however_rows_are_dealt(spark, monkeypatch, parts):
+    """In every document 4,100 words are ahead of "z", but not in all of them together."""
+    rows = [(i, " ".join([f"w{i}_{j}" for j in range(4100)] * 2 + ["z"])) for i in range(30)]
+    monkeypatch.setattr(L, "WORDS", 1)
+    monkeypatch.setattr(L.C, "block_count", lambda *_: 7)
+    seen = []
+    whole = L.exchange
+    monkeypatch.setattr(L, "exchange", lambda pairs, *a: seen.append(pairs) or whole(pairs, *a))
+    L.class_scores(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)).collect()
+    train = sum(zlib.crc32(str(i).encode()) % 5 != 1 for i, _ in rows)
+    assert seen[0][0].sum() == train
