@@ -1,10 +1,13 @@
 """LM scoring: a Brown class-based bigram model.
 
 log P(text) = sum over tokens of log P(class | class before) + log P(word | class). Words are put into classes by
-exchange clustering: starting from classes by frequency, each word in turn moves to the class where the training
-bigrams' likelihood is largest, until nothing moves. The ``WORDS`` most frequent words are exchanged; all other words
-belong to classes by the size of their count (their bigrams are too few to say more), unseen words to the last of
-these, and the end of a text to a class of its own.
+exchange clustering: words move to the class where the training bigrams' likelihood is largest. Every word that occurs
+``FLOOR`` times is exchanged, so their number grows with the corpus. The ``WORDS`` most frequent are first exchanged one
+after the other, which gives the classes to start from; then all are exchanged in steps over the sparse bigram counts,
+dealt by word. In a step a half of the words moves at once, each to its best class given the classes of all others; a
+step that doesn't raise the likelihood is undone, and from then on a quarter as many move at once. After ``STEPS`` steps
+it ends, whether or not a move is left. Words below the floor are put into the class that is likeliest from the classes
+around their own occurrences. Unseen words are one class, and so is the end of a text.
 
 All counts cover the whole training corpus. A word's count is needed where the word is, for vocabularies of any size:
 blocks of documents send their distinct words as packed sorted hashes with counts to the words' owners, who add up
@@ -23,10 +26,11 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-#: Words that are exchanged, classes they are put into, sweeps at most, classes by count (up to 2**i) for the others.
-WORDS, CLASSES, SWEEPS, BY_COUNT = 1_000, 60, 8, 24
-END = CLASSES + BY_COUNT + 1
-TOTAL = END + 1
+#: Least count of an exchanged word; words that are exchanged one by one to start with, classes, sweeps over these at
+#: most, steps of the exchange of all words at most.
+FLOOR, WORDS, CLASSES, SWEEPS, STEPS = 10, 1_000, 60, 8, 10
+#: Classes of unseen words and of the end. While words are exchanged, the first is that of all other words.
+UNSEEN, END, TOTAL = CLASSES, CLASSES + 1, CLASSES + 2
 #: Weight of the class unigram in smoothed transitions, added count.
 BACKOFF, ADD = 2.0, 0.5
 
@@ -73,7 +77,7 @@ def _count(buckets: int):
 def _answer(pdf: pd.DataFrame) -> pd.DataFrame:
     """Owners of one range of words: totals for every block that asked; the first asker also reports the words.
 
-    An owner's totals are exact, and a word has one owner: the most frequent words of all are among its own.
+    An owner's totals are exact, and a word has one owner, so all words from ``FLOOR`` on are reported, once each.
     """
     order = np.argsort(pdf["blk"].to_numpy(), kind="stable")
     blks = pdf["blk"].to_numpy()[order]
@@ -81,38 +85,201 @@ def _answer(pdf: pd.DataFrame) -> pd.DataFrame:
     counts = [np.frombuffer(C.unpack(pdf["counts"].iloc[i]), np.int32) for i in order]
     every, code = np.unique(np.concatenate(words), return_inverse=True)
     totals = np.bincount(code, weights=np.concatenate(counts), minlength=len(every)).astype(np.int64)
-    signed = every.view(np.int64)
-    top = np.lexsort((signed, -totals))[:WORDS]
-    top = top[totals[top] > 0]
+    top = totals >= FLOOR
     new = np.ones(len(every), bool)
     rows, at = [], 0
     for i, (blk, w) in enumerate(zip(blks, words)):
         own = code[at : at + len(w)]
         at += len(w)
-        rows.append((int(blk), C.pack(totals[own].tobytes()), C.pack(np.packbits(new[own]).tobytes()), int(pdf["bucket"].iloc[0]), *((None, None) if i else (signed[top], totals[top]))))
+        rows.append((int(blk), C.pack(totals[own].tobytes()), C.pack(np.packbits(new[own]).tobytes()), int(pdf["bucket"].iloc[0]), *((None, None) if i else (every[top].tobytes(), totals[top].tobytes()))))
         new[own] = False
     return pd.DataFrame(rows, columns=["blk", "totals", "new", "bucket", "top", "top_n"])
 
 
-def _bigrams(names):
-    """Counts of neighbouring pairs among the exchanged words (others are one symbol, the end another)."""
+def _packed(code: np.ndarray, n: np.ndarray) -> tuple[bytes, bytes]:
+    """Sorted codes as differences, and their counts."""
+    return C.pack(np.diff(code, prepend=0).tobytes()), C.pack(n.astype(np.int64).tobytes())
+
+
+def _unpacked(code: bytes, n: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.cumsum(np.frombuffer(C.unpack(code), np.int64)), np.frombuffer(C.unpack(n), np.int64)
+
+
+def _summed(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    code, at = np.unique(np.concatenate(codes), return_inverse=True)
+    return code, np.bincount(at, weights=np.concatenate(counts), minlength=len(code)).astype(np.int64)
+
+
+PAIRS = "part long, side int, code binary, n binary"
+
+
+def _bigrams(names, parts: int):
+    """Counts of neighbouring pairs of exchanged words (others are one symbol, the end another), sparse.
+
+    Side 0 has what stands after each word, side 1 what stands before it; both are dealt by ranges of words. Pairs of
+    the two last symbols are on side 0.
+    """
 
     def run(batches):
         own = names.value
+        size = len(own) + 2
         total = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for pdf in batches:
             _, train, texts = _texts(pdf[pdf["train"]])
             h, first = _tokens(texts)
-            s = _symbols(own, h)
-            seq = np.insert(s, first, len(own) + 1)  # an end before every text, and after the last
-            pairs = seq[:-1].astype(np.int64) * (len(own) + 2) + seq[1:]
-            code, n = np.unique(np.concatenate([total[0], pairs]), return_inverse=True)
-            total = code, np.bincount(n, weights=np.concatenate([total[1], np.ones(len(pairs))]), minlength=len(code)).astype(np.int64)
-        yield pd.DataFrame({"pair": total[0], "n": total[1]})
+            seq = np.insert(_symbols(own, h), first, len(own) + 1)  # an end before every text, and after the last
+            code, n = np.unique(seq[:-1].astype(np.int64) * size + seq[1:], return_counts=True)
+            total = _summed([total[0], code], [total[1], n])
+        edges = _edges(len(own), parts) * size
+        edges[-1] = size * size
+        code, n = total
+        left, right = code // size, code % size
+        turned = right * size + left
+        order = np.argsort(turned, kind="stable")
+        order = order[right[order] < len(own)]
+        fore = np.flatnonzero((left < len(own)) | (right >= len(own)))
+        rows = []
+        for side, (c, m) in enumerate(((code[fore], n[fore]), (turned[order], n[order]))):
+            cuts = np.searchsorted(c, edges)
+            rows += [(k, side, *_packed(c[i:j], m[i:j])) for k, (i, j) in enumerate(zip(cuts[:-1], cuts[1:])) if j > i]
+        yield pd.DataFrame(rows, columns=["part", "side", "code", "n"])
 
     return run
 
 
+def _edges(words: int, parts: int) -> np.ndarray:
+    return np.arange(parts + 1, dtype=np.int64) * words // parts
+
+
+def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
+    own = [_unpacked(c, n) for c, n in zip(pdf["code"], pdf["n"])]
+    return pd.DataFrame([(int(pdf["part"].iloc[0]), int(pdf["side"].iloc[0]), *_packed(*_summed(*map(list, zip(*own)))))], columns=["part", "side", "code", "n"])
+
+
+def _table(pairs: DataFrame, of: np.ndarray, size: int) -> np.ndarray:
+    """Bigram counts of symbols' classes: only cells of the table reach the driver."""
+    sent = pairs.sparkSession.sparkContext.broadcast(of)
+
+    def run(batches):
+        of, full = sent.value, np.int64(len(sent.value))
+        for pdf in batches:
+            for side, code, n in zip(pdf["side"], pdf["code"], pdf["n"]):
+                code, n = _unpacked(code, n)
+                a, b = code // full, code % full
+                if side:  # of the side before a word only what side 0 lacks: the two last symbols before words
+                    a, b, n = (x[b >= full - 2] for x in (b, a, n))
+                cell, m = _summed([of[a].astype(np.int64) * size + of[b]], [n])
+                yield pd.DataFrame({"cell": cell, "n": m})
+
+    out = np.zeros(size * size)
+    cells = pairs.mapInPandas(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    out[cells["cell"].to_numpy(np.int64)] = cells["n"].to_numpy()
+    sent.unpersist()
+    return out.reshape(size, size)
+
+
+def _xlogx(x):
+    return x * np.log(np.maximum(x, 1e-300))
+
+
+def likelihood(table: np.ndarray) -> float:
+    """The part of the training bigrams' likelihood that depends on the classes."""
+    return float(_xlogx(table).sum() - _xlogx(table.sum(0)).sum() - _xlogx(table.sum(1)).sum())
+
+
+def best_classes(of: np.ndarray, table: np.ndarray, after: np.ndarray, before: np.ndarray, selves: np.ndarray) -> np.ndarray:
+    """The class of each word with which the likelihood is largest if all others stay as they are.
+
+    ``of`` has the words' present classes, ``after`` and ``before`` their counts by class after and before (pairs of a
+    word with itself are in ``selves`` only).
+    """
+    rows_all, cols_all = table.sum(1), table.sum(0)
+    d = np.arange(CLASSES)
+    gain = np.zeros((len(of), CLASSES))
+    for side, (x, y, t) in enumerate(((after, before, table), (before, after, table.T))):
+        w, j = np.nonzero(x)
+        for at in np.array_split(np.arange(len(w)), -(-len(w) // 20_000) or 1):  # bounded memory
+            if not len(at):
+                continue
+            v, k = w[at], j[at]
+            add = x[v, k][:, None]
+            old = t[:CLASSES, k].T - (d == of[v][:, None]) * add - (k == of[v])[:, None] * y[v][:, :CLASSES]
+            old -= ((d == of[v][:, None]) & (k == of[v])[:, None]) * selves[v][:, None]
+            starts = np.flatnonzero(np.diff(v, prepend=-1))  # rows of a word are neighbours
+            gain[v[starts]] += np.add.reduceat(_xlogx(old + add) - _xlogx(old), starts)
+    own = np.arange(len(of))
+    stays = d == of[:, None]
+    right, left = after[:, :CLASSES], before[:, :CLASSES]
+    old = np.diag(table)[:CLASSES] - stays * (right + left + selves[:, None])
+    gain -= _xlogx(old + right) + _xlogx(old + left) - _xlogx(old)
+    gain += _xlogx(old + right + left + selves[:, None])
+    for all_of, n in ((rows_all, after.sum(1) + selves), (cols_all, before.sum(1) + selves)):
+        old = all_of[:CLASSES] - stays * n[:, None]
+        gain -= _xlogx(old + n[:, None]) - _xlogx(old)
+    best = gain.argmax(1)
+    now = np.minimum(of, CLASSES - 1)
+    return np.where((of < CLASSES) & (gain[own, best] <= gain[own, now] + 1e-9), of, best)
+
+
+def _moves(pairs: DataFrame, of: np.ndarray, table: np.ndarray, parts: int) -> np.ndarray:
+    """Where each word would move; one byte a word reaches the driver."""
+    sent = pairs.sparkSession.sparkContext.broadcast((of, table))
+    words = len(of) - 2
+    edges = _edges(words, parts)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        of, table = sent.value
+        part, full = int(pdf["part"].iloc[0]), len(of)
+        a, b = int(edges[part]), int(edges[part + 1])
+        found = np.zeros((2, b - a, TOTAL))
+        selves = np.zeros(b - a)
+        for side, code, n in zip(pdf["side"], pdf["code"], pdf["n"]):
+            code, n = _unpacked(code, n)
+            v, x = code // full, code % full
+            if side == 0:
+                same = v == x
+                selves[v[same & (v < words)] - a] = n[same & (v < words)]
+            use = (v < b) & (v != x)
+            found[side] = np.bincount((v[use] - a) * TOTAL + of[x[use]], weights=n[use], minlength=(b - a) * TOTAL).reshape(b - a, TOTAL)
+        return pd.DataFrame({"part": [part], "best": [best_classes(of[a:b].astype(np.int64), table, found[0], found[1], selves).astype(np.uint8).tobytes()]})
+
+    out = of.copy()
+    for r in pairs.groupBy("part").applyInPandas(run, "part long, best binary").collect():
+        out[edges[r["part"]] : edges[r["part"] + 1]] = np.frombuffer(r["best"], np.uint8)
+    sent.unpersist()
+    return out
+
+
+def cluster(pairs: DataFrame, totals: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Class of every exchanged word (and the two last symbols), and the class bigrams that they give."""
+    words = len(totals)
+    top = np.lexsort((np.arange(words), -totals))[:WORDS]
+    first = np.full(words + 2, len(top), np.int32)
+    first[top] = np.arange(len(top))
+    first[-1] = len(top) + 1
+    of = np.full(words + 2, UNSEEN, np.uint8)
+    of[-1] = END
+    of[top] = exchange(_table(pairs, first, len(top) + 2))
+    table = _table(pairs, of, TOTAL)
+    if words > len(top):  # the others join them, all at once
+        of = np.where(of == UNSEEN, _moves(pairs, of, table, parts), of)
+        of[-2] = UNSEEN
+        table = _table(pairs, of, TOTAL)
+        groups = turn = 2
+        for _ in range(STEPS):
+            moving = np.append(np.arange(words) % groups == turn % groups, [False, False])
+            new = np.where(moving, _moves(pairs, of, table, parts), of)
+            if (new == of).all():
+                turn += 1
+                continue
+            changed = _table(pairs, new, TOTAL)
+            if likelihood(changed) > likelihood(table):
+                of, table, turn = new, changed, turn + 1
+            else:
+                groups *= 4
+    return of, table
+
+
 def _symbols(names: np.ndarray, h: np.ndarray) -> np.ndarray:
     """Position of each word among the sorted names; len(names) for all others."""
     if not len(names):
@@ -178,14 +345,79 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) ->
     return of[:words]
 
 
-TOLD = "blk long, totals binary, new binary, bucket long, top array<long>, top_n array<long>"
+TOLD = "blk long, totals binary, new binary, bucket long, top binary, top_n binary"
 REDUCED = "doc_id long, train boolean, n_tokens long, n_known long, log_counts double, codes array<int>, times array<int>, kinds array<long>, masses array<long>, moves array<long>"
 
 
-def _classes(symbols: np.ndarray, counts: np.ndarray, exchanged: np.ndarray) -> np.ndarray:
-    """Class of each word: the exchanged words' own, for others by the size of the count, zero for unseen."""
-    by_count = CLASSES + np.where(counts > 0, np.minimum(1 + np.floor(np.log2(np.maximum(counts, 1))).astype(np.int64), BY_COUNT), 0)
-    return np.where(symbols < len(exchanged), np.append(exchanged, 0)[symbols], by_count).astype(np.int64)
+def _answers(answers: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
+    """What owners told a block: rows in order of its words, their totals, and how many words each row has."""
+    parts = answers.sort_values("bucket", kind="stable")
+    raw = list(map(C.unpack, parts["totals"]))
+    return parts, np.frombuffer(b"".join(raw), np.int64), np.array([len(x) // 8 for x in raw], np.int64)
+
+
+def _rare(totals: np.ndarray) -> np.ndarray:
+    return (totals > 0) & (totals < FLOOR)
+
+
+def _contexts(names, classes):
+    """Blocks send the words below the floor with the classes before and after each training occurrence."""
+
+    def run(docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        columns = ["blk", "bucket", "words", "times", "around"]
+        if not len(docs):
+            return pd.DataFrame(columns=columns)
+        _, train, texts = _texts(docs)
+        h, first = _tokens(texts)
+        words, code = np.unique(h, return_inverse=True)
+        parts, totals, sizes = _answers(answers)
+        kind = np.append(classes.value[:-2], UNSEEN)[_symbols(names.value, words)].astype(np.uint8)
+        rare = _rare(totals)
+        line = np.insert(kind[code], first, END)
+        at = np.arange(len(h)) + np.repeat(np.arange(1, len(first)), np.diff(first))  # of each word in the line
+        use = np.flatnonzero(_owned(train, first) & rare[code])
+        use = use[np.argsort(code[use], kind="stable")]
+        around = np.stack([line[at[use] - 1], line[at[use] + 1]], 1).astype(np.uint8)
+        times = np.bincount(code[use], minlength=len(words))
+        ends = np.append(0, np.cumsum(times))
+        rows, a = [], 0
+        for bucket, n in zip(parts["bucket"], sizes):
+            own = np.flatnonzero(rare[a : a + n]) + a
+            if len(own):
+                rows.append((int(docs["blk"].iloc[0]), int(bucket), words[own].tobytes(), C.pack(times[own].astype(np.uint8).tobytes()), C.pack(around[ends[a] : ends[a + n]].tobytes())))
+            a += n
+        return pd.DataFrame(rows, columns=columns)
+
+    return run
+
+
+def _place(table):
+    """Owners put each word below the floor into the class likeliest from all its contexts, and tell every block."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("blk", kind="stable")
+        words = [np.frombuffer(x, np.uint64) for x in pdf["words"]]
+        times = np.concatenate([np.frombuffer(C.unpack(x), np.uint8) for x in pdf["times"]])
+        around = np.concatenate([np.frombuffer(C.unpack(x), np.uint8).reshape(-1, 2) for x in pdf["around"]])
+        every, code = np.unique(np.concatenate(words), return_inverse=True)
+        t = table.value + ADD
+        logs = np.log(t)
+        rows, cols = np.log(t.sum(1)), np.log(t.sum(0))
+        found = np.repeat(code, times)
+        left = np.bincount(found * TOTAL + around[:, 0], minlength=len(every) * TOTAL).reshape(-1, TOTAL)
+        right = np.bincount(found * TOTAL + around[:, 1], minlength=len(every) * TOTAL).reshape(-1, TOTAL)
+        score = left @ logs[:, :CLASSES] + right @ logs[:CLASSES].T - np.bincount(found, minlength=len(every))[:, None] * (rows + cols)[:CLASSES]
+        best = score.argmax(1).astype(np.uint8)[code]
+        ends = np.cumsum([0, *map(len, words)])
+        return pd.DataFrame([(int(b), int(k), C.pack(best[i:j].tobytes())) for b, k, i, j in zip(pdf["blk"], pdf["bucket"], ends[:-1], ends[1:])], columns=["blk", "bucket", "placed"])
+
+    return run
+
+
+def _classes(symbols: np.ndarray, counts: np.ndarray, exchanged: np.ndarray, placed: np.ndarray) -> np.ndarray:
+    """Class of each word: the exchanged words' own, for others where they were placed, and one of the unseen."""
+    known = np.where(symbols < len(exchanged), np.append(exchanged, 0)[symbols], placed)
+    return np.where(counts > 0, known, UNSEEN).astype(np.int64)
 
 
 def _reduce(names, classes):
@@ -196,13 +428,14 @@ def _reduce(names, classes):
         ids, train, texts = _texts(docs)
         h, first = _tokens(texts)
         words, code = np.unique(h, return_inverse=True)
-        parts = answers.sort_values("bucket", kind="stable")
-        totals = np.frombuffer(b"".join(map(C.unpack, parts["totals"])), np.int64)
-        sizes = [len(C.unpack(x)) // 8 for x in parts["totals"]]
-        new = np.concatenate([np.unpackbits(np.frombuffer(C.unpack(x), np.uint8))[:n] for x, n in zip(parts["new"], sizes)]).astype(bool) if sizes else np.zeros(0, bool)
+        parts, totals, sizes = _answers(answers)
+        new = np.concatenate([np.unpackbits(np.frombuffer(C.unpack(x), np.uint8))[:n] for x, n in zip(parts["new"], sizes)]).astype(bool) if len(sizes) else np.zeros(0, bool)
+        placed = np.zeros(len(words), np.uint8)
+        placed[_rare(totals)] = np.frombuffer(b"".join(C.unpack(x) for x in parts["placed"] if x is not None), np.uint8)
         own = names.value
         s = _symbols(own, words)
-        kind, left_out = _classes(s, totals, classes.value), _classes(s, totals - 1, classes.value)
+        own_classes = classes.value[:-2]
+        kind, left_out = _classes(s, totals, own_classes, placed), _classes(s, totals - 1, own_classes, placed)
         # Distinct known words of each class that this block is the first to name, and their tokens.
         first_named = new & (totals > 0)
         kinds = np.bincount(kind[first_named], minlength=TOTAL)
@@ -274,14 +507,19 @@ def class_scores(docs: DataFrame) -> DataFrame:
     blocked = own.withColumn("blk", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)))
     asked = blocked.groupBy("blk").applyInPandas(_count(buckets), "blk long, bucket long, words binary, counts binary")
     told = C.cut(asked.groupBy("bucket").applyInPandas(_answer, TOLD), "class-lm-words")
-    named = told.where("top is not null").select(F.explode(F.arrays_zip("top", "top_n")).alias("t")).select(F.col("t.top").alias("word"), F.col("t.top_n").alias("n")).orderBy(F.desc("n"), "word").limit(WORDS)
-    names = np.sort(np.array([r.word for r in named.collect()], np.int64).view(np.uint64))
+    named = told.where("top is not null").select("top", "top_n").collect()
+    names, counts = (np.frombuffer(b"".join(r[c] for r in named), kind) for c, kind in (("top", np.uint64), ("top_n", np.int64)))
+    order = np.argsort(names, kind="stable")
+    names, counts = names[order], counts[order]
     sent = spark.sparkContext.broadcast(names)
-    pairs = np.zeros((len(names) + 2, len(names) + 2))
-    for r in own.mapInPandas(_bigrams(sent), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas().itertuples(index=False):
-        pairs[r.pair // len(pairs), r.pair % len(pairs)] = r.n
-    classes = spark.sparkContext.broadcast(exchange(pairs))
-    reduced = C.cut(blocked.groupBy("blk").cogroup(told.select("blk", "totals", "new", "bucket").groupBy("blk")).applyInPandas(_reduce(sent, classes), REDUCED), "class-lm")
+    parts = max(1, min(buckets, len(names)))
+    pairs = C.cut(own.mapInPandas(_bigrams(sent, parts), PAIRS).groupBy("part", "side").applyInPandas(_merge, PAIRS), "class-lm-pairs")
+    of, table = cluster(pairs, counts, parts)
+    classes, moves = spark.sparkContext.broadcast(of), spark.sparkContext.broadcast(table)
+    asked = blocked.groupBy("blk").cogroup(told.select("blk", "totals", "bucket").groupBy("blk")).applyInPandas(_contexts(sent, classes), "blk long, bucket long, words binary, times binary, around binary")
+    placed = asked.groupBy("bucket").applyInPandas(_place(moves), "blk long, bucket long, placed binary")
+    told = told.select("blk", "totals", "new", "bucket").join(placed, ["blk", "bucket"], "left")
+    reduced = C.cut(blocked.groupBy("blk").cogroup(told.groupBy("blk")).applyInPandas(_reduce(sent, classes), REDUCED), "class-lm")
     t = totals(reduced)
     steps = spark.sparkContext.broadcast(t.step.ravel())
     # c of the end token is the number of training texts.

@@ -93,3 +93,60 @@ def test_exchanged_words_are_the_most_frequent_however_rows_are_dealt(spark, mon
     L.class_scores(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)).collect()
     train = sum(zlib.crc32(str(i).encode()) % 5 != 1 for i, _ in rows)
     assert seen[0][0].sum() == train
+
+
+def test_all_words_from_the_floor_are_exchanged_and_rarer_ones_placed(spark, monkeypatch):
+    """Nouns and verbs take turns: beyond the first 100 words they keep apart in classes only if they are exchanged."""
+    r = random.Random(4)
+    nouns, verbs = [f"n{i}" for i in range(700)], [f"v{i}" for i in range(700)]
+    rows = [(i, " ".join(w for _ in range(100) for w in (r.choice(nouns), r.choice(verbs)))) for i in range(500)]
+    rows += [(1000 + i, f"{r.choice(nouns)} rare{i % 3} {r.choice(nouns)}") for i in range(12)]
+    monkeypatch.setattr(L, "WORDS", 100)
+    monkeypatch.setattr(L.C, "block_count", lambda *_: 5)
+    kept = {}
+    whole, reduce = L.cluster, L._reduce
+    monkeypatch.setattr(L, "cluster", lambda *a: kept.setdefault("of", whole(*a)))
+    monkeypatch.setattr(L, "_reduce", lambda names, of: kept.setdefault("names", names.value) is None or reduce(names, of))
+    got = {x.doc_id: x for x in L.class_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    of, table = kept["of"]
+    assert len(of) == 1400 + 2 and (of[:-2] < L.CLASSES).all()
+    sides = []
+    for side in (nouns, verbs):
+        h, _ = L._tokens([" ".join(side).encode()])
+        sides.append(np.bincount(of[np.searchsorted(kept["names"], h)], minlength=L.CLASSES))
+    assert np.minimum(*sides).sum() < 0.02 * 1400  # words in a class of mostly the other kind
+    assert got[1000].score > got[1000].base_score - 5
+
+
+def test_best_class_is_the_best_of_all(monkeypatch):
+    r = np.random.default_rng(3)
+    words, k = 12, 4
+    monkeypatch.setattr(L, "CLASSES", k)
+    pairs = r.integers(0, 5, (words + 2, words + 2)).astype(float)
+    of = np.append(r.integers(0, k, words), [k, k + 1])
+    of[:2] = k
+
+    def table(assign):
+        m = np.zeros((words + 2, k + 2))
+        m[np.arange(words + 2), assign] = 1
+        return m, m.T @ pairs @ m
+
+    member, now = table(of)
+    selves = np.diag(pairs)[:words]
+    bare = pairs - np.diag(np.diag(pairs))
+    best = L.best_classes(of[:words], now, (bare @ member)[:words], (bare.T @ member)[:words], selves)
+    for w in range(words):
+        values = [L.likelihood(table(np.where(np.arange(words + 2) == w, d, of))[1]) for d in range(k)]
+        assert values[best[w]] >= max(values) - 1e-6
+
+
+def test_rare_words_go_where_their_contexts_are_likeliest(monkeypatch):
+    table = np.ones((L.TOTAL, L.TOTAL))
+    table[3, 7] = table[7, 5] = 1000
+
+    class Sent:
+        value = table
+
+    asked = [(b, 0, np.array([11, 12], np.uint64).tobytes(), L.C.pack(np.array([1, 0], np.uint8).tobytes()), L.C.pack(np.array([[3, 5]], np.uint8).tobytes())) for b in (0, 1)]
+    got = L._place(Sent)(L.pd.DataFrame(asked, columns=["blk", "bucket", "words", "times", "around"]))
+    assert [L.C.unpack(x)[0] for x in got["placed"]] == [7, 7]
