@@ -38,9 +38,9 @@ def pairs_normalize(spark, d):
 
 
 def header_detect(spark, d):
-    """Which headers and first rows read like a header, over the pages' addresses cut at slashes."""
-    rows = [["id", "score"], ["a", "b"], ["id_a", "id_b", "3"], ["left", "right"], ["x"], ["Record A", "record_b"]]
-    return spark.createDataFrame([("|".join(r), parsing.looks_like_header(r)) for r in rows], "row string, header boolean")
+    """Which rows read like a header: every page's address, cut at slashes."""
+    own = table(spark, d, "pages").select("page_id", F.split("url", "/").alias("cells"))
+    return own.select("page_id", F.array_join("cells", "|").alias("row"), F.udf(parsing.looks_like_header, "boolean")("cells").alias("header"))
 
 
 def path_access(spark, d):

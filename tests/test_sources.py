@@ -133,3 +133,12 @@ def test_service(spark, tmp_path):
         with pytest.raises(Invalid):
             bad()
     assert s.health()["ok"]
+
+
+def test_header_detect_reads_every_page(spark, tmp_path):
+    from recordloom.plans import reading
+
+    urls = ["http://x.org/id/a", "id/score", "a/b", "id/3", None]
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r.page_id: r.header for r in reading.header_detect(spark, str(tmp_path)).collect()}
+    assert got == {i: P.looks_like_header(u.split("/") if u else None) for i, u in enumerate(urls)} and got[1] and not got[2]
