@@ -1,13 +1,15 @@
 """Approximate nearest neighbours by collision counting over query-centred windows.
 
-Unit vectors are projected on random lines. Each block of the index keeps, for each line, its projections in a
-sorted array. A query opens on every line a window around its own projection; a vector inside a window has collided
-once. Virtual rehashing widens the windows round by round (radius times ``STEP``), and only the newly covered ends of
-the sorted arrays are counted. A vector with at least ``THRESHOLD`` collisions is verified with its exact cosine. At
-radius R a vector within distance R reaches the threshold with overwhelming probability, so a query stops once its
-k-th best verified vector is within R; the last round covers everything, so no query ends with too few.
-
-Queries and vectors meet block by block: any two blocks are one task of bounded size. Every vector is indexed.
+Unit vectors are projected on random lines, which are orthogonal in groups as large as the dimension: that evens out
+how many windows a vector of a given distance falls into. Each block of the index keeps, for each line, its
+projections in a sorted array. A query opens on every line a window around its own projection; a vector inside a
+window has collided once. Virtual rehashing widens the windows round by round (radius times ``STEP``), and only the
+newly covered ends of the sorted arrays are counted. A vector with collisions on a share of ``THRESHOLD`` of the lines
+is verified with its exact cosine. A query stops once its k-th best verified vector is within the radius; the last
+round covers everything, so no query ends with too few.
+
+Every vector is indexed, once: the blocks of vectors are dealt out, each sorts its arrays, and the queries stream past
+it in slices, so a task holds one block and one slice.
 """
 
 from __future__ import annotations
@@ -20,13 +22,21 @@ from pyspark.sql import functions as F
 from . import common as C
 
 #: Lines, window width in radii, share of lines on which a vector must collide, first radius, growth of the radius.
-LINES, WIDTH, THRESHOLD, FIRST, STEP = 48, 2.7, 0.65, 0.25, 1.25
-#: Rows in a block of vectors and of queries.
-VECTORS, QUERIES = 8_192, 2_048
+LINES, WIDTH, THRESHOLD, FIRST, STEP = 192, 3.0, 0.845, 0.2, 1.06
+#: Vectors in a block, queries in a slice.
+VECTORS, QUERIES = 8_192, 128
 
 
 def lines(dim: int) -> np.ndarray:
-    return np.random.default_rng(20_240 + dim).standard_normal((dim, LINES))
+    """Directions in orthogonal groups, scaled so that a projection of a vector has its length as standard deviation."""
+    random = np.random.default_rng(20_240 + dim)
+    turns = [np.linalg.qr(random.standard_normal((dim, min(dim, LINES))))[0] for _ in range(-(-LINES // dim))]
+    return np.concatenate(turns, 1)[:, :LINES] * np.sqrt(dim)
+
+
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """Vectors divided by the power of two next to their largest component: exact, and no square leaves the range."""
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(1))[1][:, None])
 
 
 class Block:
@@ -34,66 +44,94 @@ class Block:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         order = np.argsort(ids, kind="stable")
-        self.ids, self.vectors = ids[order], vectors[order].astype(np.float64)
+        self.ids, self.vectors = ids[order], scaled(vectors[order].astype(np.float64))
         self.norms = np.sqrt((self.vectors * self.vectors).sum(1))
-        projected = (self.vectors / self.norms[:, None]) @ lines(vectors.shape[1])
-        self.order = np.argsort(projected, axis=0, kind="stable").T.copy()
+        self.lines = lines(vectors.shape[1])
+        projected = ((self.vectors / self.norms[:, None]) @ self.lines).astype(np.float32)
+        self.order = np.argsort(projected, axis=0, kind="stable").T.astype(np.int32)
         self.sorted = np.take_along_axis(projected.T, self.order, 1)
+        #: vectors verified, over all queries
+        self.verified = 0
 
     def windows(self, projected: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
-        half = WIDTH * radius / 2
+        half = np.float32(WIDTH * radius / 2)
         lo = np.stack([np.searchsorted(s, p - half, "left") for s, p in zip(self.sorted, projected.T)], 1)
         return lo, np.stack([np.searchsorted(s, p + half, "right") for s, p in zip(self.sorted, projected.T)], 1)
 
+    def _collisions(self, parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Vectors in the parts, and how often; few are told by sorting them, many by counting over the block."""
+        met = np.concatenate(parts)
+        if len(met) * 8 < len(self.ids):
+            return np.unique(met, return_counts=True)
+        times = np.bincount(met, minlength=len(self.ids))
+        at = np.flatnonzero(times)
+        return at, times[at]
+
     def search(self, ids: np.ndarray, queries: np.ndarray, k: int):
         """(query, vec, score) of the k best verified vectors of each query."""
-        queries = queries.astype(np.float64)
+        queries = scaled(queries.astype(np.float64))
         norms = np.sqrt((queries * queries).sum(1))
-        projected = (queries / norms[:, None]) @ lines(queries.shape[1])
-        radii = [FIRST * STEP**i for i in range(64) if FIRST * STEP**i < 2.6]
-        rounds = {}
+        projected = ((queries / norms[:, None]) @ self.lines).astype(np.float32)
+        radii = [FIRST * STEP**i for i in range(256) if FIRST * STEP**i < 2.6]
         need = int(np.ceil(THRESHOLD * LINES))
-        n = len(self.ids)
-        for i, query in enumerate(ids):
-            count, seen = np.zeros(n, np.int64), np.zeros(n, bool)
-            found, scores = np.zeros(0, np.int64), np.zeros(0)
-            a = b = None
-            for step, radius in enumerate([*radii, np.inf]):
-                if step not in rounds:
-                    rounds[step] = self.windows(projected, min(radius, 1e9))
-                lo, hi = rounds[step][0][i], rounds[step][1][i]
-                if a is None:
-                    parts = [o[x:y] for o, x, y in zip(self.order, lo, hi)]
-                else:
-                    parts = [o[x:y] for o, x, y in zip(self.order, lo, a)] + [o[x:y] for o, x, y in zip(self.order, b, hi)]
-                a, b = lo, hi
-                count += np.bincount(np.concatenate(parts), minlength=n)
-                new = np.flatnonzero((count >= need) & ~seen)
+        n, arrays = len(self.ids), self.order
+        zero = np.searchsorted(self.sorted[0], projected[:, 0])
+        state = [(np.zeros(n, np.int16), np.zeros(0, np.int64), np.zeros(0)) for _ in ids]
+        before = np.repeat(zero[:, None], LINES, 1)
+        for line in range(1, LINES):
+            before[:, line] = np.searchsorted(self.sorted[line], projected[:, line])
+        a = b = before
+        live = list(range(len(ids)))
+        for radius in [*radii, np.inf]:
+            lo, hi = (np.zeros_like(a), np.full_like(b, n)) if radius == np.inf else self.windows(projected, radius)
+            going = []
+            for i in live:
+                count, found, scores = state[i]
+                parts = [o[x:y] for o, x, y in zip(arrays, lo[i], a[i])] + [o[x:y] for o, x, y in zip(arrays, b[i], hi[i])]
+                at, times = self._collisions(parts)
+                old = count[at]
+                count[at] = old + times
+                new = at[(old < need) & (old + times >= need)]
                 if len(new):
-                    seen[new] = True
-                    new = new[self.ids[new] != query]
+                    new = new[self.ids[new] != ids[i]]
+                    self.verified += len(new)
                     own = (self.vectors[new] * queries[i]).sum(1) / (self.norms[new] * norms[i])
                     found, scores = np.concatenate([found, new]), np.concatenate([scores, own])
                     best = np.lexsort((self.ids[found], -scores))[:k]
                     found, scores = found[best], scores[best]
-                if len(found) >= k and scores[-1] >= 1 - radius * radius / 2:
-                    break
-            for v, s in zip(self.ids[found].tolist(), scores.tolist()):
+                    state[i] = count, found, scores
+                if len(found) < k or scores[-1] < 1 - radius * radius / 2:
+                    going.append(i)
+            live, a, b = going, lo, hi
+            if not live:
+                break
+        for i, query in enumerate(ids):
+            for v, s in zip(self.ids[state[i][1]].tolist(), state[i][2].tolist()):
                 yield int(query), v, s
 
 
-def _matrix(pdf: pd.DataFrame, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    own = pdf[pdf["dim"] == dim]
-    return own["vec_id"].to_numpy(np.int64), np.stack(own["vector"].to_list()) if len(own) else np.zeros((0, dim))
+def _matrix(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    return pdf["vec_id"].to_numpy(np.int64), np.stack(pdf["vector"].to_list())
+
 
+def _stream(k: int):
+    """Rows come sorted by block and dimension, the block's vectors before the queries."""
 
-def _meet(k: int):
-    def run(vectors: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        if len(vectors) and len(queries):
-            for dim in sorted(set(vectors["dim"]) & set(queries["dim"])):
-                rows += Block(*_matrix(vectors, dim)).search(*_matrix(queries, dim), k)
-        return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"])
+    def run(batches):
+        at, own, block = None, [], None
+        for pdf in batches:
+            rows = []
+            for (vb, dim, query), part in pdf.groupby(["vb", "dim", "query"], sort=True):
+                if (vb, dim) != at:
+                    at, own, block = (vb, dim), [], None
+                if not query:
+                    own.append(part)
+                    continue
+                if block is None and own:
+                    block, own = Block(*_matrix(pd.concat(own))), []
+                for s in range(0, len(part) if block else 0, QUERIES):
+                    rows += block.search(*_matrix(part.iloc[s : s + QUERIES]), k)
+            yield pd.DataFrame(rows, columns=["query_id", "vec_id", "score"])
 
     return run
 
@@ -103,16 +141,15 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
 
     Both tables have vec_id and embedding. Rows whose vec_id or embedding is null, empty, all zero, or holds a null
     or non-finite component take no part; vectors of different lengths never meet. Equal scores go to the smaller
-    vec_id. Of rows that share a vec_id each takes part. Empty tables give an empty result.
+    vec_id. Of rows that share a vec_id each is a candidate; queries that share one are answered together, with the k
+    best of all that they find. Components may be as large or small as doubles can be. Empty tables give an empty result.
     """
     own, asked = _valid(vectors), _valid(queries)
-    n, m = own.count(), asked.count()
-    v, q = max(1, -(-n // VECTORS)), max(1, -(-m // QUERIES))
-    place = lambda b: F.pmod(F.xxhash64("vec_id"), F.lit(b)).cast("int")
-    every = lambda b: F.explode(F.sequence(F.lit(0), F.lit(b - 1)))
-    left = own.withColumn("vb", place(v)).withColumn("qb", every(q))
-    right = asked.withColumn("qb", place(q)).withColumn("vb", every(v))
-    met = left.groupBy("vb", "qb").cogroup(right.groupBy("vb", "qb")).applyInPandas(_meet(k), "query_id long, vec_id long, score double")
+    blocks = max(1, -(-own.count() // VECTORS))
+    left = own.select(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("vb"), "dim", F.lit(False).alias("query"), "vec_id", "vector")
+    right = asked.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("vb"), "dim", F.lit(True).alias("query"), "vec_id", "vector")
+    dealt = left.unionByName(right).repartitionByRange(blocks, "vb").sortWithinPartitions("vb", "dim", "query", "vec_id")
+    met = dealt.mapInPandas(_stream(k), "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return met.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -1,6 +1,9 @@
 import math
+import os
 
 import numpy as np
+import pyarrow.parquet as pq
+import pytest
 
 from recordloom.llm import ann as A
 
@@ -27,7 +30,7 @@ def found(spark, rows):
 
 def test_recall_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(A, "VECTORS", 700)
-    monkeypatch.setattr(A, "QUERIES", 30)
+    monkeypatch.setattr(A, "QUERIES", 7)
     r = np.random.default_rng(3)
     centers = r.standard_normal((10, 64))
     rows = [(i, (centers[i % 10] + r.standard_normal(64) * (0.4 + i % 7 / 5)).astype(np.float32).tolist()) for i in range(2500)]
@@ -50,3 +53,31 @@ def test_ties_and_left_out_rows(spark):
 
 def test_empty(spark):
     assert found(spark, []) == {}
+
+
+@pytest.mark.parametrize("at", ["sf0.01", "sf0.1", "check_h"])
+def test_recall_and_share_of_verified_vectors(at):
+    path = f"/root/testdata/{at}/embeddings.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no such table here")
+    table = pq.read_table(path, columns=["vec_id", "embedding"]).to_pydict()
+    rows = [(i, v) for i, v in zip(table["vec_id"], table["embedding"]) if i is not None and v and all(x is not None and math.isfinite(x) for x in v) and any(v)]
+    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows], np.float64)
+    asked = np.flatnonzero(ids % 50 == 0)[:100]
+    block = A.Block(ids, x)
+    got = {}
+    for q, v, _ in block.search(ids[asked], x[asked], 5):
+        got.setdefault(q, set()).add(v)
+    unit = x / np.sqrt((x * x).sum(1))[:, None]
+    near = unit[asked] @ unit.T
+    near[np.arange(len(asked)), asked] = -9
+    hits = sum(len(got[ids[a]] & set(ids[np.argsort(-s, kind="stable")[:5]].tolist())) for a, s in zip(asked, near))
+    assert hits / (5 * len(asked)) >= 0.9
+    assert block.verified / len(asked) < 0.1 * len(ids)
+
+
+def test_very_large_and_very_small_components(spark):
+    rows = [(0, [1e200, 1e200]), (1, [1e200, 2e200]), (2, [1e-200, 1e-200]), (3, [1e200, -1e200]), (4, [5e-324, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r.vec_id, round(r.score, 12)) for r in sorted(A.nearest(df, df.where("vec_id = 0")).collect(), key=lambda r: r["rank"])]
+    assert got == [(2, 1.0), (1, round(3 / math.sqrt(10), 12)), (4, round(math.sqrt(0.5), 12)), (3, 0.0)]
