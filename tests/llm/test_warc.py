@@ -34,7 +34,8 @@ def test_round_trip(spark, tmp_path, least):
         own = r.responses[0]
         first = firsts[html or ""] if len(payload) >= least else page
         assert own.type == ("response" if first == page else "revisit")
-        assert own.refers_to == (None if first == page else f"{first}:capture")
+        assert (own.refers_to or "None").split(":")[0] == str(None if first == page else first)
+        assert own.refers_to is None or own.refers_to == rows[first].responses[0].id
         assert own.digest == W.base32_sha1(payload)
         assert r.metadata[0].declared == len(payload)
         if first == page:
@@ -54,5 +55,21 @@ def test_query_columns(spark, tmp_path, monkeypatch):
 
 def test_empty_and_broken(spark, tmp_path):
     assert run(spark, tmp_path, [], 0).collect() == []
-    with pytest.raises(ValueError):
-        list(W.parse(b"HTTP/1.1 200 OK\r\n\r\n"))
+    for bad in (b"HTTP/1.1 200 OK\r\n\r\n", b"WARC/1.1\r\nContent-Length: 5\r\n", b"WARC/1.1\r\nContent-Length: 5\r\n\r\nabc"):
+        with pytest.raises(ValueError):
+            list(W.parse(bad))
+
+
+def test_large_repeated_and_missing_ids(spark, tmp_path):
+    big = 2**53 + 1
+    pages = [(big, "u", "same"), (big + 2, "u", "same"), (None, "u", "same"), (None, "v", "other"), (5, "u", "x"), (5, "u", "longer"), (9, "u", "x")]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = sorted(((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in W.op4_warc(spark, str(tmp_path)).collect()), key=str)
+    want = [(big, 4, "response", None), (big + 2, 4, "revisit", big), (None, 4, "response", None), (None, 5, "response", None), (5, 1, "response", None), (5, 6, "response", None), (9, 1, "revisit", 5)]
+    assert got == sorted(want, key=str)
+
+
+def test_reader_passes_batches_on(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(W, "BATCH", 100)
+    out = list(W._parsed(True)(iter([__import__("pandas").DataFrame({"content": [b"".join(W._record("response", f"{i}:capture", "u", "t", "h" + W.END + "x" * 60, []).encode() + b"\r\n\r\n" for i in range(9))]})])))
+    assert [len(x) for x in out] == [2, 2, 2, 2, 1]
