@@ -3,18 +3,17 @@
 from __future__ import annotations
 
 import gc
+import pickle
 import time
 import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Size statistics above this are Spark's "unknown" placeholder, not a size.
-_UNKNOWN_BYTES = 1 << 50
-
 #: Words of the contracts: runs of bytes other than space and \t\n\v\f\r, which is what bytes.split() takes too.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -24,9 +23,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; set here only where the session has none."""
+    """The folder that the driver and all executors share.
+
+    Set here only where the session has none and driver and executors are one process; a cluster must name its own.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = "/tmp/recordloom-checkpoints"
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -55,18 +60,44 @@ def release(spark: SparkSession) -> None:
         time.sleep(0.2)
 
 
-def input_bytes(df: DataFrame) -> int | None:
-    """Bytes of the files behind ``df`` from Spark's own statistics; None if it has none."""
-    n = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return None if n >= _UNKNOWN_BYTES else n
+def keyed(docs: DataFrame, *columns) -> DataFrame:
+    """doc_id as a number that is never null, no_id where it was, and ``columns``.
+
+    pandas holds a nullable long as a double, which rounds ids above 2**53; so no nullable id passes through pandas.
+    """
+    doc = F.col("doc_id").cast("long")
+    return docs.select(F.coalesce(doc, F.lit(0).cast("long")).alias("doc_id"), doc.isNull().alias("no_id"), *columns)
+
+
+def doc_id():
+    """The id of rows that ``keyed`` made: null again where it was."""
+    return F.when(~F.col("no_id"), F.col("doc_id")).alias("doc_id")
+
 
+def block_count(docs: DataFrame, per_block: int = 8 << 20) -> int:
+    """Number of text blocks of about ``per_block`` bytes of text; grows with the input, without a cap.
+
+    Counts the texts' own bytes (one narrow pass): stored sizes say little of repetitive text.
+    """
+    return max(1, -(-(docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0) // per_block))
 
-def block_count(docs: DataFrame, per_block: int = 4 << 20) -> int:
-    """Number of text blocks of about ``per_block`` stored bytes; grows with the input, without a cap."""
-    n = input_bytes(docs)
-    if n is None:
-        return max(1, -(-docs.count() // 1000))
-    return max(1, -(-n // per_block))
+
+def block_of(blocks: int):
+    """The block of a document; rows without an id or with the same id spread by their texts."""
+    return F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("blk")
+
+
+def fit_in_task(rows: DataFrame, train):
+    """What ``train`` makes of a bounded sample, in one task: the driver gets the model, never the texts.
+
+    ``rows`` has as many rows at most as the sample's documented bound; ``train`` takes them as a pandas frame.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"model": [pickle.dumps(train(pdf))]})
+
+    found = rows.withColumn("__one", F.lit(0)).groupBy("__one").applyInPandas(run, "model binary").first()
+    return pickle.loads(found["model"]) if found else None
 
 
 def crc_mod(column: str, n: int):
@@ -178,6 +209,12 @@ def words_of(buf: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return h, np.searchsorted(starts, bounds), starts
 
 
+def ranges(b: np.ndarray):
+    """(value, first, end) of each run of equal values in a sorted array: only buckets that hold something are named."""
+    first = np.flatnonzero(np.r_[True, b[1:] != b[:-1]]) if len(b) else np.zeros(0, np.int64)
+    return zip(b[first].tolist(), first.tolist(), [*first[1:].tolist(), len(b)])
+
+
 def pack(data) -> bytes:
     """Compress what is exchanged: packed arrays and front-coded runs shrink far more than the shuffle's codec does."""
     return zstandard.ZstdCompressor(level=3).compress(bytes(data))

@@ -23,8 +23,8 @@ from . import common as C
 SAMPLE = 3_000
 #: Hash buckets, lengths of the n-grams in bytes, dimension of the embeddings, passes, documents a step, step size.
 BUCKETS, GRAMS, DIM, PASSES, BATCH, RATE = 1 << 14, (2, 3, 4), 16, 8, 32, 0.05
-#: Precision wanted of accepted predictions.
-PRECISION = 0.99
+#: Precision wanted of accepted predictions; n-grams whose table rows are held at a time.
+PRECISION, GATHERED = 0.99, 1 << 17
 
 _SHOWN = np.full(256, 32, np.uint8)
 _SHOWN[97:123] = np.arange(97, 123)
@@ -80,14 +80,18 @@ class Model:
     threshold: float
 
     def predict(self, texts: list[bytes]) -> np.ndarray:
-        """Calibrated probabilities, a row for each text."""
-        out = np.zeros((len(texts), len(self.langs)), np.float64)
+        """Calibrated probabilities, a row for each text. Sums table rows over the n-grams, ``GATHERED`` at a time."""
+        table = self.table.astype(np.float64)
+        out, size = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts))
         for ids, buf, bounds in C.gather(texts):
-            found, owner = buckets(buf, bounds)
-            code = [o * BUCKETS + b for b, o in zip(found, owner)]
-            counts = np.bincount(np.concatenate(code) if code else np.zeros(0, np.int64), minlength=len(ids) * BUCKETS).reshape(len(ids), BUCKETS)
-            out[ids[0] : ids[-1] + 1] = (counts.astype(np.float32) @ self.table) / np.maximum(counts.sum(1), 1)[:, None]
-        return _softmax((out + self.bias) / self.temperature)
+            for found, owner in zip(*buckets(buf, bounds)):
+                for s in range(0, len(found), GATHERED):
+                    own = owner[s : s + GATHERED]
+                    first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+                    at = ids[0] + own[first]
+                    out[at] += np.add.reduceat(table[found[s : s + GATHERED]], first)
+                    size[at] += np.diff(np.r_[first, len(own)])
+        return _softmax((out / np.maximum(size, 1)[:, None] + self.bias) / self.temperature)
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -97,10 +101,14 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 
 def train(texts: list[str], langs: list[str], seed: int = 7) -> Model | None:
     """Fit to labelled texts; None if there are none."""
+    return train_features(list(features([C.as_bytes(t) for t in texts])), langs, seed)
+
+
+def train_features(found: list, langs: list[str], seed: int = 7) -> Model | None:
+    """Fit to labelled features (distinct buckets and their shares, of each text)."""
     names = sorted(set(langs))
     if not names:
         return None
-    found = list(features([C.as_bytes(t) for t in texts]))
     y = np.array([names.index(x) for x in langs])
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(y))
@@ -142,12 +150,32 @@ def train(texts: list[str], langs: list[str], seed: int = 7) -> Model | None:
     return Model(names, (E @ W).astype(np.float32), bias.astype(np.float64), temperature, threshold)
 
 
+def _described(batches):
+    """Features of labelled texts: at most ``BUCKETS`` pairs a text, however long it is."""
+    for pdf in batches:
+        found = list(features([C.as_bytes(t) for t in pdf["text"]]))
+        yield pd.DataFrame({"doc_id": pdf["doc_id"], "place": pdf["place"], "lang": pdf["lang"], "buckets": [f[0].astype(np.uint16).tobytes() for f in found], "shares": [f[1].tobytes() for f in found]})
+
+
+def _fitted(pdf: pd.DataFrame) -> Model | None:
+    pdf = pdf.sort_values("doc_id", kind="stable")
+    found = [(np.frombuffer(b, np.uint16).astype(np.int64), np.frombuffer(s, np.float32)) for b, s in zip(pdf["buckets"], pdf["shares"])]
+    return train_features(found, pdf["lang"].tolist())
+
+
 def fit(docs: DataFrame) -> Model | None:
-    """Train on documents with a language whose crc32(doc_id as text) mod 4 is not 2; a bounded sample of ``SAMPLE``."""
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").where("lang is not null and doc_id is not null and text is not null").where(C.crc_mod("doc_id", 4) != 2)
-    picked = own.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).distinct()
-    rows = own.join(F.broadcast(picked), "doc_id").toPandas().sort_values(["doc_id", "text", "lang"], kind="stable")
-    return train(rows["text"].tolist(), rows["lang"].tolist())
+    """Train on documents with a language whose crc32(doc_id as text) mod 4 is not 2; a bounded sample of ``SAMPLE``.
+
+    Of rows that share a doc_id one is learned from, that with the least hash of text and language. Executors make
+    the features and fit; only the model reaches the driver.
+    """
+    doc = F.col("doc_id").cast("long")
+    own = docs.select(doc.alias("doc_id"), "text", "lang").where("lang is not null and doc_id is not null and text is not null").where(C.crc_mod("doc_id", 4) != 2)
+    picked = own.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
+    rows = own.join(F.broadcast(picked), "doc_id").withColumn("place", F.xxhash64("text", "lang"))
+    described = rows.mapInPandas(_described, "doc_id long, place long, lang string, buckets binary, shares binary")
+    once = described.groupBy("doc_id").agg(F.min_by(F.struct("lang", "buckets", "shares"), "place").alias("own")).select("doc_id", "own.*")
+    return C.fit_in_task(once, _fitted)
 
 
 def has_letter(text) -> bool:
@@ -168,15 +196,16 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
         for pdf in batches:
             rows = []
             p = own.predict([C.as_bytes(t) for t in pdf["text"]]) if own is not None else None
-            for i, (doc, text) in enumerate(zip(pdf["doc_id"], pdf["text"])):
+            for i, (doc, none, text) in enumerate(zip(pdf["doc_id"], pdf["no_id"], pdf["text"])):
                 if own is None or not has_letter(text):
-                    rows.append((doc, "und", 0.0, True))
+                    rows.append((doc, none, "und", 0.0, True))
                 else:
                     k = int(p[i].argmax())
-                    rows.append((doc, own.langs[k], float(p[i, k]), bool(p[i, k] < own.threshold)))
-            yield pd.DataFrame(rows, columns=["doc_id", "lang_pred", "score", "rejected"])
+                    rows.append((doc, none, own.langs[k], float(p[i, k]), bool(p[i, k] < own.threshold)))
+            yield pd.DataFrame(rows, columns=["doc_id", "no_id", "lang_pred", "score", "rejected"])
 
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, lang_pred string, score double, rejected boolean")
+    out = C.keyed(docs, "text").mapInPandas(run, "doc_id long, no_id boolean, lang_pred string, score double, rejected boolean")
+    out = out.withColumn("doc_id", C.doc_id())
     held_out = F.coalesce(C.crc_mod("doc_id", 4) == 2, F.lit(False))
     return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 

@@ -1,34 +1,34 @@
 """Toxicity: maximum-scoring segments over token log-odds, with extreme-value calibration.
 
-Training counts tokens of toxic and clean labelled documents and takes their log-odds under an informative Dirichlet
-prior (each token's prior is its share of all tokens), divided by their standard errors, so that rare tokens need
-more evidence. Tokens of clear evidence get their log-odds as score; all other tokens cost one constant. A linear
-scan then finds every maximal segment of positive score (all significant passages, not only the best). The best
-segment of random text grows with the logarithm of the length like an extreme value; a Gumbel law fitted to clean
-training documents turns a segment's score and the text's length into a tail probability. A logistic curve over the
-calibrated score gives the probability of label 1.
+Training counts tokens of toxic and clean labelled documents, each once for every pair of neighbours it has there:
+copies of one passage prove no more than the passage. Their log-odds under an informative Dirichlet prior (a token's
+prior is its share of all tokens), less ``CAUTION`` standard errors, are the tokens' scores: every token has its own,
+and what is rare or as common in clean text comes out below zero. A token that repeats the one before it says nothing
+new and scores 0; an unseen one scores like one that clean text has once. A linear scan then finds every maximal
+segment of positive score (all significant passages, not only the best). The best segment of clean text grows with
+the logarithm of the length like an extreme value; a Gumbel law fitted to clean training documents turns a segment's
+score and the text's length into a tail probability. What the segments have beyond ``SIGNIFICANT`` adds up, and a
+logistic curve over it gives the probability of label 1.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
 
 #: Documented bound of the training sample: labelled documents, those with the smallest hashes of their ids.
-SAMPLE = 8_000
-#: Prior weight as a share of the sample's counts, least z of a scored token, most scored tokens kept, cost of any
-#: other token.
-PRIOR, LEAST_Z, MOST_TOKENS, COST = 0.05, 2.5, 4_096, -0.15
-#: A token scores if it follows so many different tokens in toxic training documents: in copies of one passage it
-#: always follows the same one, and a passage that was copied proves nothing about its words. It must also occur in
-#: so many of them, and its odds must be so many times those in clean documents (log).
-LEAST_CONTEXTS, LEAST_DOCS, LEAST_ODDS = 3, 3, 3.0
+SAMPLE = 20_000
+#: Prior weight as a share of the sample's counts; standard errors that a score stays below its log-odds.
+PRIOR, CAUTION = 0.2, 2.0
+#: -log of the chance in clean text from which a segment is evidence (5 %); least scale of the Gumbel law.
+SIGNIFICANT, LEAST_SCALE = 3.0, 0.25
 
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
@@ -75,12 +75,34 @@ def segments(scores: list[float]) -> list[tuple[int, int, float]]:
     return [(a, b, r - lft) for lft, r, a, b, _ in found]
 
 
+def _contexts(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A hash of each token with its two neighbours in its text."""
+    before, after = np.r_[np.uint64(0), h[:-1]], np.r_[h[1:], np.uint64(0)]
+    inner = first[:-1][first[:-1] < len(h)]
+    before[inner] = 0
+    after[inner[inner > 0] - 1] = 0
+    return C.mix(C.mix(before * np.uint64(3) + after) + h * np.uint64(0x9E3779B97F4A7C15))
+
+
+def token_scores(bad: np.ndarray, good: np.ndarray) -> tuple[np.ndarray, float]:
+    """Scores of tokens from their counts in toxic and in clean contexts, and that of an unseen token."""
+    bad, good = np.r_[bad, 0.0], np.r_[good, 1.0]  # the last is the unseen token
+    own = PRIOR * (bad + good)
+    weight = own[:-1].sum()
+    a, b = bad + own, good + own
+    odds = np.log(a / (bad.sum() + weight - a)) - np.log(b / (good.sum() + weight - b))
+    score = odds - CAUTION * np.sqrt(1 / a + 1 / b)
+    return score[:-1], float(score[-1])
+
+
 @dataclass(frozen=True)
 class Model:
-    """Sorted token hashes and scores, the Gumbel law (location per log length, scale), the logistic curve."""
+    """Sorted token hashes and scores, the unseen token's, the Gumbel law (location, slope by log length, scale), the
+    logistic curve."""
 
     hashes: np.ndarray
     scores: np.ndarray
+    unseen: float
     location: float
     slope: float
     scale: float
@@ -88,32 +110,27 @@ class Model:
     weight: float
 
     def passages(self, texts: list[bytes]):
-        """Per text: (number of tokens, [(first byte, end byte, score)] of all its toxic passages)."""
+        """Per text: (number of tokens, [(first byte, end byte, score)] of all its maximal segments)."""
         for ids, buf, bounds in C.gather(texts):
             h, first, starts, ends = tokens_of(buf, bounds)
+            value = np.full(len(h), self.unseen)
             if len(self.hashes):
                 at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-                hits = np.flatnonzero(self.hashes[at] == h)
-                value = self.scores[at[hits]]
-            else:
-                hits, value = np.zeros(0, np.int64), np.zeros(0)
+                value = np.where(self.hashes[at] == h, self.scores[at], self.unseen)
+            same = np.zeros(len(h), bool)
+            same[1:] = h[1:] == h[:-1]
+            same[first[:-1][first[:-1] < len(h)]] = False
+            value[same] = 0
+            upto = np.r_[0.0, np.cumsum(value)]
+            hits = np.flatnonzero(value > 0)
             cuts = np.searchsorted(hits, first)
             for k in range(len(ids)):
-                n = int(first[k + 1] - first[k])
-                own, v = hits[cuts[k] : cuts[k + 1]].tolist(), value[cuts[k] : cuts[k + 1]].tolist()
-                if not own:
-                    yield n, []
-                    continue
-                # runs of other tokens between scored ones are one negative entry each
-                line, token, last = [], [], own[0]
-                for t, s in zip(own, v):
-                    if t - last > 1:
-                        line.append(COST * (t - last - 1))
-                        token.append(last + 1)
-                    line.append(s)
-                    token.append(t)
-                    last = t
-                yield n, [(int(starts[token[a]] - bounds[k]), int(ends[token[b - 1]] - bounds[k]), s) for a, b, s in segments(line)]
+                n, own = int(first[k + 1] - first[k]), hits[cuts[k] : cuts[k + 1]]
+                # what lies between two tokens of positive score is one entry: no maximal segment begins or ends there
+                gaps = upto[own[1:]] - upto[own[:-1] + 1]
+                line = np.zeros(max(2 * len(own) - 1, 0))
+                line[::2], line[1::2] = value[own], gaps
+                yield n, [(int(starts[own[a // 2]] - bounds[k]), int(ends[own[(b - 1) // 2]] - bounds[k]), s) for a, b, s in segments(line.tolist())]
 
     def calibrated(self, n: int, best: float) -> float:
         """-log of the chance that clean text of n tokens holds a segment as good."""
@@ -122,61 +139,57 @@ class Model:
         x = (best - self.location - self.slope * np.log(n + 1.0)) / self.scale
         return float(-np.log(-np.expm1(-np.exp(-min(x, 700.0))))) if x > -3 else 0.0
 
+    def evidence(self, n: int, found: list) -> float:
+        """What all significant segments have beyond significance."""
+        return sum(max(0.0, self.calibrated(n, s) - SIGNIFICANT) for _, _, s in found)
+
     def probability(self, n: int, found: list) -> tuple[float, float]:
-        """(probability of label 1, calibrated evidence): evidence of all significant segments adds up."""
-        evidence = sum(self.calibrated(n, s) for _, _, s in found)
+        """(probability of label 1, evidence)."""
+        evidence = self.evidence(n, found)
         return float(1 / (1 + np.exp(-(self.bias + self.weight * np.log1p(evidence))))), evidence
 
 
+def gumbel(n: np.ndarray, best: np.ndarray) -> tuple[float, float, float]:
+    """(location, slope by log length, scale) of the clean documents' best segments.
+
+    Median and 95th percentile, not moments: clean documents may hold toxic words by mistake.
+    """
+    x = np.log(n + 1)
+    slope = max(0.0, float(np.polyfit(x, best, 1)[0])) if len(x) > 2 and np.ptp(x) > 0 else 0.0
+    middle, high = np.quantile(best - slope * x, [0.5, 0.95])
+    of = lambda q: -np.log(-np.log(q))
+    scale = max(float((high - middle) / (of(0.95) - of(0.5))), LEAST_SCALE)
+    return float(middle - of(0.5) * scale), slope, scale
+
+
 def train(texts: list[str | None], labels: list[int]) -> Model:
     """Fit a model to labelled texts. Without both labels nothing scores and the label's share is the answer."""
     once = dict(zip(map(C.as_bytes, texts), labels))  # copies count once
-    y = np.array(list(once.values()), bool)
-    raw = list(once)
-    parts, owners = [], []
-    for ids, buf, bounds in C.gather(raw):
-        h, first, _, _ = tokens_of(buf, bounds)
-        parts.append(h)
-        owners.append(np.repeat(np.array(ids), np.diff(first)))
-    h = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-    owner = np.concatenate(owners) if owners else np.zeros(0, np.int64)
+    y, raw = np.array(list(once.values()), bool), list(once)
     share = float((y.sum() + 0.5) / (len(y) + 1)) if len(y) else 0.0
     flat = float(np.log(share / (1 - share))) if 0 < share < 1 else -10.0
-    empty = Model(np.zeros(0, np.uint64), np.zeros(0), 0.0, 0.0, 1.0, flat, 0.0)
-    if not len(h) or y.all() or not y.any():
-        return empty
-    vocab, code = np.unique(h, return_inverse=True)
-    bad = np.bincount(code[y[owner]], minlength=len(vocab)).astype(float)
-    good = np.bincount(code[~y[owner]], minlength=len(vocab)).astype(float)
-    before = np.where(np.r_[True, owner[1:] != owner[:-1]], len(vocab), np.r_[0, code[:-1]])
-    pairs = np.unique(code[y[owner]].astype(np.int64) * (len(vocab) + 1) + before[y[owner]])
-    contexts = np.bincount(pairs // (len(vocab) + 1), minlength=len(vocab))
-    pairs = np.unique(code[y[owner]].astype(np.int64) * len(y) + owner[y[owner]])
-    docs = np.bincount(pairs // len(y), minlength=len(vocab))
-    prior, weight = PRIOR * (bad + good), PRIOR * len(h)
-    a, b = bad + prior, good + prior
-    odds = np.log(a / (bad.sum() + weight - a)) - np.log(b / (good.sum() + weight - b))
-    z = odds / np.sqrt(1 / a + 1 / b)
-    keep = np.flatnonzero((z > LEAST_Z) & (contexts >= LEAST_CONTEXTS) & (docs >= LEAST_DOCS) & (odds > LEAST_ODDS))
-    keep = np.sort(keep[np.argsort(-z[keep], kind="stable")[:MOST_TOKENS]])
-    model = Model(vocab[keep], odds[keep], 0.0, 0.0, 1.0, flat, 0.0)
-    n, best, all_found = [], [], []
-    for length, found in model.passages(raw):
-        n.append(length)
-        best.append(max((s for _, _, s in found), default=0.0))
-        all_found.append(found)
-    n, best = np.array(n, float), np.array(best)
-    # Gumbel law of the clean documents' best segments, location linear in log length, by moments.
-    clean = ~y
-    x = np.log(n[clean] + 1)
-    slope = max(0.0, float(np.polyfit(x, best[clean], 1)[0])) if clean.sum() > 2 and np.ptp(x) > 0 else 0.0
-    rest = best[clean] - slope * x
-    scale = max(float(rest.std() * np.sqrt(6) / np.pi), 0.25)
-    location = float(rest.mean() - 0.5772156649015329 * scale)
-    model = Model(model.hashes, model.scores, location, slope, scale, 0.0, 0.0)
-    evidence = np.log1p([sum(model.calibrated(int(k), s) for _, _, s in f) for k, f in zip(n, all_found)])
+    # the vocabulary first, then the distinct contexts of each label: no array has an entry for every token but one
+    vocab = np.unique(np.concatenate([np.zeros(0, np.uint64), *(np.unique(tokens_of(buf, bounds)[0]) for _, buf, bounds in C.gather(raw))]))
+    if not len(vocab) or y.all() or not y.any():
+        return Model(np.zeros(0, np.uint64), np.zeros(0), 0.0, 0.0, 0.0, 1.0, flat, 0.0)
+    counts = []
+    for label in (True, False):
+        own, parts, codes = [t for t, k in zip(raw, y) if k == label], [], []
+        for _, buf, bounds in C.gather(own):
+            h, first, _, _ = tokens_of(buf, bounds)
+            met, at = np.unique(_contexts(h, first), return_index=True)
+            parts.append(met)
+            codes.append(np.searchsorted(vocab, h[at]).astype(np.int32))
+        _, at = np.unique(np.concatenate(parts), return_index=True)
+        counts.append(np.bincount(np.concatenate(codes)[at], minlength=len(vocab)).astype(float))
+    scores, unseen = token_scores(*counts)
+    model = Model(vocab, scores.astype(np.float32), unseen, 0.0, 0.0, 1.0, 0.0, 0.0)
+    found = list(model.passages(raw))
+    n, best = np.array([k for k, _ in found], float), np.array([max((s for *_, s in f), default=0.0) for _, f in found])
+    model = replace(model, **dict(zip(("location", "slope", "scale"), gumbel(n[~y], best[~y]))))
+    evidence = np.log1p([model.evidence(k, f) for k, f in found])
     bias, weight = _logistic(evidence, y.astype(float))
-    return Model(model.hashes, model.scores, location, slope, scale, bias, weight)
+    return replace(model, bias=bias, weight=weight)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -192,23 +205,32 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """Train on labelled documents whose crc32(doc_id as text) mod 5 is not 0; a bounded sample of ``SAMPLE``."""
+    """Train on labelled documents whose crc32(doc_id as text) mod 5 is not 0; a bounded sample of ``SAMPLE``.
+
+    Of labels that share a doc_id the larger holds; of documents that share one, that with the least hash of its text
+    is learned from. The sample is fitted in a task of its own; the driver gets the model.
+    """
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     own = own.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (C.crc_mod("doc_id", 5) != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     picked = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id")
-    counted = rows.toPandas().sort_values(["doc_id"], kind="stable")
-    return train(counted["text"].tolist(), counted["toxic"].tolist())
+    once = rows.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("toxic").alias("toxic"))
+
+    def fitted(pdf: pd.DataFrame) -> Model:
+        pdf = pdf.sort_values("doc_id", kind="stable")
+        return train(pdf["text"].tolist(), pdf["toxic"].tolist())
 
+    return C.fit_in_task(once, fitted) or train([], [])
 
-SCORED = "doc_id long, score double, predicted int, evidence double, passages array<struct<start:int,end:int,score:double>>"
+
+SCORED = "doc_id long, no_id boolean, score double, predicted int, evidence double, passages array<struct<start:int,end:int,score:double>>"
 
 
 def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
-    """Score every whole text: doc_id, held_out, score, predicted, evidence and all toxic passages (byte spans).
+    """Score every whole text: doc_id, held_out, score, predicted, evidence and all significant passages (byte spans).
 
     Null and empty texts have no passage and get the base score. Repeated rows are scored each; a null doc_id is
-    never held out. One pass over the scan; the model (at most ``MOST_TOKENS`` tokens) is broadcast.
+    never held out. One pass over the scan; the model (12 bytes a token of the bounded sample) is broadcast.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -217,12 +239,12 @@ def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
         for pdf in batches:
             rows = []
             texts = [C.as_bytes(t) for t in pdf["text"]]
-            for doc, (n, found) in zip(pdf["doc_id"], own.passages(texts)):
+            for doc, none, (n, found) in zip(pdf["doc_id"], pdf["no_id"], own.passages(texts)):
                 p, evidence = own.probability(n, found)
-                rows.append((doc, p, int(p >= 0.5), evidence, [{"start": a, "end": b, "score": s} for a, b, s in found]))
-            yield pd.DataFrame(rows, columns=["doc_id", "score", "predicted", "evidence", "passages"])
+                rows.append((doc, none, p, int(p >= 0.5), evidence, [{"start": a, "end": b, "score": s} for a, b, s in found if own.calibrated(n, s) > SIGNIFICANT]))
+            yield pd.DataFrame(rows, columns=["doc_id", "no_id", "score", "predicted", "evidence", "passages"])
 
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, SCORED)
+    out = C.keyed(docs, "text").mapInPandas(run, SCORED).withColumn("doc_id", C.doc_id())
     held_out = F.coalesce(C.crc_mod("doc_id", 5) == 0, F.lit(False))
     return out.select("doc_id", held_out.alias("held_out"), "score", "predicted", "evidence", "passages")
 
@@ -233,11 +255,11 @@ def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         own = held.value
-        for pdf in batches:
-            clean = [own.probability(n, found)[0] < 0.5 for n, found in own.passages([C.as_bytes(t) for t in pdf["text"]])]
-            yield pdf[np.array(clean, bool)]
+        for batch in batches:
+            texts = [C.as_bytes(t) for t in batch.column("text").to_pylist()]
+            yield batch.filter(pa.array([own.probability(n, found)[0] < 0.5 for n, found in own.passages(texts)], pa.bool_()))
 
-    return docs.mapInPandas(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -40,6 +41,46 @@ def test_grams_do_not_cross_texts():
             assert both[n][owner[n] == k].tolist() == alone[k][n].tolist() if n < len(alone[k]) else True
 
 
+def plain(model, text):
+    """The probabilities by the words of the module: averaged embeddings of all n-grams, softmax, temperature."""
+    shown = bytes(c if c >= 128 else c | 32 if chr(c).isalpha() else 32 for c in text.encode())
+    while b"  " in shown:
+        shown = shown.replace(b"  ", b" ")
+    score, count = np.zeros(len(model.langs)), 0
+    for n in L.GRAMS:
+        for i in range(len(shown) - n + 1):
+            h = n
+            for c in shown[i : i + n]:
+                h = (h * 0x01000193 & 0xFFFFFFFF) ^ c
+            score += model.table[(h * 0x9E3779B1 & 0xFFFFFFFF) >> 18].astype(float)
+            count += 1
+    e = np.exp((score / max(count, 1) + model.bias) / model.temperature)
+    return e / e.sum()
+
+
+def test_scores_against_brute_force(spark):
+    rows = corpus(300, 5) + [(400 + i, t, None) for i, t in enumerate(["x", "ab", "a  b,,c 12 D", "ünder  the", "que " * 3000])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = L.fit(df)
+    got = {r.doc_id: r for r in L.identify(df, model).collect()}
+    for d, t, _ in rows[::20] + rows[300:]:
+        p = plain(model, t)
+        assert abs(got[d].score - p.max()) < 1e-6 and got[d].lang_pred == model.langs[int(p.argmax())]
+    # a repeated id is learned from once
+    again = L.fit(df.unionByName(df))
+    assert again.langs == model.langs and np.allclose(again.table, model.table) and again.temperature == model.temperature
+
+
+def test_many_short_texts_take_little_memory(spark):
+    model = L.train([t for _, t, _ in corpus(200, 3)], [x for *_, x in corpus(200, 3)])
+    texts = [bytes([97 + i % 26, 97 + i % 7]) for i in range(10_000)]
+    model.predict(texts[:10])
+    tracemalloc.start()
+    model.predict(texts)
+    assert tracemalloc.get_traced_memory()[1] < 100e6
+    tracemalloc.stop()
+
+
 def test_nothing_to_learn(spark):
     df = spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")
     assert [r.lang_pred for r in L.identify(df, L.fit(df)).collect()] == ["und"]

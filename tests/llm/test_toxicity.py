@@ -1,6 +1,10 @@
+import math
 import random
+import re
 import zlib
+from collections import Counter
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -65,6 +69,56 @@ def test_held_out_accuracy_and_defined_cases(spark):
     assert got[2000].predicted == got[2001].predicted == got[2002].predicted == 0
 
 
+def words_of(text):
+    return re.findall(rb"[A-Za-z\x80-\xff]+", (text or "").encode().lower())
+
+
+def brute(train, texts):
+    """Scores by the words of the module: distinct contexts, log-odds less two standard errors, best segments, curve."""
+    once = dict(train)
+    contexts = {0: set(), 1: set()}
+    for t, y in once.items():
+        w = [None, *words_of(t), None]
+        contexts[y] |= {tuple(w[i - 1 : i + 2]) for i in range(1, len(w) - 1)}
+    count = {y: Counter(c[1] for c in contexts[y]) for y in (0, 1)}
+    count[0][None] = 1  # the unseen token
+    size = {y: sum(count[y].values()) for y in (0, 1)}
+    prior = lambda w: T.PRIOR * (count[0][w] + count[1][w])
+    weight = sum(prior(w) for w in {*count[0], *count[1]} - {None})
+    scores = {}
+    for w in {*count[0], *count[1]}:
+        a, b = count[1][w] + prior(w), count[0][w] + prior(w)
+        odds = math.log(a / (size[1] + weight - a)) - math.log(b / (size[0] + weight - b))
+        scores[w] = odds - T.CAUTION * math.sqrt(1 / a + 1 / b)
+
+    def described(text):
+        own = words_of(text)
+        line = [0.0 if i and own[i - 1] == w else scores.get(w, scores[None]) for i, w in enumerate(own)]
+        return len(own), [s for _, _, s in T.segments(line)]
+
+    clean = [described(t) for t, y in once.items() if not y]
+    place, slope, scale = T.gumbel(np.array([n for n, _ in clean], float), np.array([max(s, default=0.0) for _, s in clean]))
+
+    def evidence(text):
+        n, found = described(text)
+        tails = [1 - math.exp(-math.exp(-(s - place - slope * math.log(n + 1)) / scale)) for s in found]
+        return math.log1p(sum(max(0.0, -math.log(max(p, 1e-300)) - T.SIGNIFICANT) for p in tails))
+
+    bias, curve = T._logistic(np.array([evidence(t) for t in once]), np.array(list(once.values()), float))
+    return [1 / (1 + math.exp(-(bias + curve * evidence(t)))) for t in texts]
+
+
+def test_scores_against_brute_force(spark):
+    rows = corpus(250, 4)
+    texts = [t for _, t, _ in rows] + [None, "", "zonk zonk zonk blarg", "é frib É", "unseen words only"]
+    docs = spark.createDataFrame([*[(d, t) for d, t, _ in rows], *[(1000 + i, t) for i, t in enumerate(texts[250:])], (None, "a zonk")], "doc_id long, text string")
+    labels = spark.createDataFrame([(d, y) for d, _, y in rows], "doc_id long, toxic int")
+    got = {r.doc_id: r.score for r in T.score_toxicity(docs, T.fit(docs.unionByName(docs), labels)).collect()}
+    want = brute([(t, y) for d, t, y in rows if zlib.crc32(str(d).encode()) % 5], texts)
+    assert all(abs(got[d] - w) < 1e-4 for d, w in zip([*range(250), *range(1000, 1005)], want))
+    assert len({round(w, 6) for w in want}) > 5
+
+
 def test_no_labels_and_empty(spark):
     docs = spark.createDataFrame([(1, "a b"), (None, "c")], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, toxic int")
