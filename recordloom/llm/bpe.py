@@ -19,7 +19,6 @@ import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from . import common as C
 
@@ -206,7 +205,7 @@ def bpe_encode(docs: DataFrame, path: str | None = None, with_ids: bool = False)
 
     ``path`` names the vocabulary on the driver; its content (about 2 MB, fixed) is broadcast. Returns doc_id,
     n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids and decoded. Null is the empty text, which has no
-    tokens; repeated rows are encoded each; an empty table gives an empty result.
+    tokens; repeated rows are encoded each; a null doc_id stays null; an empty table gives an empty result.
     """
     spark: SparkSession = docs.sparkSession
     definition = spark.sparkContext.broadcast(read_definition(path or default_path()))
@@ -216,16 +215,17 @@ def bpe_encode(docs: DataFrame, path: str | None = None, with_ids: bool = False)
         tok = _tokenizer(definition.value)
         for pdf in batches:
             rows = []
-            for doc, text in zip(pdf["doc_id"], pdf["text"]):
+            for doc, none, text in zip(pdf["doc_id"], pdf["no_id"], pdf["text"]):
                 ids = tok.encode(text if isinstance(text, str) else "")
                 shown = ",".join([decimal[i] if i < 65536 else str(i) for i in ids.tolist()])
                 decoded = tok.decode(ids).decode("utf-8", "replace")
-                row = (doc, len(ids), hashlib.sha256(shown.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
+                row = (doc, none, len(ids), hashlib.sha256(shown.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
                 rows.append((*row, ids.astype(np.int32), decoded) if with_ids else row)
-            yield pd.DataFrame(rows, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if with_ids else [])])
+            yield pd.DataFrame(rows, columns=["doc_id", "no_id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if with_ids else [])])
 
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if with_ids else "")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(encode, schema)
+    schema = "doc_id long, no_id boolean, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if with_ids else "")
+    out = C.keyed(docs, "text").mapInPandas(encode, schema)
+    return out.select(C.doc_id(), *out.columns[2:])
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,10 +36,8 @@ BACKOFF, ADD = 2.0, 0.5
 
 
 def _texts(pdf: pd.DataFrame):
-    """Block documents in a fixed order: ids, held out, texts as bytes."""
-    texts = [C.as_bytes(t) for t in pdf["text"]]
-    train = pdf["train"].to_numpy(bool)
-    return pdf["doc_id"].tolist(), train, texts
+    """Which documents train, and their texts as bytes."""
+    return pdf["train"].to_numpy(bool), [C.as_bytes(t) for t in pdf["text"]]
 
 
 def _tokens(texts: list[bytes]):
@@ -62,13 +60,12 @@ def _count(buckets: int):
     shift = np.uint64(64 - (buckets - 1).bit_length()) if buckets > 1 else None
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        _, train, texts = _texts(pdf)
+        train, texts = _texts(pdf)
         h, first = _tokens(texts)
         words, code = np.unique(h, return_inverse=True)
         counts = np.bincount(code[_owned(train, first)], minlength=len(words)).astype(np.int32)
         b = (words >> shift).astype(np.int64) if shift is not None else np.zeros(len(words), np.int64)
-        cuts = np.searchsorted(b, np.arange(buckets + 1))
-        rows = [(int(pdf["blk"].iloc[0]), k, words[i:j].tobytes(), C.pack(counts[i:j].tobytes())) for k, (i, j) in enumerate(zip(cuts[:-1], cuts[1:])) if j > i]
+        rows = [(int(pdf["blk"].iloc[0]), k, words[i:j].tobytes(), C.pack(counts[i:j].tobytes())) for k, i, j in C.ranges(b)]
         return pd.DataFrame(rows, columns=["blk", "bucket", "words", "counts"])
 
     return run
@@ -125,7 +122,7 @@ def _bigrams(names, parts: int):
         size = len(own) + 2
         total = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for pdf in batches:
-            _, train, texts = _texts(pdf[pdf["train"]])
+            train, texts = _texts(pdf[pdf["train"]])
             h, first = _tokens(texts)
             seq = np.insert(_symbols(own, h), first, len(own) + 1)  # an end before every text, and after the last
             code, n = np.unique(seq[:-1].astype(np.int64) * size + seq[1:], return_counts=True)
@@ -346,7 +343,7 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) ->
 
 
 TOLD = "blk long, totals binary, new binary, bucket long, top binary, top_n binary"
-REDUCED = "doc_id long, train boolean, n_tokens long, n_known long, log_counts double, codes array<int>, times array<int>, kinds array<long>, masses array<long>, moves array<long>"
+REDUCED = "doc_id long, no_id boolean, train boolean, n_tokens long, n_known long, log_counts double, codes array<int>, times array<int>, kinds array<long>, masses array<long>, moves array<long>"
 
 
 def _answers(answers: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
@@ -367,7 +364,7 @@ def _contexts(names, classes):
         columns = ["blk", "bucket", "words", "times", "around"]
         if not len(docs):
             return pd.DataFrame(columns=columns)
-        _, train, texts = _texts(docs)
+        train, texts = _texts(docs)
         h, first = _tokens(texts)
         words, code = np.unique(h, return_inverse=True)
         parts, totals, sizes = _answers(answers)
@@ -422,10 +419,10 @@ def _classes(symbols: np.ndarray, counts: np.ndarray, exchanged: np.ndarray, pla
 
 def _reduce(names, classes):
     def run(docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        columns = ["doc_id", "train", "n_tokens", "n_known", "log_counts", "codes", "times", "kinds", "masses", "moves"]
+        columns = ["doc_id", "no_id", "train", "n_tokens", "n_known", "log_counts", "codes", "times", "kinds", "masses", "moves"]
         if not len(docs):
             return pd.DataFrame(columns=columns)
-        ids, train, texts = _texts(docs)
+        train, texts = _texts(docs)
         h, first = _tokens(texts)
         words, code = np.unique(h, return_inverse=True)
         parts, totals, sizes = _answers(answers)
@@ -450,13 +447,13 @@ def _reduce(names, classes):
         seq = kind[code]
         known = (totals > 0)[code]
         rows = []
-        for i, doc in enumerate(ids):
+        for i, (doc, none) in enumerate(zip(docs["doc_id"], docs["no_id"])):
             a, b = first[i], first[i + 1]
             line = np.empty(b - a + 2, np.int64)
             line[0] = line[-1] = END
             line[1:-1] = seq[a:b]
             pairs, times = np.unique(line[:-1] * TOTAL + line[1:], return_counts=True)
-            rows.append((None if pd.isna(doc) else int(doc), bool(train[i]), int(b - a) + 1, int(known[a:b].sum()), float(logs[a:b].sum()), pairs.astype(np.int32), times.astype(np.int32), *((kinds, masses, moves) if i == 0 else (None, None, None))))
+            rows.append((doc, none, bool(train[i]), int(b - a) + 1, int(known[a:b].sum()), float(logs[a:b].sum()), pairs.astype(np.int32), times.astype(np.int32), *((kinds, masses, moves) if i == 0 else (None, None, None))))
         return pd.DataFrame(rows, columns=columns)
 
     return run
@@ -501,10 +498,10 @@ def class_scores(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     train = F.coalesce(C.crc_mod("doc_id", 5) != 1, F.lit(True))
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("train", train)
+    own = C.keyed(docs, "text", train.alias("train"))
     blocks = C.block_count(docs)
     buckets = 1 << max(0, (blocks - 1).bit_length())
-    blocked = own.withColumn("blk", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)))
+    blocked = own.withColumn("blk", C.block_of(blocks))
     asked = blocked.groupBy("blk").applyInPandas(_count(buckets), "blk long, bucket long, words binary, counts binary")
     told = C.cut(asked.groupBy("bucket").applyInPandas(_answer, TOLD), "class-lm-words")
     named = told.where("top is not null").select("top", "top_n").collect()
@@ -532,9 +529,10 @@ def class_scores(docs: DataFrame) -> DataFrame:
             logs = pdf["log_counts"].to_numpy() + end
             moved = np.array([float((step[np.asarray(c)] * np.asarray(n)).sum()) for c, n in zip(pdf["codes"], pdf["times"])])
             n = pdf["n_tokens"].to_numpy()
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "train": pdf["train"], "n_tokens": n, "n_known": pdf["n_known"] + (t.ends > 0), "base_score": logs - n * floor, "score": logs + moved})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "no_id": pdf["no_id"], "train": pdf["train"], "n_tokens": n, "n_known": pdf["n_known"] + (t.ends > 0), "base_score": logs - n * floor, "score": logs + moved})
 
-    scored = reduced.select("doc_id", "train", "n_tokens", "n_known", "log_counts", "codes", "times").mapInPandas(score, "doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double")
+    scored = reduced.select("doc_id", "no_id", "train", "n_tokens", "n_known", "log_counts", "codes", "times")
+    scored = scored.mapInPandas(score, "doc_id long, no_id boolean, train boolean, n_tokens long, n_known long, base_score double, score double").withColumn("doc_id", C.doc_id())
     held_out = F.coalesce(C.crc_mod("doc_id", 5) == 1, F.lit(False))
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(t.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 

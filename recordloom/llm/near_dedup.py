@@ -71,16 +71,16 @@ def band_keys(coordinates: np.ndarray) -> np.ndarray:
 
 
 def _describe(batches):
-    """doc_id, size of the set, its digest, its band keys."""
+    """doc_id, size of the set, its digest (of empty sets the document's own), its band keys."""
     for pdf in batches:
         rows = []
-        for doc, items in zip(pdf["doc_id"], shingle_sets([C.as_bytes(t) for t in pdf["text"]])):
+        for doc, none, items in zip(pdf["doc_id"], pdf["no_id"], shingle_sets([C.as_bytes(t) for t in pdf["text"]])):
             if len(items):
                 digest = f"{len(items)}-{int(C.mix(items).sum()):x}-{int(C.mix(items ^ _SEEDS[0]).sum()):x}"
-                rows.append((doc, len(items), digest, band_keys(sketch(items)).view(np.int64)))
+                rows.append((doc, none, len(items), digest, band_keys(sketch(items)).view(np.int64)))
             else:
-                rows.append((doc, 0, "", []))
-        yield pd.DataFrame(rows, columns=["doc_id", "n", "digest", "keys"])
+                rows.append((doc, none, 0, f"-{doc}", []))
+        yield pd.DataFrame(rows, columns=["doc_id", "no_id", "n", "digest", "keys"])
 
 
 def _sets(batches):
@@ -98,7 +98,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     gives an empty result.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    described = C.cut(rows.mapInPandas(_describe, "doc_id long, n long, digest string, keys array<long>"), "near-sets")
+    described = C.keyed(docs, "text").mapInPandas(_describe, "doc_id long, no_id boolean, n long, digest string, keys array<long>")
+    described = C.cut(described.select(C.doc_id(), "n", "digest", "keys"), "near-sets")
     named = described.where("doc_id is not null and n > 0")
     # Equal sets are one class, known by its least doc_id; only that row takes part in the search.
     classes = named.groupBy("digest").agg(F.min("doc_id").alias("class"))

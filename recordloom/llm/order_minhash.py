@@ -80,15 +80,15 @@ def _shown(sig: np.ndarray) -> str:
     return sig.astype(">u4").tobytes().hex()
 
 
-def _row(doc, text: str, sig: np.ndarray, next_text: str, next_sig: np.ndarray):
+def _row(doc, none: bool, text: str, sig: np.ndarray, next_text: str, next_sig: np.ndarray):
     n = len(text)
     edited = text[: n - n // 4] + next_text[: n // 4]
     edited_sig = sig if edited == text else signature(edited)
-    return (doc, n, hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), _shown(sig), _shown(edited_sig), likeness(sig, edited_sig), likeness(sig, next_sig))
+    return (doc, none, n, hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), _shown(sig), _shown(edited_sig), likeness(sig, edited_sig), likeness(sig, next_sig))
 
 
-COLUMNS = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+COLUMNS = ["doc_id", "no_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+SCHEMA = "doc_id long, no_id boolean, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
 def _walk(batches):
@@ -97,19 +97,18 @@ def _walk(batches):
     before = first = None
     for pdf in batches:
         rows = []
-        for doc, text in zip(pdf["doc_id"], pdf["text"]):
+        for doc, none, text in zip(pdf["doc_id"], pdf["no_id"], pdf["text"]):
             text = text if isinstance(text, str) else ""
             sig = signature(text)
-            doc = None if pd.isna(doc) else int(doc)
             if before is None:
                 first = text
             else:
                 rows.append((pid, None, None, *_row(*before, text, sig)))
-            before = (doc, text, sig)
+            before = (doc, none, text, sig)
         yield pd.DataFrame(rows, columns=["pid", "first", "last", *COLUMNS])
     if before is not None:
-        edge = pd.DataFrame([(pid, first, before[1], before[0], *[None] * 6)], columns=["pid", "first", "last", *COLUMNS])
-        edge["n_chars"] = pd.array([len(before[1])], dtype="Int64")
+        edge = pd.DataFrame([(pid, first, before[2], before[0], before[1], *[None] * 6)], columns=["pid", "first", "last", *COLUMNS])
+        edge["n_chars"] = pd.array([len(before[2])], dtype="Int64")
         yield edge
 
 
@@ -118,7 +117,8 @@ def order_minhash(docs: DataFrame) -> DataFrame:
 
     The edited text has its last n_chars // 4 code points replaced by the first as many (or all) of the next document
     in ascending doc_id, after the last the first. Null text is empty; an empty text's fingerprint is that of the
-    empty sequence. Null doc_ids come last, rows that share a doc_id in order of their texts. A single document is
+    empty sequence. Null doc_ids come last, rows that share a doc_id in order of a hash
+    of their texts. A single document is
     its own next. An empty table gives an empty result.
 
     One range exchange brings neighbours together; each range then streams through, and only the texts at range
@@ -126,23 +126,24 @@ def order_minhash(docs: DataFrame) -> DataFrame:
     """
     parts = max(2, 2 * C.block_count(docs))
     ordered = (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        .repartitionByRange(parts, F.col("doc_id").asc_nulls_last())
-        .sortWithinPartitions(F.col("doc_id").asc_nulls_last(), "text")
+        C.keyed(docs, "text")
+        .repartitionByRange(parts, "no_id", "doc_id", F.xxhash64("text"))
+        .sortWithinPartitions("no_id", "doc_id", F.xxhash64("text"), "text")
     )
     found = C.cut(ordered.mapInPandas(_walk, "pid int, first string, last string, " + SCHEMA), "order-minhash")
     # One row a range: the text after its last one is the first of the next range, in a ring.
     edges = found.where("first is not null")
     by = Window.orderBy("pid")  # one row a range, without its texts
     ranks = edges.select("pid").withColumn("rank", F.row_number().over(by)).withColumn("ranges", F.count("*").over(Window.partitionBy()))
-    ring = edges.select("pid", "first", "last", "doc_id").join(ranks, "pid")
+    ring = edges.select("pid", "first", "last", "doc_id", "no_id").join(ranks, "pid")
     after = ring.select(F.when(F.col("rank") == 1, F.col("ranges")).otherwise(F.col("rank") - 1).alias("rank"), F.col("first").alias("next"))
-    return found.where("first is null").select(*COLUMNS).unionByName(ring.join(after, "rank").select("doc_id", "last", "next").mapInPandas(_edge, SCHEMA))
+    every = found.where("first is null").select(*COLUMNS).unionByName(ring.join(after, "rank").select("doc_id", "no_id", "last", "next").mapInPandas(_edge, SCHEMA))
+    return every.select(C.doc_id(), *COLUMNS[2:])
 
 
 def _edge(batches):
     for pdf in batches:
-        rows = [_row(None if pd.isna(d) else int(d), last, signature(last), nxt, signature(nxt)) for d, last, nxt in zip(pdf["doc_id"], pdf["last"], pdf["next"])]
+        rows = [_row(d, none, last, signature(last), nxt, signature(nxt)) for d, none, last, nxt in zip(pdf["doc_id"], pdf["no_id"], pdf["last"], pdf["next"])]
         yield pd.DataFrame(rows, columns=COLUMNS)
 
 

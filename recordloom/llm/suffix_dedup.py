@@ -33,15 +33,15 @@ LENGTH, K = 50, 24
 OFFSETS = LENGTH - K + 1
 #: Bytes of a sort key: the suffix, the reversed bytes before it, how many of each are there.
 KEY = LENGTH + OFFSETS - 1 + 2
-#: Sampled keys that the driver may see when it picks splitters (a bound; the exchange itself covers everything).
-SPLITTER_SAMPLE = 20_000
+#: Suffixes of a merge part, about, and sampled keys for each part. The driver sees so many keys of ``K`` bytes a part.
+PER_PART, PICKS = 100_000, 16
 #: Keys of an anchor that are compared two by two; more go offset by offset.
 FEW = 8
 NONE = np.iinfo(np.int64).max
 
 RUNS = "blk long, n long, run binary, docs binary, pos binary, item binary, sample array<binary>"
 ANSWERS = "blk long, solo binary, least binary, mixed binary, leasts binary"
-OUTPUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
+OUTPUT = "doc_id long, no_id boolean, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
 
 
 def _sliding(f, x: np.ndarray, w: int) -> np.ndarray:
@@ -76,7 +76,7 @@ def anchors(buf: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def _block(pdf: pd.DataFrame):
     """The block's documents in one fixed order: ids (null last), buffer, bounds."""
-    ids = np.array([NONE if pd.isna(x) else int(x) for x in pdf["doc_id"]], np.int64)
+    ids = np.where(pdf["no_id"].to_numpy(bool), NONE, pdf["doc_id"].to_numpy(np.int64))
     texts = [C.as_bytes(t) for t in pdf["text"]]
     order = sorted(range(len(ids)), key=lambda i: (ids[i], texts[i]))
     return ids[order], [texts[i] for i in order], order
@@ -106,8 +106,7 @@ def _send_hashes(buckets: int):
         many = d[first] != d[last] if len(h) else np.zeros(0, bool)
         h = h[first]
         b = (h >> shift).astype(np.int64) if shift is not None else np.zeros(len(h), np.int64)
-        cuts = np.searchsorted(b, np.arange(buckets + 1))
-        rows = [(int(pdf["blk"].iloc[0]), k, h[i:j].tobytes(), np.packbits(many[i:j]).tobytes()) for k, (i, j) in enumerate(zip(cuts[:-1], cuts[1:])) if j > i]
+        rows = [(int(pdf["blk"].iloc[0]), k, h[i:j].tobytes(), np.packbits(many[i:j]).tobytes()) for k, i, j in C.ranges(b)]
         return pd.DataFrame(rows, columns=["blk", "bucket", "hashes", "many"])
 
     return send
@@ -359,10 +358,11 @@ def _merge_part(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def _strip(docs: pd.DataFrame, answers: pd.DataFrame, with_text: bool = False, carry: tuple[str, ...] = ()) -> pd.DataFrame:
     """Remove the covered bytes of one block."""
-    columns = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]
+    columns = ["doc_id", "no_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]
     if not len(docs):
         return pd.DataFrame(columns=[*columns, *carry])
     ids, texts, order = _block(docs)
+    none = docs["no_id"].to_numpy(bool)[order]
     bounds = np.zeros(len(texts) + 1, np.int64)
     np.cumsum([len(t) for t in texts], out=bounds[1:])
     cover = np.zeros(bounds[-1] + 1, np.int32)
@@ -400,7 +400,7 @@ def _strip(docs: pd.DataFrame, answers: pd.DataFrame, with_text: bool = False, c
         if removed:
             kept = np.frombuffer(t, np.uint8)[~mask].tobytes()
             spans = int(mask[0]) + int((mask[1:] & ~mask[:-1]).sum())
-        rows.append((None if ids[i] == NONE else int(ids[i]), len(t), removed, spans, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if with_text else None))
+        rows.append((int(ids[i]), bool(none[i]), len(t), removed, spans, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if with_text else None))
     out = pd.DataFrame(rows, columns=columns)
     for c in carry:
         out[c] = docs[c].iloc[order].to_numpy()
@@ -418,19 +418,20 @@ def suffix_dedup(docs: DataFrame, with_text: bool = False, carry: tuple[str, ...
     spark: SparkSession = docs.sparkSession
     blocks = C.block_count(docs)
     buckets = 1 << max(0, (blocks - 1).bit_length())
-    blocked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *carry).withColumn("blk", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)))
+    blocked = C.keyed(docs, "text", *carry).withColumn("blk", C.block_of(blocks))
     sent = blocked.drop(*carry).groupBy("blk").applyInPandas(_send_hashes(buckets), "blk long, bucket long, hashes binary, many binary")
     back = sent.groupBy("bucket").applyInPandas(_repeated, "blk long, hashes binary")
     runs = C.cut(blocked.drop(*carry).groupBy("blk").cogroup(back.groupBy("blk")).applyInPandas(_make_run, RUNS), "suffix-runs")
 
-    # Splitters: a bounded sample of the runs' own evenly spaced keys, cut to the anchor so that anchors stay whole.
-    total = runs.agg(F.sum(F.size("sample")), F.sum("n")).first()
-    taken = runs.select(F.explode("sample").alias("key"))
-    if (total[0] or 0) > SPLITTER_SAMPLE:
-        taken = taken.sample(SPLITTER_SAMPLE / total[0] * 0.9, seed=1)
-    sample = sorted(bytes(r.key)[:K] for r in taken.limit(SPLITTER_SAMPLE).collect())
-    parts = max(1, min(-(-(total[1] or 0) // 100_000), len(sample)))
-    splitters = sorted({sample[len(sample) * i // parts] for i in range(1, parts)})
+    # Splitters: a sample of the runs' own evenly spaced keys, in proportion to the parts, cut to the anchor so that
+    # anchors stay whole.
+    have, total = (int(x or 0) for x in runs.agg(F.sum(F.size("sample")), F.sum("n")).first())
+    taken = runs.select(F.explode("sample").alias("key")).select(F.substring("key", 1, K).alias("key"))
+    parts = max(1, -(-total // PER_PART))
+    if have > 2 * PICKS * parts:
+        taken = taken.sample(PICKS * parts / have, seed=1)
+    sample = sorted(bytes(r.key) for r in taken.collect())
+    splitters = sorted({sample[len(sample) * i // parts] for i in range(1, parts)}) if sample else []
     pieces = runs.select("blk", "n", "run", "docs").mapInPandas(_cut_runs(splitters), "part long, blk long, start long, n long, run binary, docs binary")
     answers = pieces.groupBy("part").applyInPandas(_merge_part, ANSWERS)
     nothing = {c: F.lit(None).cast("binary") for c in ("pos", "item", "solo", "least", "mixed", "leasts")}
@@ -439,7 +440,7 @@ def suffix_dedup(docs: DataFrame, with_text: bool = False, carry: tuple[str, ...
     )
     schema = OUTPUT + "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
     out = blocked.groupBy("blk").cogroup(both.groupBy("blk")).applyInPandas(lambda x, y: _strip(x, y, with_text, carry), schema)
-    return out if with_text else out.drop("kept_text")
+    return out.select(C.doc_id(), *[c for c in out.columns[2:] if with_text or c != "kept_text"])
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

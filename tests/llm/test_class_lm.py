@@ -50,6 +50,68 @@ def test_counts_base_and_model(spark, monkeypatch, blocks):
         assert r.score < 0
 
 
+def by_words(rows, class_of):
+    """Scores by the words of the module for given classes of exchanged words: placing, transitions, emissions."""
+    texts = {i: words_of(t) for i, (_, t) in enumerate(rows)}
+    train = [i for i, (d, _) in enumerate(rows) if d is None or zlib.crc32(str(d).encode()) % 5 != 1]
+    count = Counter(w for i in train for w in texts[i])
+    exchanged = {w: class_of(w) for w in count if count[w] >= L.FLOOR}
+    first = lambda w: exchanged.get(w, L.UNSEEN)
+    table, around = np.zeros((L.TOTAL, L.TOTAL)), {}
+    for i in train:
+        line = [L.END, *map(first, texts[i]), L.END]
+        for a, b in itertools.pairwise(line):
+            table[a, b] += 1
+        for k, w in enumerate(texts[i]):
+            around.setdefault(w, []).append((line[k], line[k + 2]))
+    t = table + L.ADD
+    fit = lambda w, c: sum(math.log(t[a, c]) + math.log(t[c, b]) - math.log(t[c].sum()) - math.log(t[:, c].sum()) for a, b in around[w])
+    kind = {w: exchanged[w] if w in exchanged else max(range(L.CLASSES), key=lambda c: fit(w, c)) for w in count}
+    moves = np.zeros((L.TOTAL, L.TOTAL))
+    for i in train:
+        line = [L.END, *(kind[w] if count[w] > 1 else L.UNSEEN for w in texts[i]), L.END]
+        for a, b in itertools.pairwise(line):
+            moves[a, b] += 1
+    words, mass = Counter(kind.values()), Counter()
+    for w in count:
+        mass[kind[w]] += count[w]
+    words[L.END], mass[L.END] = 1, len(train)
+    share = (moves.sum(0) + L.ADD) / (moves.sum() + L.ADD * L.TOTAL)
+    out = []
+    for i in texts:
+        total, a = 0.0, L.END
+        for w in [*texts[i], None]:
+            b = L.END if w is None else kind.get(w, L.UNSEEN)
+            c = len(train) if w is None else count[w]
+            total += math.log10((moves[a, b] + L.BACKOFF * share[b]) / (moves[a].sum() + L.BACKOFF))
+            total += math.log10((c + L.ADD) / (mass[b] + L.ADD * max(words[b], 1)))
+            a = b
+        out.append(total)
+    return out
+
+
+@pytest.mark.parametrize("blocks", [1, 3])
+def test_scores_against_brute_force(spark, monkeypatch, blocks):
+    rows = [r for r in corpus(90) if r[0] != 1003]
+
+    def cluster(pairs, totals, parts):
+        of = np.append([int(h) % 4 for h in hashes], [L.UNSEEN, L.END]).astype(np.uint8)
+        return of, L._table(pairs, of, L.TOTAL)
+
+    train = [t for d, t in rows if d is None or zlib.crc32(str(d).encode()) % 5 != 1]
+    h, _ = L._tokens([L.C.as_bytes(t) for t in train])
+    found, n = np.unique(h, return_counts=True)
+    hashes = found[n >= L.FLOOR]
+    monkeypatch.setattr(L, "cluster", cluster)
+    monkeypatch.setattr(L.C, "block_count", lambda *_: blocks)
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, place int")
+    got = sorted(((str(r.doc_id), r.n_tokens, r.score) for r in L.class_scores(df).collect()))
+    class_of = lambda w: int(L._tokens([w.encode()])[0][0]) % 4
+    want = sorted((str(d), len(words_of(t)) + 1, s) for (d, t), s in zip(rows, by_words(rows, class_of)))
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    assert all(abs(g[2] - w[2]) < 1e-6 * max(1, abs(w[2])) for g, w in zip(got, want))
+
+
 def test_model_beats_the_base_on_text_with_structure(spark):
     r = random.Random(9)
     nouns, verbs = [f"n{i}" for i in range(40)], [f"v{i}" for i in range(40)]

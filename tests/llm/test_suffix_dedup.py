@@ -57,6 +57,8 @@ def by_hand(rows, blocks):
     """The stages one after the other, without Spark."""
     df = pd.DataFrame(rows, columns=["doc_id", "text"])
     df["blk"] = [sum(map(ord, str(d))) % blocks for d in df["doc_id"]]
+    df["no_id"] = df["doc_id"].isna()
+    df["doc_id"] = df["doc_id"].fillna(0).astype(np.int64)
     parts = [g for _, g in df.groupby("blk")]
     sent = pd.concat([S._send_hashes(4)(b) for b in parts])
     back = pd.concat([S._repeated(g) for _, g in sent.groupby("bucket")])
@@ -67,7 +69,7 @@ def by_hand(rows, blocks):
     for b in parts:
         told = answers[answers["blk"] == b["blk"].iloc[0]].assign(pos=None, item=None, n=np.nan)
         out.append(S._strip(b, pd.concat([told, runs[runs["blk"] == b["blk"].iloc[0]][["blk", "n", "pos", "item"]]])))
-    return sorted([(None if pd.isna(r[0]) else int(r[0]), *r[1:5]) for r in pd.concat(out).itertuples(index=False)], key=str)
+    return sorted([(None if r[1] else int(r[0]), *r[2:6]) for r in pd.concat(out).itertuples(index=False)], key=str)
 
 
 @pytest.mark.parametrize("few", [1, 8])
