@@ -8,9 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder (``spark.checkpoint.dir``); one is set here only where the session has none."""
+    """The cluster's shared folder (``spark.checkpoint.dir``).
+
+    One is set here only where the session has none and driver and executors are one process.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = "/tmp/recordloom-checkpoints"
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
