@@ -148,9 +148,23 @@ def _edges(words: int, parts: int) -> np.ndarray:
     return np.arange(parts + 1, dtype=np.int64) * words // parts
 
 
+MERGED = "part long, fore binary, fore_n binary, back binary, back_n binary"
+
+
 def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
-    own = [_unpacked(c, n) for c, n in zip(pdf["code"], pdf["n"])]
-    return pd.DataFrame([(int(pdf["part"].iloc[0]), int(pdf["side"].iloc[0]), *_packed(*_summed(*map(list, zip(*own)))))], columns=["part", "side", "code", "n"])
+    """All of one part as one row, so that every step of the exchange reads it without dealing it out again."""
+    row = [int(pdf["part"].iloc[0])]
+    for side in (0, 1):
+        own = [_unpacked(c, n) for c, n, s in zip(pdf["code"], pdf["n"], pdf["side"]) if s == side]
+        row += _packed(*(_summed(*map(list, zip(*own))) if own else (np.zeros(0, np.int64), np.zeros(0, np.int64))))
+    return pd.DataFrame([row], columns=["part", "fore", "fore_n", "back", "back_n"])
+
+
+def _sides(pdf: pd.DataFrame):
+    """(side, codes, counts) of all parts."""
+    for fore, fore_n, back, back_n in zip(pdf["fore"], pdf["fore_n"], pdf["back"], pdf["back_n"]):
+        yield 0, *_unpacked(fore, fore_n)
+        yield 1, *_unpacked(back, back_n)
 
 
 def _table(pairs: DataFrame, of: np.ndarray, size: int) -> np.ndarray:
@@ -160,13 +174,13 @@ def _table(pairs: DataFrame, of: np.ndarray, size: int) -> np.ndarray:
     def run(batches):
         of, full = sent.value, np.int64(len(sent.value))
         for pdf in batches:
-            for side, code, n in zip(pdf["side"], pdf["code"], pdf["n"]):
-                code, n = _unpacked(code, n)
+            for side, code, n in _sides(pdf):
                 a, b = code // full, code % full
                 if side:  # of the side before a word only what side 0 lacks: the two last symbols before words
                     a, b, n = (x[b >= full - 2] for x in (b, a, n))
-                cell, m = _summed([of[a].astype(np.int64) * size + of[b]], [n])
-                yield pd.DataFrame({"cell": cell, "n": m})
+                if len(n):
+                    cell, m = _summed([of[a].astype(np.int64) * size + of[b]], [n])
+                    yield pd.DataFrame({"cell": cell, "n": m})
 
     out = np.zeros(size * size)
     cells = pairs.mapInPandas(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
@@ -224,24 +238,26 @@ def _moves(pairs: DataFrame, of: np.ndarray, table: np.ndarray, parts: int) -> n
     words = len(of) - 2
     edges = _edges(words, parts)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(batches):
         of, table = sent.value
-        part, full = int(pdf["part"].iloc[0]), len(of)
-        a, b = int(edges[part]), int(edges[part + 1])
-        found = np.zeros((2, b - a, TOTAL))
-        selves = np.zeros(b - a)
-        for side, code, n in zip(pdf["side"], pdf["code"], pdf["n"]):
-            code, n = _unpacked(code, n)
-            v, x = code // full, code % full
-            if side == 0:
-                same = v == x
-                selves[v[same & (v < words)] - a] = n[same & (v < words)]
-            use = (v < b) & (v != x)
-            found[side] = np.bincount((v[use] - a) * TOTAL + of[x[use]], weights=n[use], minlength=(b - a) * TOTAL).reshape(b - a, TOTAL)
-        return pd.DataFrame({"part": [part], "best": [best_classes(of[a:b].astype(np.int64), table, found[0], found[1], selves).astype(np.uint8).tobytes()]})
+        full = len(of)
+        for pdf in batches:
+            for part, row in zip(pdf["part"].tolist(), range(len(pdf))):
+                a, b = int(edges[part]), int(edges[part + 1])
+                found = np.zeros((2, b - a, TOTAL))
+                selves = np.zeros(b - a)
+                for side, code, n in _sides(pdf.iloc[row : row + 1]):
+                    v, x = code // full, code % full
+                    if side == 0:
+                        same = v == x
+                        selves[v[same & (v < words)] - a] = n[same & (v < words)]
+                    use = (v < b) & (v != x)
+                    found[side] = np.bincount((v[use] - a) * TOTAL + of[x[use]], weights=n[use], minlength=(b - a) * TOTAL).reshape(b - a, TOTAL)
+                best = best_classes(of[a:b].astype(np.int64), table, found[0], found[1], selves).astype(np.uint8)
+                yield pd.DataFrame({"part": [part], "best": [best.tobytes()]})
 
     out = of.copy()
-    for r in pairs.groupBy("part").applyInPandas(run, "part long, best binary").collect():
+    for r in pairs.mapInPandas(run, "part long, best binary").collect():
         out[edges[r["part"]] : edges[r["part"] + 1]] = np.frombuffer(r["best"], np.uint8)
     sent.unpersist()
     return out
@@ -510,7 +526,7 @@ def class_scores(docs: DataFrame) -> DataFrame:
     names, counts = names[order], counts[order]
     sent = spark.sparkContext.broadcast(names)
     parts = max(1, min(buckets, len(names)))
-    pairs = C.cut(own.mapInPandas(_bigrams(sent, parts), PAIRS).groupBy("part", "side").applyInPandas(_merge, PAIRS), "class-lm-pairs")
+    pairs = C.cut(own.mapInPandas(_bigrams(sent, parts), PAIRS).groupBy("part").applyInPandas(_merge, MERGED), "class-lm-pairs")
     of, table = cluster(pairs, counts, parts)
     classes, moves = spark.sparkContext.broadcast(of), spark.sparkContext.broadcast(table)
     asked = blocked.groupBy("blk").cogroup(told.select("blk", "totals", "bucket").groupBy("blk")).applyInPandas(_contexts(sent, classes), "blk long, bucket long, words binary, times binary, around binary")
