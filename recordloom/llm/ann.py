@@ -4,7 +4,9 @@ Unit vectors are projected on random lines, which are orthogonal in groups as la
 how many windows a vector of a given distance falls into. Each block of the index keeps, for each line, its
 projections in a sorted array. A query opens on every line a window around its own projection; a vector inside a
 window has collided once. Virtual rehashing widens the windows round by round (radius times ``STEP``), and only the
-newly covered ends of the sorted arrays are counted. A vector with collisions on a share of ``THRESHOLD`` of the lines
+newly covered ends of the sorted arrays are counted; windows of the first round that cover most of an array are
+counted by what they leave out. The first radius is a little below that at which a few probes of the block find their
+neighbours. A vector with collisions on a share of ``THRESHOLD`` of the lines
 is verified with its exact cosine. A query stops once its k-th best verified vector is within the radius; the last
 round covers everything, so no query ends with too few.
 
@@ -21,8 +23,10 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-#: Lines, window width in radii, share of lines on which a vector must collide, first radius, growth of the radius.
-LINES, WIDTH, THRESHOLD, FIRST, STEP = 192, 3.0, 0.845, 0.2, 1.06
+#: Lines, window width in radii, share of lines on which a vector must collide, growth of the radius.
+LINES, WIDTH, THRESHOLD, STEP = 192, 3.0, 0.845, 1.04
+#: First radius as a share of the probes' median distance to their neighbours, and at least; probes of a block.
+FIRST, LEAST, PROBES = 0.95, 0.2, 64
 #: Vectors in a block, queries in a slice.
 VECTORS, QUERIES = 8_192, 128
 
@@ -50,9 +54,17 @@ class Block:
         projected = ((self.vectors / self.norms[:, None]) @ self.lines).astype(np.float32)
         self.order = np.argsort(projected, axis=0, kind="stable").T.astype(np.int32)
         self.sorted = np.take_along_axis(projected.T, self.order, 1)
+        self.first = self._first_radius()
         #: vectors verified, over all queries
         self.verified = 0
 
+    def _first_radius(self, k: int = 5) -> float:
+        n = len(self.ids)
+        own = np.unique(np.linspace(0, n - 1, min(n, PROBES)).astype(int))
+        near = (self.vectors[own] / self.norms[own, None]) @ (self.vectors / self.norms[:, None]).T
+        kth = np.sort(near, 1)[:, -min(k + 1, n)]  # the probe itself is the nearest
+        return max(LEAST, FIRST * float(np.median(np.sqrt(np.maximum(2 - 2 * kth, 0)))))
+
     def windows(self, projected: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
         half = np.float32(WIDTH * radius / 2)
         lo = np.stack([np.searchsorted(s, p - half, "left") for s, p in zip(self.sorted, projected.T)], 1)
@@ -72,26 +84,30 @@ class Block:
         queries = scaled(queries.astype(np.float64))
         norms = np.sqrt((queries * queries).sum(1))
         projected = ((queries / norms[:, None]) @ self.lines).astype(np.float32)
-        radii = [FIRST * STEP**i for i in range(256) if FIRST * STEP**i < 2.6]
+        radii = [self.first * STEP**i for i in range(256) if self.first * STEP**i < 2.6]
         need = int(np.ceil(THRESHOLD * LINES))
         n, arrays = len(self.ids), self.order
-        zero = np.searchsorted(self.sorted[0], projected[:, 0])
-        state = [(np.zeros(n, np.int16), np.zeros(0, np.int64), np.zeros(0)) for _ in ids]
-        before = np.repeat(zero[:, None], LINES, 1)
-        for line in range(1, LINES):
-            before[:, line] = np.searchsorted(self.sorted[line], projected[:, line])
-        a = b = before
-        live = list(range(len(ids)))
+        state = [(None, np.zeros(0, np.int64), np.zeros(0)) for _ in ids]
+        live, a, b = list(range(len(ids))), None, None
         for radius in [*radii, np.inf]:
-            lo, hi = (np.zeros_like(a), np.full_like(b, n)) if radius == np.inf else self.windows(projected, radius)
+            lo, hi = (np.zeros((len(ids), LINES), np.int64), np.full((len(ids), LINES), n)) if radius == np.inf else self.windows(projected, radius)
             going = []
             for i in live:
                 count, found, scores = state[i]
-                parts = [o[x:y] for o, x, y in zip(arrays, lo[i], a[i])] + [o[x:y] for o, x, y in zip(arrays, b[i], hi[i])]
-                at, times = self._collisions(parts)
-                old = count[at]
-                count[at] = old + times
-                new = at[(old < need) & (old + times >= need)]
+                if count is None:
+                    if (hi[i] - lo[i]).sum() * 2 > n * LINES:
+                        parts = [o[:x] for o, x in zip(arrays, lo[i])] + [o[y:] for o, y in zip(arrays, hi[i])]
+                        count = LINES - np.bincount(np.concatenate(parts), minlength=n)
+                    else:
+                        count = np.bincount(np.concatenate([o[x:y] for o, x, y in zip(arrays, lo[i], hi[i])]), minlength=n)
+                    count = count.astype(np.int16)
+                    new = np.flatnonzero(count >= need)
+                else:
+                    parts = [o[x:y] for o, x, y in zip(arrays, lo[i], a[i])] + [o[x:y] for o, x, y in zip(arrays, b[i], hi[i])]
+                    at, times = self._collisions(parts)
+                    old = count[at]
+                    count[at] = old + times
+                    new = at[(old < need) & (old + times >= need)]
                 if len(new):
                     new = new[self.ids[new] != ids[i]]
                     self.verified += len(new)
@@ -99,7 +115,7 @@ class Block:
                     found, scores = np.concatenate([found, new]), np.concatenate([scores, own])
                     best = np.lexsort((self.ids[found], -scores))[:k]
                     found, scores = found[best], scores[best]
-                    state[i] = count, found, scores
+                state[i] = count, found, scores
                 if len(found) < k or scores[-1] < 1 - radius * radius / 2:
                     going.append(i)
             live, a, b = going, lo, hi
