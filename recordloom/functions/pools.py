@@ -41,7 +41,7 @@ REGIONS = {
         ("Peru", "PE", ["Lima", "Arequipa", "Trujillo"], "99999"),
     ],
     "Europe": [
-        ("United Kingdom", "GB", ["Manchester", "Bristol", "Leeds", "Glasgow", "Sheffield"], "AA9 9AA"),
+        ("United Kingdom", "GB", ["Manchester", "Bristol", "Leeds", "Glasgow", "Sheffield"], "UK"),
         ("Germany", "DE", ["Munich", "Hamburg", "Cologne", "Stuttgart", "Leipzig"], "99999"),
         ("France", "FR", ["Lyon", "Marseille", "Toulouse", "Nantes", "Bordeaux"], "99999"),
         ("Spain", "ES", ["Valencia", "Seville", "Zaragoza", "Málaga", "Bilbao"], "99999"),
@@ -81,7 +81,7 @@ LOCALES = {
     "China": ("China", ["伟", "芳", "娜", "强"], ["王", "李", "张", "刘"], ["北京", "广州", "南京"], "中山路99号", "999999", "199 9999 9999"),
     "Korea": ("South Korea", ["민준", "서연", "지훈", "하은"], ["김", "이", "박", "최"], ["서울", "수원", "제주"], "중앙로 99", "99999", "010-9999-9999"),
     "India": ("India", ["Aarav", "Diya", "Kabir", "Ananya"], ["Sharma", "Iyer", "Reddy", "Das"], ["Mumbai", "Kochi", "Surat"], "99 MG Road", "999999", "+91 99999 99999"),
-    "UnitedKingdom": ("United Kingdom", ["Oliver", "Niamh", "Harry", "Isla"], ["Taylor", "O'Neill", "Hughes", "Clarke"], ["York", "Bath", "Leeds"], "99 High Street", "AA9 9AA", "0999 999 9999"),
+    "UnitedKingdom": ("United Kingdom", ["Oliver", "Niamh", "Harry", "Isla"], ["Taylor", "O'Neill", "Hughes", "Clarke"], ["York", "Bath", "Leeds"], "99 High Street", "UK", "0999 999 9999"),
     "Canada": ("Canada", ["Ethan", "Maëlle", "Logan", "Zoé"], ["Tremblay", "Martin", "Roy", "Campbell"], ["Halifax", "Québec", "Regina"], "99 Maple Crescent", "A9A 9A9", "(999) 999-9999"),
 }
 

@@ -2,8 +2,8 @@
 
 Draw k of a seed is a pure function of (seed, k): the 32-bit mixer Mulberry32 over seed + k * step. So any row can
 compute its draws alone, on any partitioning. A schema whose rows take a fixed number of draws replays one stream
-(row r takes draws r * D + 1 ...); where draws depend on data, each cell has a stream of its own, keyed by what the
-cell is.
+(row r takes draws r * D + 1 ...); where draws depend on data, each cell has a stream of its own, keyed by 64 bits of
+a hash of what the cell is: draw k of it is a 64-bit hash of key and k.
 """
 
 from __future__ import annotations
@@ -64,14 +64,15 @@ def row_stream(seed: int, row: Column, per_row: int, skip: int = 0) -> Draws:
 
 
 def cell_key(seed: int, *what) -> Column:
-    """The stream of a cell: 32 bits of a hash of the seed and what the cell is (text, numbers or Columns)."""
+    """The stream of a cell: a 64-bit hash of the seed and what the cell is (text, numbers or Columns)."""
     parts = [x if isinstance(x, Column) else F.lit(x) for x in (seed, *what)]
-    return F.xxhash64(*parts).bitwiseAND(F.lit(MASK))
+    return F.xxhash64(*parts)
 
 
 def cell_draws(key: Column, count: int) -> Column:
-    """The first draws of one cell."""
-    return uniforms(key, F.sequence(F.lit(1).cast("long"), F.lit(count).cast("long")))
+    """The first draws of one cell, of 53 bits each."""
+    numbers = F.sequence(F.lit(1), F.lit(count))
+    return F.transform(numbers, lambda k: F.shiftrightunsigned(F.xxhash64(key, k), 11).cast("double") / F.lit(float(1 << 53)))
 
 
 def cell_stream(key: Column, count: int = 64) -> Draws:

@@ -164,62 +164,64 @@ def _similarity(algo: str, a: str, b: str) -> float:
     return jaro_winkler_value(a, b) if algo == "jw" else 1 - _levenshtein(a, b) / max(len(a), len(b), 1)
 
 
-#: Fixed values of the search: tolerance, target from which nothing is done, targets below which edits get larger and
-#: more tries are made, tries.
-TOLERANCE, SAME, LARGE_BELOW, MANY_BELOW, TRIES, MANY = 0.02, 0.995, 0.85, 0.75, 80, 220
+#: How near is near enough, and the target from which a text stays as it is.
+TOLERANCE, SAME = 0.02, 0.995
+#: Plans that are drawn for a text at most.
+PLANS = 24
+_NUMERIC = set("0123456789 \t().,+-")
+
+
+def _plan(text: str, draw) -> list[tuple[int, str, str]]:
+    """Edits at places of a text, one a place and some behind its end, in a random order."""
+    pool = "0123456789" if set(text) <= _NUMERIC else "abcdefghijklmnopqrstuvwxyz"
+    edits = []
+    for i in range(len(text) + max(1, len(text) // 3)):
+        kind = "insert" if i >= len(text) else ("change", "change", "drop", "insert", "swap")[int(draw() * 5)]
+        letter = pool[int(draw() * len(pool))]
+        if i < len(text) and letter == text[i].lower():
+            letter = pool[(pool.index(letter) + 1) % len(pool)]
+        edits.append((draw(), i, kind, letter))
+    return [e[1:] for e in sorted(edits)]
+
+
+def _edited(text: str, edits: list[tuple[int, str, str]]) -> str:
+    out, at = list(text) + [""], dict((i, (kind, letter)) for i, kind, letter in edits if i < len(text))
+    for i, (kind, letter) in at.items():
+        if kind == "swap" and i + 1 < len(text) and i + 1 not in at:
+            out[i], out[i + 1] = out[i + 1], out[i]
+        else:
+            out[i] = {"drop": "", "insert": letter + out[i]}.get(kind, letter)
+    return "".join(out) + "".join(letter for i, _, letter in edits if i >= len(text))
 
 
 def corrupt_to_target(text: str, algo: str, target: float, draw) -> str:
-    """Edit at random until the similarity to the original is near the target; the nearest text met if it never is.
+    """A text whose similarity to the given one is the target within ``TOLERANCE``, else the nearest one met.
 
-    Each step goes on from the last text while that is still too similar, else from the original again.
+    The more edits of a plan are made, the less similar the text: how many it takes is found by bisection. A plan
+    that jumps over the target is followed by another one.
     """
     if not text or target >= SAME:
         return text
-    whole = lambda lo, hi: lo + int(draw() * (hi - lo + 1))
-
-    def small(s: str) -> str:
-        letters = "0123456789" if all(c in "0123456789 \t().,+-" for c in s) else "abcdefghijklmnopqrstuvwxyz"
-        c, i, op = letters[whole(0, len(letters) - 1)], whole(0, max(0, len(s) - 1)), whole(0, 3)
-        if op == 0 and len(s) > 1:
-            i = min(i, len(s) - 2)
-            return s[:i] + s[i + 1] + s[i] + s[i + 2 :]
-        if op == 1 and len(s) > 2:
-            return s[:i] + s[i + 1 :]
-        if op == 2 and s:
-            return s[:i] + c + s[i + 1 :]
-        i = whole(0, len(s))
-        return s[:i] + c + s[i:]
-
-    def large(s: str) -> str:
-        words = s.split()
-        if len(words) > 1 and draw() < 0.5:
-            w = words.pop(whole(0, len(words) - 1))
-            words.insert(whole(0, len(words)), w)
-            if " ".join(words) != s:
-                return " ".join(words)
-        if len(s) > 4:
-            n = whole(2, min(4, len(s) - 2))
-            i = whole(0, len(s) - n)
-            return s[:i] + s[i + n :]
-        return small(s)
-
-    now, best, gap = text, text, 1 - target
-    for _ in range(MANY if target < MANY_BELOW else TRIES):
-        found = large(now) if target < LARGE_BELOW and draw() < 0.25 else small(now)
-        near = _similarity(algo, text, found)
-        if abs(near - target) <= TOLERANCE:
-            return found
-        if abs(near - target) < gap:
-            best, gap = found, abs(near - target)
-        now = found if near > target else text
+    best, gap = text, 1 - target
+    for _ in range(PLANS):
+        plan = _plan(text, draw)
+        few, many = 0, len(plan)
+        while few < many and gap > TOLERANCE:
+            made = (few + many) // 2 if few else max(1, min(many, round((1 - target) * len(text))))
+            found = _edited(text, plan[:made])
+            near = _similarity(algo, text, found)
+            if abs(near - target) < gap:
+                best, gap = found, abs(near - target)
+            few, many = (made + 1, many) if near > target else (few, made - 1)
+        if gap <= TOLERANCE:
+            break
     return best
 
 
 def _towards(algo: str, target: float):
     @F.pandas_udf(T.StringType())
     def run(texts: pd.Series, keys: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else corrupt_to_target(t, algo, target, R.mulberry32(int(k))) for t, k in zip(texts, keys)], dtype=object)
+        return pd.Series([None if t is None else corrupt_to_target(t, algo, target, R.mulberry32(int(k) ^ int(k) >> 32)) for t, k in zip(texts, keys)], dtype=object)
 
     return run
 

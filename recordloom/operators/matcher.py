@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import keys as K
 from ..functions import similarity as S
 from .rules import KINDS, POLICIES, Comparison, Invalid, Rule, validate_rule
+from .storage import write_through
 
 #: Comparisons that a run may cost by default; None asks for no limit.
 MAX_COMPARISONS = 3_000_000
@@ -136,6 +137,7 @@ class Matcher:
             raise Invalid("an id field is needed")
         if not rules:
             raise Invalid("at least one match rule is needed")
+        self.id_field = id_field
         self.rules, self.fields = rules, sorted({c.field for r in rules for c in r.comparisons})
         for i, r in enumerate(rules):
             validate_rule(r, i)
@@ -147,9 +149,15 @@ class Matcher:
         self.records = records.select(value(id_field).alias("id"), place.alias("ord"), *[present(f).alias(c) for f, c in self.column.items()])
 
     def check_ids(self) -> None:
-        """Refuse records without an id."""
-        if not self.records.where(K.is_blank(F.col("id"))).isEmpty():
-            raise Invalid("a record has no value in the id field")
+        """Refuse an input without records, records without an id, and ids that are there twice."""
+        n, blank = self.records.agg(F.count("*"), F.count_if(K.is_blank(F.col("id")))).first()
+        if not n:
+            raise Invalid("there are no records to match", self.id_field)
+        if blank:
+            raise Invalid(f'{blank} records have no value in the id field "{self.id_field}"', self.id_field)
+        twice = self.records.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").orderBy("id").first()
+        if twice:
+            raise Invalid(f'the id "{twice.id}" is not unique', self.id_field)
 
     def _keys(self, rule: Rule) -> list[Column]:
         return [key_of(c, F.col(self.column[c.field])) for c in rule.comparisons if KINDS[c.kind].blocks]
@@ -224,13 +232,19 @@ class Matcher:
             raise Invalid(f"these rules would need {total:,} comparisons, over the limit of {budget:,}.{why}")
         return total
 
-    def run(self, policy: str = "all", budget: int | None = None) -> Match:
-        """All results under a link policy; with a budget the cost is checked first."""
+    def run(self, policy: str = "all", budget: int | None = MAX_COMPARISONS, check: bool = True) -> Match:
+        """All results under a link policy.
+
+        Ids are checked first, then the cost against the budget, both from aggregates, before any pair is made; a
+        budget of None asks for no limit. The links are written through once; what is made from them reads them there.
+        """
         if policy not in POLICIES:
             raise Invalid(f'unknown link policy "{policy}"; use "all" or "best"')
+        if check:
+            self.check_ids()
         if budget is not None:
             self.admit(budget)
-        each = reduce(DataFrame.unionByName, [self.rule_links(i) for i in range(len(self.rules))])
+        each = write_through(reduce(DataFrame.unionByName, [self.rule_links(i) for i in range(len(self.rules))]), "links")
         grouped = each.groupBy("a", "b").agg(F.max("confidence").alias("score"), F.max("strength").alias("strength"), F.array_sort(F.collect_set("rule")).alias("rules"))
         links = grouped.select("a", "b", rounded(F.col("score"), 3).alias("score"), rounded(F.col("strength"), 3).alias("strength"), "rules")
         ranked = rank_candidates(links)

@@ -223,39 +223,33 @@ def read_scorer(found: Any, fields: list[str] | None = None) -> tuple[dict, list
 
 # Suggestions: roles that field names suggest.
 
-#: What names of the roles look like.
+#: What names of the roles look like, and the rules proposed for the roles that are there.
 ROLES = {
-    "id": r"(^|_)(ssn|npi|ein|mrn|sin|nhs|vin|tax_?id|national_?id)($|_)",
-    "email": r"e-?mail",
-    "phone": r"phone|mobile|fax",
-    "dob": r"(birth|dob)",
-    "last": r"(last|sur|family)_?name|^last$",
-    "first": r"(first|given|fore)_?name|^first$",
-    "name": r"^(full_?)?name$|company|organi[sz]ation",
-    "zip": r"zip|postal|post_?code",
-    "street": r"street|address",
+    "first": r"^(first[_ ]?name|given[_ ]?name|forename|fname)$",
+    "last": r"^(last[_ ]?name|surname|family[_ ]?name|lname)$",
+    "dob": r"(birth[_ ]?date|date[_ ]?of[_ ]?birth|dob|birthdate)$",
+    "email": r"e[-_ ]?mail",
+    "phone": r"phone|mobile|tel",
+    "ssn": r"ssn|social|national[_ ]?id",
+    "zip": r"(zip|postal)(_?code)?$",
+    "street": r"street|address(\.|_)?(line|1)?$",
+    "company": r"company|organi[sz]ation|employer",
 }
+SUGGESTIONS = [
+    ("Identifier and birth date", "0.99", [("ssn", "exact", ""), ("dob", "exact", "")]),
+    ("Same email", "0.95", [("email", "normalized", "")]),
+    ("Fuzzy name and exact birth date", "0.90", [("last", "jw", "0.85"), ("first", "jw", "0.80"), ("dob", "exact", "")]),
+    ("Fuzzy name and postal code", "0.82", [("last", "soundex", ""), ("first", "jw", "0.85"), ("zip", "exact", "")]),
+]
 
 
 def suggest_rules(fields: list[str]) -> list[Rule]:
-    """Up to four rules from field names, strictest first; else an exact rule on the first field."""
-    role = {}
-    for r, pattern in ROLES.items():
-        role[r] = next((f for f in fields if f not in role.values() and re.search(pattern, f, re.I)), None)
-    C, out = Comparison, []
-    if role["id"]:
-        out.append(Rule("Same identifier", [C(role["id"], "normalized")], "0.99"))
-    if role["email"]:
-        out.append(Rule("Same email", [C(role["email"], "normalized")] + ([C(role["last"], "jw", "0.85")] if role["last"] else []), "0.95"))
-    if role["last"] and role["dob"]:
-        out.append(Rule("Name and birth date", [C(role["last"], "soundex"), C(role["dob"], "exact")] + ([C(role["first"], "jw", "0.85")] if role["first"] else []), "0.90"))
-    if role["name"] and (role["zip"] or role["phone"]):
-        out.append(Rule("Name and place", [C(role["zip"] or role["phone"], "normalized"), C(role["name"], "jwTokens", "0.88")], "0.85"))
-    if role["last"] and role["zip"] and len(out) < 4:
-        out.append(Rule("Name and postal code", [C(role["zip"], "prefix", "3"), C(role["last"], "jw", "0.90")], "0.80"))
-    if not out and fields:
-        out.append(Rule("Same " + fields[0], [C(fields[0], "exact")], "0.95"))
-    return out[:4]
+    """The proposed rules whose roles all have a field, strictest first; else an exact rule on the first field."""
+    plays = lambda role, f: any(re.search(ROLES[role], name, re.I) for name in (f, f.rpartition(".")[2]))
+    of = {role: next((f for f in fields if plays(role, f)), None) for role in ROLES}
+    fitting = [x for x in SUGGESTIONS if all(of[role] for role, *_ in x[2])]
+    out = [Rule(name, [Comparison(of[role], kind, arg) for role, kind, arg in tests], score) for name, score, tests in fitting]
+    return out or [Rule("Rule 1", [Comparison(f, "exact")], "0.95") for f in fields[:1]]
 
 
 def comparison_help() -> str:

@@ -1,8 +1,8 @@
 """Pairwise match quality against known truth.
 
 Counts come from sizes, not from pairs: the pairs a set of links implies are sum n(n-1)/2 over components, the true
-ones among them sum m(m-1)/2 over the parts of components that share a truth key. Only listings enumerate pairs, and
-they stop at their limit.
+ones among them sum m(m-1)/2 over the parts of components that share a truth key. Only listings make pairs, and no more
+than their limit calls for.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from .matcher import rounded
 from .rules import AUTO_MERGE, REVIEW_FLOOR, Invalid
 from .storage import write_through
 
-#: True pairs that a listing may enumerate by default; the counts have no limit.
+#: True pairs that may be enumerated by default; counts and listings enumerate none and have no such limit.
 MAX_TRUE_PAIRS = 2_000_000
 #: Default thresholds of a sweep.
 THRESHOLDS = [i / 20 for i in range(10, 21)]
@@ -140,44 +140,75 @@ def unknown_ids(truth: DataFrame, pairs: DataFrame) -> DataFrame:
     return ends.join(truth, "id", "left_anti")
 
 
-def missed_matches(truth: DataFrame, pairs: DataFrame, close: bool = True, limit: int | None = 200) -> DataFrame:
-    """True pairs that the links do not give, in order."""
-    every, linked = true_pairs(truth), normalize_pairs(pairs).where("a <> b")
-    if close:
-        comp = components_of(linked)
-        x, y = comp.select(F.col("id").alias("a"), F.col("component").alias("ca")), comp.select(F.col("id").alias("b"), F.col("component").alias("cb"))
-        out = every.join(x, "a", "left").join(y, "b", "left").where(~F.coalesce(F.col("ca") == F.col("cb"), F.lit(False))).select("a", "b")
-    else:
-        out = every.join(_canonical(linked), ["a", "b"], "left_anti")
-    return out if limit is None else out.orderBy("a", "b").limit(limit)
+def _unlike(members: DataFrame, limit: int, groups_first: bool) -> DataFrame:
+    """The first pairs a < b of one group whose marks differ, from (grp, id, mark): grp, a, b, at most ``limit``.
 
+    In order of (grp, a, b), or of (a, b). Every id gives a pair unless all later ids of its group share its mark, so
+    the first ``limit`` ids that give one are all the first ends there can be. Their partners are among the first ids
+    of the group once no mark is there more than 2 * ``limit`` times: of those at most ``limit`` come before a first
+    end, and what was left out has ``limit`` others of its mark before it. So no more than 4 * ``limit`` ids of a
+    group are looked at, however large it is; the windows keep only such heads of their groups before the exchange.
+    """
+    whole = members.groupBy("grp").agg(F.max(F.struct("id", "mark")).alias("last"), F.min("mark").alias("lo"), F.max("mark").alias("hi")).where("lo <> hi").select("grp", "last")
+    own = members.join(whole, "grp")
+    turn = own.where("mark <> last.mark").groupBy("grp").agg(F.max("id").alias("turn"))
+    first = own.join(turn, "grp").where(F.when(F.col("mark") == F.col("last.mark"), F.col("id") < F.col("turn")).otherwise(F.lit(True)))
+    order = ["grp", "id"] if groups_first else ["id", "grp"]
+    heads = first.select("grp", "id", "mark").orderBy(*order).limit(limit)
+    near = members.join(F.broadcast(heads.select("grp").distinct()), "grp", "left_semi")
+    near = near.withColumn("n", F.row_number().over(Window.partitionBy("grp", "mark").orderBy("id"))).where(F.col("n") <= 2 * limit)
+    near = near.withColumn("n", F.row_number().over(Window.partitionBy("grp").orderBy("id"))).where(F.col("n") <= 4 * limit).drop("n")
+    x, y = F.broadcast(heads).alias("x"), near.alias("y")
+    found = y.join(x, (F.col("x.grp") == F.col("y.grp")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.mark") != F.col("y.mark")))
+    found = found.select("x.grp", F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    return found.orderBy(*(["grp", "a", "b"] if groups_first else ["a", "b"])).limit(limit)
+
+
+def _marks(labels: DataFrame, by: DataFrame, key: str) -> DataFrame:
+    """grp (the truth key), id, and as mark what ``by`` says of the id; an id it does not know is alone."""
+    mark = F.coalesce(F.concat(F.lit("k:"), F.col(f"m.{key}").cast("string")), F.concat(F.lit("i:"), F.col("t.id")))
+    return labels.alias("t").join(by.alias("m"), F.col("t.id") == F.col("m.id"), "left").select(F.col("t.key").alias("grp"), F.col("t.id").alias("id"), mark.alias("mark"))
+
+
+def _unpaired(truth: DataFrame, pairs: DataFrame, limit: int) -> DataFrame:
+    """The first true pairs that are not among ``pairs``. An id is a first end if it has later true partners beyond
+    its pairs; the first ``limit`` of those ids are enough."""
+    known = _marked(truth, _canonical(normalize_pairs(pairs))).where("hit").select("a", "b")
+    hits = known.groupBy("a").agg(F.count("*").alias("hits"))
+    later = truth.withColumn("later", F.count("*").over(Window.partitionBy("key").orderBy(F.desc("id"))) - 1)
+    open_ = later.join(hits, later["id"] == hits["a"], "left").where(F.col("later") > F.coalesce("hits", F.lit(0)))
+    heads = F.broadcast(open_.select("key", "id").orderBy("id").limit(limit)).alias("x")
+    found = truth.alias("y").join(heads, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")))
+    found = found.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    return found.join(known, ["a", "b"], "left_anti").orderBy("a", "b").limit(limit)
+
+
+def missed_matches(truth: DataFrame, pairs: DataFrame, close: bool = True, limit: int = 200) -> DataFrame:
+    """The first true pairs, in order, that the links do not give; true pairs are not enumerated for it."""
+    linked = normalize_pairs(pairs).where("a <> b")
+    if not close:
+        return _unpaired(truth, linked, limit)
+    return _unlike(write_through(_marks(truth, components_of(linked), "component"), "missed"), limit, False).select("a", "b").orderBy("a", "b")
 
-def false_merges(truth: DataFrame, pairs: DataFrame, close: bool = True, limit: int = 200) -> DataFrame:
-    """Predicted pairs that are not true: components by their least id, at most ``limit``, without expanding the rest.
 
-    Within a component every record is offered as first end of at most ``limit`` pairs; components after those that
-    fill the list by their known counts are never expanded.
-    """
+def false_merges(truth: DataFrame, pairs: DataFrame, close: bool = True, limit: int = 200) -> DataFrame:
+    """Predicted pairs that are not true, at most ``limit``: those of the components with the least ids, in order."""
     linked = normalize_pairs(pairs).where("a <> b")
     if not close:
         return _marked(truth, _canonical(linked)).where("not hit").select("a", "b").orderBy("a", "b").limit(limit)
-    comp = write_through(components_of(linked).join(truth, "id", "left"), "false-merges")
-    size = comp.groupBy("component").agg(F.count("*").alias("n"))
-    good = comp.where("key is not null").groupBy("component", "key").agg(F.count("*").alias("m")).groupBy("component").agg(F.sum(halves(F.col("m"))).alias("tp"))
-    wrong = size.join(good, "component", "left").select("component", "n", (halves(F.col("n")) - F.coalesce("tp", F.lit(0))).alias("fp")).where("fp > 0")
-    # Components in order hold at least one false pair each, so the first ``limit`` of them are enough.
-    first = wrong.orderBy("component").limit(limit).withColumn("before", F.coalesce(F.sum("fp").over(Window.orderBy("component").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).where(F.col("before") < limit)
-    # In one component the pairs needed have first ends among its least ids: n ids that share no key give n - 1 each.
-    own = comp.join(F.broadcast(first.select("component")), "component").withColumn("place", F.row_number().over(Window.partitionBy("component").orderBy("id")))
-    others = own.groupBy("component", "key").agg(F.count("*").alias("m"))
-    mine = own.join(others, ["component", "key"], "left").join(size, "component").withColumn("gives", F.col("n") - F.col("place") - F.coalesce("m", F.lit(1)) + 1)
-    done = F.sum(F.greatest(F.lit(0), F.col("gives"))).over(Window.partitionBy("component").orderBy("place").rowsBetween(Window.unboundedPreceding, -1))
-    heads = mine.withColumn("done", F.coalesce(done, F.lit(0))).where(F.col("done") < limit).select("component", "id", "key", "place").alias("x")
-    tails = own.alias("y")
-    differ = ~F.coalesce(F.col("x.key") == F.col("y.key"), F.lit(False))
-    # Every head sees only as many later ids as can fill the list, beyond those of its own key.
-    found = heads.join(tails, (F.col("x.component") == F.col("y.component")) & (F.col("x.id") < F.col("y.id")) & differ)
-    return found.select(F.col("x.component").alias("c"), F.col("x.id").alias("a"), F.col("y.id").alias("b")).orderBy("c", "a", "b").limit(limit).select("a", "b")
+    comp = components_of(linked).select(F.col("component").alias("key"), "id")
+    return _unlike(write_through(_marks(comp, truth, "key"), "false-merges"), limit, True).select("a", "b").orderBy("a", "b")
+
+
+def report(truth: DataFrame, pairs: DataFrame, close: bool = True, limit: int = 200) -> DataFrame:
+    """``evaluate`` with the listings in it: false_merges, missed_matches and unknown_ids, at most ``limit`` each, and
+    whether the first two were cut short."""
+    listed = lambda df, *c: df.agg(F.array_sort(F.collect_list(F.struct(*c) if len(c) > 1 else F.col(c[0]))))
+    out = evaluate(truth, pairs, close)
+    out = out.join(listed(false_merges(truth, pairs, close, limit), "a", "b").toDF("false_merges")).join(listed(missed_matches(truth, pairs, close, limit), "a", "b").toDF("missed_matches"))
+    out = out.join(listed(unknown_ids(truth, pairs).orderBy("id").limit(limit), "id").toDF("unknown_ids"))
+    cut = lambda c, n: F.size(c) < F.col(n)
+    return out.withColumns({"false_merges_truncated": cut("false_merges", "fp"), "missed_matches_truncated": cut("missed_matches", "fn"), "closed_transitively": F.lit(close)})
 
 
 def blocking(truth: DataFrame, pairs: DataFrame | None = None, blocks: DataFrame | None = None) -> DataFrame:
@@ -204,13 +235,10 @@ def blocking(truth: DataFrame, pairs: DataFrame | None = None, blocks: DataFrame
 
 
 def lost_to_blocking(truth: DataFrame, pairs: DataFrame | None = None, blocks: DataFrame | None = None, limit: int = 200) -> DataFrame:
-    every = true_pairs(truth)
-    if blocks is not None:
-        x, y = blocks.select(F.col("id").alias("a"), F.col("key").alias("ka")), blocks.select(F.col("id").alias("b"), F.col("key").alias("kb"))
-        out = every.join(x, "a", "left").join(y, "b", "left").where(~F.coalesce(F.col("ka") == F.col("kb"), F.lit(False))).select("a", "b")
-    else:
-        out = every.join(_canonical(normalize_pairs(pairs)), ["a", "b"], "left_anti")
-    return out.orderBy("a", "b").limit(limit)
+    """The first true pairs, in order, that are no candidates."""
+    if blocks is None:
+        return _unpaired(truth, pairs, limit)
+    return _unlike(write_through(_marks(truth, blocks, "key"), "lost"), limit, False).select("a", "b").orderBy("a", "b")
 
 
 def sweep(truth: DataFrame, pairs: DataFrame, thresholds: list[float] | None = None, close: bool = True) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import comparing, generating, linking, reading, scoring_queries
+from . import comparing, generating, linking, reading, scoring_queries, values
 
-MODULES = (comparing, linking, scoring_queries, generating, reading)
+MODULES = (comparing, linking, scoring_queries, generating, values, reading)
 
 
 def queries():

@@ -48,7 +48,12 @@ def path_access(spark, d):
     return own.select("event_id", field_column(own, "e.@id").alias("user"), field_column(own, "e.amount").alias("amount"), field_column(own, "e.amount.kind").alias("kind"))
 
 
-QUERIES = {f.__name__: f for f in (csv_lines, json_nested, xml_records, fingerprint, pairs_normalize, header_detect, path_access)}
+def labels_normalize(spark, d):
+    """Labels in a table with several keys an id."""
+    return parsing.labels_of(table(spark, d, "orders").select(F.col("o_custkey").alias("id"), F.concat(F.lit(" "), "o_orderstatus").alias("block")))
+
+
+QUERIES = {f.__name__: f for f in (csv_lines, json_nested, xml_records, fingerprint, pairs_normalize, labels_normalize, header_detect, path_access)}
 
 
 def _cell(x: str) -> str:
@@ -68,5 +73,9 @@ ORACLES = {
     "fingerprint": f"""WITH a AS (SELECT c_custkey AS o, sha256(c_name || '|' || c_mktsegment) AS h FROM customer), b AS ({_LEVEL.format(t='a')}), c AS ({_LEVEL.format(t='b')})
         SELECT substr(sha256(string_agg(h, '' ORDER BY o)), 1, 32) AS fingerprint FROM c""",
     "pairs_normalize": "SELECT CAST(l_orderkey AS VARCHAR) AS a, CAST(l_partkey AS VARCHAR) AS b, l_discount AS score FROM lineitem",
+    "labels_normalize": "SELECT CAST(o_custkey AS VARCHAR) AS id, max(trim(o_orderstatus)) AS key FROM orders GROUP BY o_custkey",
+    "header_detect": rf"""WITH c AS (SELECT page_id, string_split(url, '/') AS cells FROM pages), t AS (SELECT page_id, cells, list_transform(cells, lambda x: trim(x)) AS own FROM c)
+        SELECT page_id, array_to_string(cells, '|') AS row, COALESCE(len(own), 0) >= 2 AND len(list_filter(own, lambda x: regexp_full_match(x, '-?\d+(\.\d+)?'))) = 0
+          AND len(list_filter(own, lambda x: regexp_full_match(x, '{parsing.HEADER.pattern}', 'i'))) > 0 AS header FROM t""",
     "path_access": 'SELECT event_id, user_id AS "user", value AS amount, event_type AS kind FROM events',
 }

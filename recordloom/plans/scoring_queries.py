@@ -45,6 +45,13 @@ def missed_matches(spark, d):
     return S.missed_matches(truth(spark, d), links(spark, d))
 
 
+def evaluate_report(spark, d):
+    """The evaluation with its listings: how long they are, what is in them, whether they were cut short."""
+    own = S.report(truth(spark, d), links(spark, d), limit=40)
+    text = lambda c: F.array_join(F.transform(c, lambda p: F.concat_ws("+", p["a"], p["b"])), ",").alias(c)
+    return own.select("records", "fp", "fn", text("false_merges"), text("missed_matches"), F.array_join("unknown_ids", ",").alias("unknown_ids"), "false_merges_truncated", "missed_matches_truncated", "closed_transitively")
+
+
 def unknown_ids(spark, d):
     return S.unknown_ids(truth(spark, d), links(spark, d))
 
@@ -75,7 +82,7 @@ def banded_report(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (closure_components, truth_summary, implied_pairs, evaluate_closed, evaluate_open, false_merges, missed_matches, unknown_ids, blocking_labels, blocking_pairs, lost_to_blocking, sweep_closed, sweep_open, banded_report)
+    for f in (closure_components, truth_summary, implied_pairs, evaluate_closed, evaluate_open, false_merges, missed_matches, evaluate_report, unknown_ids, blocking_labels, blocking_pairs, lost_to_blocking, sweep_closed, sweep_open, banded_report)
 }
 
 _TRUE = "true_pairs AS (SELECT x.id AS a, y.id AS b FROM truth x JOIN truth y ON x.key = y.key AND x.id < y.id)"
@@ -118,6 +125,13 @@ ORACLES = {
     "evaluate_open": f"{WITH}, {_TRUE}, {_PLAIN} {_evaluate('plain')}",
     "false_merges": f"{WITH}, {_TRUE}, {_CLOSED} SELECT a, b FROM (SELECT * FROM implied WHERE (a, b) NOT IN (SELECT (a, b) FROM true_pairs) ORDER BY component, a, b LIMIT 200)",
     "missed_matches": f"{WITH}, {_TRUE}, {_CLOSED} SELECT a, b FROM true_pairs WHERE (a, b) NOT IN (SELECT (a, b) FROM implied) ORDER BY a, b LIMIT 200",
+    "evaluate_report": f"""{WITH}, {_TRUE}, {_CLOSED},
+        wrong AS (SELECT component, a, b FROM implied WHERE (a, b) NOT IN (SELECT (a, b) FROM true_pairs)), first_wrong AS (SELECT a, b FROM wrong ORDER BY component, a, b LIMIT 40),
+        missed AS (SELECT a, b FROM true_pairs WHERE (a, b) NOT IN (SELECT (a, b) FROM implied)), first_missed AS (SELECT a, b FROM missed ORDER BY a, b LIMIT 40),
+        strange AS (SELECT id FROM (SELECT a AS id FROM links WHERE a <> b UNION SELECT b FROM links WHERE a <> b) WHERE id NOT IN (SELECT id FROM truth) ORDER BY id LIMIT 40)
+        SELECT (SELECT count(*) FROM truth) AS records, (SELECT count(*) FROM wrong) AS fp, (SELECT count(*) FROM missed) AS fn,
+          (SELECT COALESCE(string_agg(a || '+' || b, ',' ORDER BY a, b), '') FROM first_wrong) AS false_merges, (SELECT COALESCE(string_agg(a || '+' || b, ',' ORDER BY a, b), '') FROM first_missed) AS missed_matches,
+          (SELECT COALESCE(string_agg(id, ',' ORDER BY id), '') FROM strange) AS unknown_ids, (SELECT count(*) > 40 FROM wrong) AS false_merges_truncated, (SELECT count(*) > 40 FROM missed) AS missed_matches_truncated, TRUE AS closed_transitively""",
     "unknown_ids": f"{WITH} SELECT id FROM (SELECT a AS id FROM links WHERE a <> b UNION SELECT b FROM links WHERE a <> b) WHERE id NOT IN (SELECT id FROM truth)",
     "blocking_labels": f"{WITH}, {_TRUE}, {_BLOCKS} {_blocked('SELECT CAST(sum(n * (n - 1) // 2) AS BIGINT) FROM (SELECT count(*) AS n FROM blocks GROUP BY key)', _SAME_BLOCK)}",
     "blocking_pairs": f"{WITH}, {_TRUE}, {_PLAIN} {_blocked('SELECT count(*) FROM plain', '(t.a, t.b) IN (SELECT (a, b) FROM plain)')}",

@@ -13,11 +13,12 @@ from ..operators.rules import Invalid
 
 
 def clean_name(name: str) -> str:
-    """An entry name without a root, a way up or backslashes."""
-    parts = [p for p in name.replace("\\", "/").split("/") if p not in ("", ".", "..")]
-    if not parts:
+    """An entry name with forward slashes and no root; what would lead a way up ends in _ instead."""
+    parts = str(name).replace("\\", "/").lstrip("/").split("/")
+    own = "/".join(p[:-2] + "_" if p.endswith("..") else p for p in parts)
+    if not own:
         raise Invalid("an entry needs a name")
-    return "/".join(parts)
+    return own
 
 
 def unique_name(base: str, extension: str, taken: set[str]) -> str:
@@ -60,11 +61,11 @@ def column_letters(i: int) -> str:
 
 def sheet_name(raw: str, taken: set[str], index: int) -> str:
     """A legal sheet name of at most 31 characters, not there yet in any case."""
-    base = re.sub(r"[\[\]:*?/\\]", " ", str(raw or "")).strip().strip("'")[:31].strip() or f"Sheet{index + 1}"
+    base = " ".join(re.sub(r"[\[\]:*?/\\]", " ", str("" if raw is None else raw)).split())[:31] or f"Sheet{index + 1}"
     name, n = base, 1
     while name.lower() in taken:
         n += 1
-        name = base[: 31 - len(f" {n}")] + f" {n}"
+        name = base[: 31 - len(f" ({n})")] + f" ({n})"
     taken.add(name.lower())
     return name
 

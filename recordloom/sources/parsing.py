@@ -14,6 +14,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.matcher import field_column
 from ..operators.rules import Invalid
@@ -188,8 +189,12 @@ def read_delimited(spark: SparkSession, path: str, header: bool | None = None) -
     return reader.schema(", ".join(f"`{n}` string" for n in names)).csv(path), has
 
 
-def pairs_of(df: DataFrame) -> DataFrame:
-    """Canonical a, b (, score) of a table that names its ids in one of the usual ways, else by place."""
+def pairs_of(df: DataFrame, strict: bool = True) -> DataFrame:
+    """Canonical a, b (, score) of a table that names its ids in one of the usual ways, else by place.
+
+    A row with an empty id or a score that is no finite number is refused when it is read, naming the row's values;
+    unless ``strict`` such ids and scores are null.
+    """
     names = next((k for k in PAIR_KEYS if k[0] in df.columns and k[1] in df.columns), None)
     if names is None:
         if len(df.columns) < 2:
@@ -199,24 +204,69 @@ def pairs_of(df: DataFrame) -> DataFrame:
     else:
         score = next((k for k in SCORE_KEYS if k in df.columns), None)
     text = lambda n: F.trim(F.col(f"`{n}`").cast("string"))
-    own = [text(names[0]).alias("a"), text(names[1]).alias("b")]
-    return df.select(*own, *([text(score).try_cast("double").alias("score")] if score else []))
+    shown = F.concat_ws(", ", *[F.coalesce(text(n), F.lit("null")) for n in [*names, *([score] if score else [])]])
+
+    def kept(value: Column, fine: Column, what: str) -> Column:
+        if not strict:
+            return F.when(fine, value)
+        return F.when(fine, value).otherwise(F.raise_error(F.concat(F.lit(f"{what} in the pair ("), shown, F.lit(")"))).cast("string"))
+
+    ids = [kept(text(n), F.coalesce(text(n) != "", F.lit(False)), "an id is empty").alias(c) for n, c in zip(names, "ab")]
+    if not score:
+        return df.select(*ids)
+    blank, number = F.coalesce(text(score), F.lit("")) == "", text(score).try_cast("double")
+    finite = F.coalesce(~F.isnan(number) & (F.abs(number) != float("inf")), F.lit(False))
+    value = kept(F.when(~blank, text(score)), blank | finite, "the score is not a number")
+    return df.select(*ids, value.cast("double").alias("score"))
 
 
 def labels_of(df: DataFrame) -> DataFrame:
-    """Canonical id, key of a table (key, block or match_id), one row an id."""
+    """Canonical id, key of a table (key, block or match_id), one row an id.
+
+    A table has no order, so of several keys of one id the largest holds; in a text the last one does.
+    """
     have = [F.col(f"`{c}`").cast("string") for c in ("key", "block", "match_id") if c in df.columns]
     id_column: Column = F.col("id") if "id" in df.columns else F.col(f"`{df.columns[0]}`")
     key = F.coalesce(*have) if have else F.col(f"`{df.columns[1]}`").cast("string")
     return df.select(F.trim(id_column.cast("string")).alias("id"), F.trim(key).alias("key")).groupBy("id").agg(F.max("key").alias("key"))
 
 
+def _is_whole(text: str) -> bool:
+    try:
+        json.loads(text)
+    except ValueError:
+        return False
+    return True
+
+
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """Records of JSON files (a list, or an object a line) or delimited files with a header; missing cells are empty."""
-    if first_line(spark, path).lstrip()[:1] in ("[", "{"):
+    """Records of JSON files (a list, an object that holds one, or an object a line) or delimited files with a header.
+
+    Lines that are whole objects are read as lines, in parallel; else a file is one document. A document that is an
+    object gives the records of the first of its lists. Missing cells of delimited files are empty.
+    """
+    line = first_line(spark, path).strip()
+    if line[:1] == "{" and _is_whole(line) and spark.read.text(path).where(F.length(F.trim("value")) > 0).limit(2).count() == 2:
+        return spark.read.json(path)
+    if line[:1] == "[":
         return spark.read.option("multiLine", True).json(path)
+    if line[:1] == "{":
+        found = spark.read.option("multiLine", True).json(path)
+        lists = [f.name for f in found.schema if isinstance(f.dataType, T.ArrayType)]
+        if not lists:
+            raise Invalid("the JSON holds no list of records")
+        # Spark orders inferred fields by name; the file says which list comes first.
+        order = [k for k in _keys_of(spark, path) if k in lists] or lists
+        return found.select(F.inline(F.col(f"`{order[0]}`")))
     return read_delimited(spark, path, True)[0].fillna("")
 
 
+def _keys_of(spark: SparkSession, path: str) -> list[str]:
+    """Names of a JSON document's own fields, in the order of the first file."""
+    whole = spark.read.text(path, wholetext=True)
+    row = whole.select(F.json_object_keys("value").alias("keys")).first()
+    return (row["keys"] or []) if row else []
+
+
 def column(df: DataFrame, path: str) -> Column:
     return field_column(df, path)

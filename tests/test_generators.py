@@ -53,7 +53,7 @@ def test_check_digits(spark):
 
 def test_postal_codes_and_skew(spark):
     for region, rows in P.REGIONS.items():
-        shapes = [re.sub("A", "[A-Z]", re.sub("9", r"\\d", s)) for *_, s in rows]
+        shapes = [r"[A-Z]{1,2}[1-9]\d? \d[A-Z]{2}" if s == "UK" else re.sub("A", "[A-Z]", re.sub("9", r"\\d", s)) for *_, s in rows]
         assert all(any(re.fullmatch(s, x) for s in shapes) for x in draws(spark, f"geo{region}.postal", 60))
     tiers = draws(spark, "weighted.customerTier", 4000)
     assert abs(tiers.count("Standard") / 4000 - 0.7) < 0.03 and abs(tiers.count("Enterprise") / 4000 - 0.1) < 0.02
@@ -75,3 +75,17 @@ def test_catalog_size():
         by.setdefault(n.split(".")[0], []).append(n)
     assert {k: len(by[k]) for k in ("unwrap", "ids", "ident", "dirty", "weighted", "intlAny")} == {"unwrap": 23, "ids": 14, "ident": 10, "dirty": 22, "weighted": 11, "intlAny": 4}
     assert sum(len(v) for k, v in by.items() if k.startswith("geo")) == 25 and sum(len(v) for k, v in by.items() if k.startswith("intl") and k != "intlAny") == 72
+
+
+def test_cells_of_large_tables_are_unique(spark):
+    n = 2_000_000
+    keys = spark.range(n).select(R.cell_key(42, "E", "f", F.col("id")).alias("k"))
+    assert keys.distinct().count() == n
+    few = spark.range(200_000).select(M.uuid(R.cell_stream(R.cell_key(42, "E", "u", F.col("id")), 31)).alias("u"))
+    assert few.distinct().count() == 200_000
+    u = spark.range(20_000).select(F.explode(R.cell_draws(R.cell_key(1, F.col("id")), 3)).alias("u")).agg(F.min("u"), F.max("u"), F.avg("u")).first()
+    assert 0 <= u[0] < 0.001 and 0.999 < u[1] < 1 and abs(u[2] - 0.5) < 0.01
+
+
+def test_employer_prefixes(spark):
+    assert len(M.EIN) == 82 and M.EIN[0] == "01" and "07" not in M.EIN and "99" in M.EIN

@@ -149,7 +149,15 @@ def test_validation_documents_suggestions():
         with pytest.raises(Invalid):
             read_matcher(bad)
     names = [r.name for r in suggest_rules(["id", "first_name", "last_name", "birth_date", "email", "zip"])]
-    assert len(names) == 3 and [r.comparisons[0].field for r in suggest_rules(["code", "colour"])] == ["code"]
+    assert names == ["Same email", "Fuzzy name and exact birth date", "Fuzzy name and postal code"]
+    full = suggest_rules(["person.ssn", "person.surname", "fname", "dob", "postal_code"])
+    assert [[(c.field, c.kind, c.arg) for c in r.comparisons] for r in full] == [
+        [("person.ssn", "exact", ""), ("dob", "exact", "")],
+        [("person.surname", "jw", "0.85"), ("fname", "jw", "0.80"), ("dob", "exact", "")],
+        [("person.surname", "soundex", ""), ("fname", "jw", "0.85"), ("postal_code", "exact", "")],
+    ]
+    assert [r.name for r in suggest_rules(["code"])] == ["Rule 1"] and suggest_rules([]) == []
+    assert [r.comparisons[0].field for r in suggest_rules(["code", "colour"])] == ["code"]
 
 
 def test_explain_and_attribute(spark, five):
@@ -192,3 +200,15 @@ def test_audit_and_what_if(spark, five):
     outcomes, survival = D.what_if(kinds, one, "last", lambda v, i: F.element_at(cycle, i % 4 + 1), 8)
     assert [(r["value"], r["count"], r["change"], r["accepted"]) for r in outcomes.collect()] == [("DURGAN", 2, "case", [1]), ("Duqan", 2, "typo", []), ("Durgan", 2, None, [0, 1]), ("Dxrgxn", 2, "typo", [])]
     assert {r.rule: (r.survived, r.rate) for r in survival.collect()} == {0: (2, 0.25), 1: (4, 0.5)}
+
+
+def test_run_checks_ids_and_cost_first(spark):
+    run = lambda rows, **kw: Matcher(spark.createDataFrame(rows, "id string, last string"), [rule(("last", "jw", "0.8"))], "id").run(**kw)
+    for rows, words in (([("1", "a"), ("", "b")], "no value"), ([("1", "a"), (None, "b")], "no value"), ([("1", "a"), ("1", "b")], 'id "1" is not unique')):
+        with pytest.raises(Invalid, match=words):
+            run(rows)
+    with pytest.raises(Invalid, match="no records"):
+        run([])
+    many = spark.range(2600).select(F.col("id").cast("string").alias("id"), F.lit("x").alias("last"))
+    with pytest.raises(Invalid, match="3,378,700"):
+        Matcher(many, [rule(("last", "jw", "0.8"))], "id").run()

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,7 +75,7 @@ def test_listing_is_the_first_of_all(spark):
     known = dict(list(keys.items())[:35])
     every = sorted((comp[a], a, b) for a in comp for b in comp if a < b and comp[a] == comp[b] and not (a in known and known.get(a) == known.get(b)))
     for limit in (1, 7, 40, 10_000):
-        assert [tuple(r) for r in S.false_merges(truth, links, limit=limit).collect()] == [(a, b) for _, a, b in every[:limit]]
+        assert [tuple(r) for r in S.false_merges(truth, links, limit=limit).collect()] == sorted((a, b) for _, a, b in every[:limit])
 
 
 def test_blocking(spark, truth):
@@ -112,3 +114,54 @@ def test_score_all(spark, truth):
     assert got["sweep"].count() == 11 and got["blocking"].first().candidate_pairs == 1
     with pytest.raises(Invalid):
         S.banded(truth, pairs(spark, *SCORED), 0.5, 0.9)
+
+
+def listings_by_hand(truth, pairs, limit):
+    top = {}
+
+    def root(x):
+        while top.setdefault(x, x) != x:
+            x = top[x]
+        return x
+
+    for a, b in pairs:
+        if a != b:
+            a, b = root(a), root(b)
+            top[max(a, b)] = min(a, b)
+    key = dict(truth)
+    groups = {}
+    for x in top:
+        groups.setdefault(root(x), []).append(x)
+    merged = []
+    for g in sorted(sorted(v) for v in groups.values()):
+        merged += [(a, b) for i, a in enumerate(g) for b in g[i + 1 :] if key.get(a) is None or key.get(a) != key.get(b)]
+    missed = sorted((a, b) for a in key for b in key if a < b and key[a] == key[b] and not (a in top and b in top and root(a) == root(b)))
+    plain = {(min(p), max(p)) for p in pairs}
+    lost = sorted((a, b) for a in key for b in key if a < b and key[a] == key[b] and (a, b) not in plain)
+    return sorted(merged[:limit]), missed[:limit], lost[:limit]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_listings_against_brute_force(spark, seed):
+    r = random.Random(seed)
+    ids = [f"r{i:03d}" for i in range(60)]
+    truth = [(x, f"k{min(r.randrange(8), r.randrange(8))}" if seed else ("same" if x != "r030" else "other")) for x in ids[: 60 - seed * 3]]
+    pairs = [tuple(r.sample(ids, 2)) for _ in range([59, 12, 30, 60][seed])] + [("r001", "r001")]
+    if not seed:
+        pairs = list(zip(ids, ids[1:]))
+    t, p = spark.createDataFrame(truth, "id string, key string"), spark.createDataFrame(pairs, "a string, b string")
+    for limit in (1, 5, 40, 5000):
+        merged, missed, lost = listings_by_hand(truth, pairs, limit)
+        assert [tuple(x) for x in S.false_merges(t, p, limit=limit).collect()] == merged
+        assert [tuple(x) for x in S.missed_matches(t, p, limit=limit).collect()] == missed
+        assert [tuple(x) for x in S.missed_matches(t, p, close=False, limit=limit).collect()] == lost
+        if limit == 5:
+            row = S.report(t, p, limit=limit).first()
+            assert [tuple(x) for x in row.false_merges] == merged and row.false_merges_truncated == (row.fp > len(merged))
+            assert [tuple(x) for x in row.missed_matches] == missed and row.missed_matches_truncated == (row.fn > len(missed))
+
+
+def test_one_key_of_thousands_is_listed_without_enumerating(spark):
+    truth = spark.range(3000).select(F.format_string("%05d", "id").alias("id"), F.lit("k").alias("key"))
+    pairs = spark.createDataFrame([("00000", "00002")], "a string, b string")
+    assert [tuple(x) for x in S.missed_matches(truth, pairs, limit=3).collect()] == [("00000", "00001"), ("00000", "00003"), ("00000", "00004")]

@@ -53,6 +53,31 @@ def test_files(spark, tmp_path):
     assert sorted(map(tuple, P.labels_of(P.read_records(spark, str(tmp_path / "l.csv"))).collect())) == [("1", "x"), ("2", "y")]
 
 
+def test_record_files_in_json(spark, tmp_path):
+    def read(name, text):
+        (tmp_path / name).write_text(text)
+        return P.read_records(spark, str(tmp_path / name))
+
+    lines = read("lines.json", '{"id": 1, "v": "a"}\n\n{"id": 2, "v": "b"}\n{"id": 3}\n')
+    assert sorted((r.id, r.v) for r in lines.collect()) == [(1, "a"), (2, "b"), (3, None)]
+    wrapped = read("wrapped.json", '{\n "total": 2,\n "zebra": [{"id": 1, "n": {"x": 5}}, {"id": 2}],\n "also": [{"id": 9}]}')
+    assert sorted((r.id, r.n and r.n.x) for r in wrapped.collect()) == [(1, 5), (2, None)]
+    assert sorted(r.id for r in read("one.json", '{"records": [{"id": 7}, {"id": 8}]}').collect()) == [7, 8]
+    assert sorted(r.id for r in read("list.json", '[{"id": 7},\n {"id": 8}]').collect()) == [7, 8]
+    with pytest.raises(Invalid):
+        read("none.json", '{"a": 1,\n "b": {"c": 2}}')
+
+
+@pytest.mark.parametrize("row", [("1", "2", "high"), ("1", "2", "NaN"), ("", "2", "0.5"), (None, "2", "0.5"), ("1", " ", None)])
+def test_bad_pairs_are_refused_with_their_values(spark, row):
+    df = spark.createDataFrame([("7", "8", "0.9"), row], "left string, right string, sim string")
+    with pytest.raises(Exception, match="in the pair|is not a number in"):
+        P.pairs_of(df).collect()
+    assert P.pairs_of(df, strict=False).count() == 2
+    assert [tuple(r) for r in P.pairs_of(spark.createDataFrame([("7", "8", "0.9")], df.schema)).collect()] == [("7", "8", 0.9)]
+    assert P.pairs_of(spark.createDataFrame([("1", "2", "")], "a string, b string, score string")).first().score is None
+
+
 def flat(spark):
     rows = [(1, "A & <B>", ["x", "y"], ["1", "2"], 2.0, 'q"u', "n"), (2, None, [], [], 1.5, "a,b\nc", "m")]
     return spark.createDataFrame(rows, "`@id` long, `o.name` string, `o.items[0-2].@k` array<string>, `o.items[0-2].v` array<string>, amount double, `note` string, `o` string")
@@ -89,7 +114,7 @@ def test_fingerprint_tells_order_and_content(spark):
 
 
 def test_zip_and_names():
-    data = A.zip_files([("/a/../b.txt", "x" * 99), ("c\\d.txt", b"")], datetime(1970, 1, 1))
+    data = A.zip_files([("/a/b.txt", "x" * 99), ("c\\d.txt", b"")], datetime(1970, 1, 1))
     z = zipfile.ZipFile(io.BytesIO(data))
     assert z.namelist() == ["a/b.txt", "c/d.txt"] and z.read("a/b.txt") == b"x" * 99 and z.testzip() is None
     assert data == A.zip_files([("a/b.txt", "x" * 99), ("c/d.txt", b"")])
@@ -99,7 +124,11 @@ def test_zip_and_names():
     assert [A.unique_name("r", "csv", taken) for _ in range(3)] == ["r.csv", "r-2.csv", "r-3.csv"]
     assert [A.column_letters(i) for i in (0, 25, 26, 701, 702)] == ["A", "Z", "AA", "ZZ", "AAA"]
     names = set()
-    assert [A.sheet_name(n, names, i) for i, n in enumerate(["a/b", "A B", "", "x" * 40])] == ["a b", "A B 2", "Sheet3", "x" * 31]
+    assert [A.sheet_name(n, names, i) for i, n in enumerate(["a/b", "A B", "", "x" * 40])] == ["a b", "A B (2)", "Sheet3", "x" * 31]
+    assert A.sheet_name("X" * 40, names, 9) == "X" * 27 + " (2)"
+    assert [A.clean_name(n) for n in ("../a", "a/../b..", "c\\..", "/x.y")] == ["_/a", "a/_/b_", "c/_", "x.y"]
+    with pytest.raises(Invalid):
+        A.clean_name("//")
 
 
 def test_workbook(spark):
