@@ -128,8 +128,9 @@ def _across(members: DataFrame, placed: DataFrame, sets: DataFrame) -> DataFrame
     Shingles are ordered by the number of classes that hold them, those of one component only first. Two sets with
     J >= 3/4 share a shingle among the first n - ceil(3n/4) + 1 of each (the prefix filter), and as the two are in
     different components it is one that crosses components; a passage that thousands of documents share comes last
-    in that order. Classes that such shingles connect are a family. A family's sets meet chunk by chunk, any two
-    chunks in a task of bounded size, which counts all intersections by products of incidence matrices and puts out
+    in that order. Classes that such shingles connect are a family. A family's sets are dealt into chunks by size
+    (sizes of J >= 3/4 differ by a factor of 4/3 at most, so only neighbouring size groups meet), and any two chunks
+    meet in a task of bounded size, which counts all intersections by products of incidence matrices and puts out
     links only: families of many almost-similar texts cost arithmetic, not rows.
     """
     own = members.join(placed.select(F.col("id").alias("class"), "component"), "class", "left").withColumn("component", F.coalesce("component", "class"))
@@ -144,31 +145,42 @@ def _across(members: DataFrame, placed: DataFrame, sets: DataFrame) -> DataFrame
     heads = C.cut(ranked.where(F.col("n") - F.col("shared") + F.col("place") <= prefix).select("class", "item"), "near-prefixes")
     least = heads.groupBy("item").agg(F.min("class").alias("a"))
     family = C.cut(connected_components(heads.join(least, "item").select("a", F.col("class").alias("b"))), "near-families").select(F.col("id").alias("class"), F.col("component").alias("family"))
-    chunks = family.groupBy("family").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
-    dealt = family.join(chunks, "family").withColumn("chunk", F.pmod(F.xxhash64("class"), F.col("chunks")).cast("int"))
-    meets = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     placed_sets = sets.join(loose, "class")
-    full = meets.select("class", "family", "chunk", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi")).join(placed_sets, "class")
-    return full.groupBy("family", "lo", "hi").applyInPandas(_linked_chunks, "a long, b long")
+    # Size groups grow by 4/3 each; the least power is taken from whole numbers, as n may lie on a border.
+    borders = [1]
+    while borders[-1] < 1 << 40:
+        borders.append(-(-borders[-1] * 4 // 3))
+    sized = family.join(placed_sets.select("class", F.size("items").alias("n")), "class").withColumn("grp", F.expr(f"aggregate(array({', '.join(f'{b}L' for b in borders)}), 0, (k, b) -> k + int(n >= b))"))
+    chunks = sized.groupBy("family", "grp").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+    dealt = sized.join(chunks, ["family", "grp"]).withColumn("chunk", F.pmod(F.xxhash64("class"), F.col("chunks")).cast("int"))
+    # Every chunk meets those of its own group and of the next one.
+    own = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    own = own.select("class", "family", "chunk", F.col("grp").alias("g"), F.col("grp").alias("h"), F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), (F.col("chunk") <= F.col("other")).alias("left"))
+    up, down = chunks.select("family", (F.col("grp") - 1).alias("grp"), F.col("chunks").alias("beyond")), chunks.select("family", (F.col("grp") + 1).alias("grp"), F.col("chunks").alias("beyond"))
+    over = lambda side: dealt.join(side, ["family", "grp"]).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("beyond") - 1)))
+    upper = over(up).select("class", "family", "chunk", F.col("grp").alias("g"), (F.col("grp") + 1).alias("h"), F.col("chunk").alias("lo"), F.col("other").alias("hi"), F.lit(True).alias("left"))
+    lower = over(down).select("class", "family", "chunk", (F.col("grp") - 1).alias("g"), F.col("grp").alias("h"), F.col("other").alias("lo"), F.col("chunk").alias("hi"), F.lit(False).alias("left"))
+    meets = own.unionByName(upper).unionByName(lower)
+    return meets.join(placed_sets, "class").groupBy("family", "g", "h", "lo", "hi").applyInPandas(_linked_chunks, "a long, b long")
 
 
 def _linked_chunks(pdf: pd.DataFrame) -> pd.DataFrame:
     """Links between two chunks of a family (or within one), in different components."""
-    lo, hi = int(pdf["lo"].iloc[0]), int(pdf["hi"].iloc[0])
+    one = pdf["g"].iloc[0] == pdf["h"].iloc[0] and pdf["lo"].iloc[0] == pdf["hi"].iloc[0]
     pdf = pdf.sort_values("class", kind="stable")
-    left = pdf[pdf["chunk"] == lo]
-    right = left if lo == hi else pdf[pdf["chunk"] == hi]
+    left = pdf[pdf["left"]]
+    right = left if one else pdf[~pdf["left"]]
     if not len(left) or not len(right):
         return pd.DataFrame({"a": [], "b": []}).astype("int64")
     x, y = list(left["items"]), list(right["items"])
     nx, ny = np.array(list(map(len, x))), np.array(list(map(len, y)))
-    vocabulary, count = np.unique(np.concatenate(x + ([] if lo == hi else y)), return_counts=True)
+    vocabulary, count = np.unique(np.concatenate(x + ([] if one else y)), return_counts=True)
     vocabulary = vocabulary[count > 1]
     common = np.zeros((len(x), len(y)), np.float32)
     for s in range(0, len(vocabulary), SLAB):
         slab = vocabulary[s : s + SLAB]
         a = _incidence(x, slab)
-        common += a @ (a if lo == hi else _incidence(y, slab)).T
+        common += a @ (a if one else _incidence(y, slab)).T
     near = 100 * common >= 75 * (nx[:, None] + ny[None, :] - common)
     p, q = left["component"].to_numpy(), right["component"].to_numpy()
     near &= p[:, None] != q[None, :]

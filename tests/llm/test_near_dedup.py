@@ -81,8 +81,8 @@ def test_chunks_meet_like_all_pairs():
 
     got = set()
     for lo, hi in ((0, 0), (0, 1), (1, 1)):
-        part = [(*row, lo, hi) for row in rows if row[2] in (lo, hi)]
-        out = N._linked_chunks(pd.DataFrame(part, columns=["class", "component", "chunk", "items", "lo", "hi"]))
+        part = [(*row, 0, 0, lo, hi, row[2] == lo) for row in rows if row[2] in (lo, hi)]
+        out = N._linked_chunks(pd.DataFrame(part, columns=["class", "component", "chunk", "items", "g", "h", "lo", "hi", "left"]))
         got |= set(map(tuple, out.to_numpy().tolist()))
     # as many links as connect the components, all of them true
     def joined(links):
@@ -95,6 +95,19 @@ def test_chunks_meet_like_all_pairs():
     assert got <= want and len(got) <= 6 and joined(got) == joined(want)
 
 
+def test_links_across_size_groups(spark, monkeypatch):
+    """One bucket for all: every link has to come from the search across components, whatever the sizes."""
+    monkeypatch.setattr(N, "CHUNK", 3)
+    monkeypatch.setattr(N, "band_keys", lambda c: np.arange(1, dtype=np.uint64))
+    words = [f"w{i}" for i in range(2000)]
+    rows = [(100, "z")]
+    for i, n in enumerate([9, 10, 12, 13, 16, 17, 22, 23, 30, 31, 40, 41, 54, 55]):
+        text = words[40 * (i // 2) : 40 * (i // 2) + 4 + n] if i % 4 < 2 else words[1000 : 1004 + n]
+        rows.append((i, " ".join(text)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((tuple(x) for x in N.near_duplicates(df).collect()), key=str) == brute(rows)
+
+
 def test_empty(spark):
     assert N.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 

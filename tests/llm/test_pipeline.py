@@ -29,6 +29,18 @@ def corpus():
     return docs + [(900, None, None, "s1", None), (901, "", "en", "s2", 0)], [(a, b, int(c)) for a, b, c in labels]
 
 
+def test_rows_of_one_id_are_kept_unless_alike(spark, tmp_path):
+    r = random.Random(3)
+    prose = lambda n: " ".join(r.choice("abcdefgh") * 3 + str(r.randrange(99)) for _ in range(n))
+    a, b = prose(60), prose(60)
+    rows = [(5, None), (5, a), (5, b), (5, b), (6, a), (7, prose(40)), (None, b), (8, b + " more")]
+    df = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows], SCHEMA)
+    got = P.drop_near_copies(spark, df, str(tmp_path)).collect()
+    texts = [x.text for x in got]
+    assert len(got) == 5 and texts.count(a) == 1 and [x.doc_id for x in got if x.text is None] == [5]
+    assert sum(t in (b, b + " more") for t in texts) == 2 and None in [x.doc_id for x in got if x.text == b]
+
+
 def test_stages(spark, tmp_path):
     docs, labels = corpus()
     spark.createDataFrame(docs, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
