@@ -16,7 +16,10 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model predicts toxic go; it is trained on the labelled folds of ``docs``."""
+    """Documents that the toxicity model predicts toxic go; it is trained on the labelled folds of ``docs``.
+
+    Rows without a doc_id or without text are judged like all others; rows that stay, stay as they are.
+    """
     model = toxicity.fit(docs, common.table(spark, sf_dir, "labels"))
     return toxicity.drop_toxic(docs.select(*COLUMNS), model)
 
@@ -24,17 +27,27 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each near-duplicate component the document with the least id stays; texts without words all stay.
 
-    Of rows that share a doc_id one stays (the first in text order); rows without a doc_id stay.
+    Rows that share a doc_id but not the text are documents of their own, known by a hash of both, so that no text is
+    lost with another one; of rows alike in id and text one stays. Rows without a doc_id stay.
     """
     own = docs.select(*COLUMNS)
-    kept = near_dedup.near_duplicates(own).where("kept and doc_id is not null").select("doc_id").distinct()
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    stay = own.join(kept, "doc_id", "left_semi").withColumn("place", first).where("place = 1").select(*COLUMNS)
+    again = own.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", F.lit(True).alias("again"))
+    if again.isEmpty():
+        kept = near_dedup.near_duplicates(own).where("kept and doc_id is not null").select("doc_id")
+        return own.join(kept, "doc_id", "left_semi").select(*COLUMNS).unionByName(own.where("doc_id is null"))
+    row = F.when(F.col("again"), F.xxhash64("doc_id", "text")).otherwise(F.col("doc_id")).alias("row")
+    named = common.cut(own.join(again, "doc_id", "left").select(row, *COLUMNS), "pipeline-rows")
+    kept = near_dedup.near_duplicates(named.select(F.col("row").alias("doc_id"), "text")).where("kept and doc_id is not null").select(F.col("doc_id").alias("row")).distinct()
+    first = F.row_number().over(Window.partitionBy("row").orderBy(F.xxhash64(*COLUMNS)))
+    stay = named.join(kept, "row", "left_semi").withColumn("place", first).where("place = 1").select(*COLUMNS)
     return stay.unionByName(own.where("doc_id is null"))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats of 50 bytes that also start in an earlier document leave the texts; n_chars follows."""
+    """Repeats of 50 bytes that also start in an earlier document leave the texts; n_chars follows.
+
+    Every row stays; a null text comes back empty, rows without a doc_id count as the last.
+    """
     out = suffix_dedup.suffix_dedup(docs.select(*COLUMNS), with_text=True, carry=("lang", "source"))
     return out.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("long").alias("n_chars"))
 
@@ -43,7 +56,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The weighted fair mix: a row for each play of a document, whole.
 
     The one document of each source that is in service when the mix ends stays if half of it was served at least.
-    Documents without words weigh nothing and stay once. Rows alike in doc_id, source and size share one decision.
+    Documents without words weigh nothing and stay once. Rows alike in doc_id (null included), source and size share
+    one decision.
     """
     own = docs.select(*COLUMNS)
     plays = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int")
@@ -54,7 +68,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of every row's ids and decoded text."""
+    """Token counts and digests of every row's ids and decoded text; a null doc_id stays null, a null text is empty."""
     return bpe.bpe_encode(docs)
 
 
