@@ -62,7 +62,7 @@ def connected_components(edges: DataFrame, left: str = "a", right: str = "b") ->
     pairs = write_through(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "closure")
     count = pairs.count()
     parts = max(1, -(-count // EDGES_PER_TASK))
-    dealt = pairs.coalesce(1) if parts == 1 else pairs.repartition(parts, "b")
+    dealt = pairs.coalesce(1) if parts == 1 else pairs.repartition(parts, "a", "b")  # a hub has edges everywhere
     stars = write_through(dealt.mapInPandas(_forest, pairs.schema), "closure")
     print_of = F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")
     before = None
