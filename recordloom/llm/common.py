@@ -10,6 +10,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -224,6 +225,13 @@ def unpack(blob: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(blob)
 
 
+def text_slices(batch: pa.RecordBatch, rows: int = 1_000) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Parts of a batch with their texts as UTF-8 bytes (null: empty); only one part's texts are copied at a time."""
+    for at in range(0, batch.num_rows, rows):
+        part = batch.slice(at, rows)
+        yield part, [t or b"" for t in part.column("text").cast(pa.binary()).to_pylist()]
+
+
 def as_bytes(text) -> bytes:
     """UTF-8 bytes of a text; null is the empty text."""
     return text.encode("utf-8", "surrogatepass") if isinstance(text, str) else b""

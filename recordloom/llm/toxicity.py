@@ -13,6 +13,7 @@ logistic curve over it gives the probability of label 1.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -29,6 +30,8 @@ SAMPLE = 20_000
 PRIOR, CAUTION = 0.2, 2.0
 #: -log of the chance in clean text from which a segment is evidence (5 %); least scale of the Gumbel law.
 SIGNIFICANT, LEAST_SCALE = 3.0, 0.25
+#: Ranges in which training tells contexts apart, one after the other: a power of two.
+SLICES = 16
 
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
@@ -139,13 +142,13 @@ class Model:
         x = (best - self.location - self.slope * np.log(n + 1.0)) / self.scale
         return float(-np.log(-np.expm1(-np.exp(-min(x, 700.0))))) if x > -3 else 0.0
 
-    def evidence(self, n: int, found: list) -> float:
+    def evidence(self, n: int, scores) -> float:
         """What all significant segments have beyond significance."""
-        return sum(max(0.0, self.calibrated(n, s) - SIGNIFICANT) for _, _, s in found)
+        return sum(max(0.0, self.calibrated(n, s) - SIGNIFICANT) for s in scores)
 
     def probability(self, n: int, found: list) -> tuple[float, float]:
         """(probability of label 1, evidence)."""
-        evidence = self.evidence(n, found)
+        evidence = self.evidence(n, [s for *_, s in found])
         return float(1 / (1 + np.exp(-(self.bias + self.weight * np.log1p(evidence))))), evidence
 
 
@@ -162,30 +165,42 @@ def gumbel(n: np.ndarray, best: np.ndarray) -> tuple[float, float, float]:
     return float(middle - of(0.5) * scale), slope, scale
 
 
-def train(texts: list[str | None], labels: list[int]) -> Model:
+def _counts(texts: Iterable[bytes], vocab: np.ndarray) -> np.ndarray:
+    """Distinct contexts of each token of the vocabulary, told apart in ``SLICES`` ranges of their hashes."""
+    edges = np.arange(1, SLICES, dtype=np.uint64) << np.uint64(64 - SLICES.bit_length() + 1)
+    slices: list[list] = [[] for _ in range(SLICES)]
+    for _, buf, bounds in C.gather(texts):
+        h, first, _, _ = tokens_of(buf, bounds)
+        met, at = np.unique(_contexts(h, first), return_index=True)
+        code = np.searchsorted(vocab, h[at]).astype(np.int32)
+        cuts = [0, *np.searchsorted(met, edges).tolist(), len(met)]
+        for own, i, j in zip(slices, cuts[:-1], cuts[1:]):
+            own.append((met[i:j].copy(), code[i:j].copy()))
+    out = np.zeros(len(vocab))
+    for k in range(SLICES):
+        met, code = (np.concatenate(x) for x in zip(*slices[k])) if slices[k] else (np.zeros(0, np.uint64), np.zeros(0, np.int32))
+        slices[k] = []
+        out += np.bincount(code[np.unique(met, return_index=True)[1]], minlength=len(vocab))
+    return out
+
+
+def train(texts: Iterable[str | bytes | None], labels: list[int]) -> Model:
     """Fit a model to labelled texts. Without both labels nothing scores and the label's share is the answer."""
-    once = dict(zip(map(C.as_bytes, texts), labels))  # copies count once
+    once = dict(zip((t if isinstance(t, bytes) else C.as_bytes(t) for t in texts), labels))  # copies count once
     y, raw = np.array(list(once.values()), bool), list(once)
+    del once, texts
     share = float((y.sum() + 0.5) / (len(y) + 1)) if len(y) else 0.0
     flat = float(np.log(share / (1 - share))) if 0 < share < 1 else -10.0
     # the vocabulary first, then the distinct contexts of each label: no array has an entry for every token but one
-    vocab = np.unique(np.concatenate([np.zeros(0, np.uint64), *(np.unique(tokens_of(buf, bounds)[0]) for _, buf, bounds in C.gather(raw))]))
+    vocab = np.zeros(0, np.uint64)
+    for _, buf, bounds in C.gather(raw, 1 << 20):
+        vocab = np.union1d(vocab, tokens_of(buf, bounds)[0])
     if not len(vocab) or y.all() or not y.any():
         return Model(np.zeros(0, np.uint64), np.zeros(0), 0.0, 0.0, 0.0, 1.0, flat, 0.0)
-    counts = []
-    for label in (True, False):
-        own, parts, codes = [t for t, k in zip(raw, y) if k == label], [], []
-        for _, buf, bounds in C.gather(own):
-            h, first, _, _ = tokens_of(buf, bounds)
-            met, at = np.unique(_contexts(h, first), return_index=True)
-            parts.append(met)
-            codes.append(np.searchsorted(vocab, h[at]).astype(np.int32))
-        _, at = np.unique(np.concatenate(parts), return_index=True)
-        counts.append(np.bincount(np.concatenate(codes)[at], minlength=len(vocab)).astype(float))
-    scores, unseen = token_scores(*counts)
+    scores, unseen = token_scores(*(_counts((t for t, k in zip(raw, y) if k == label), vocab) for label in (True, False)))
     model = Model(vocab, scores.astype(np.float32), unseen, 0.0, 0.0, 1.0, 0.0, 0.0)
-    found = list(model.passages(raw))
-    n, best = np.array([k for k, _ in found], float), np.array([max((s for *_, s in f), default=0.0) for _, f in found])
+    found = [(k, np.array([s for *_, s in f])) for k, f in model.passages(raw)]  # of a long text thousands
+    n, best = np.array([k for k, _ in found], float), np.array([f.max() if len(f) else 0.0 for _, f in found])
     model = replace(model, **dict(zip(("location", "slope", "scale"), gumbel(n[~y], best[~y]))))
     evidence = np.log1p([model.evidence(k, f) for k, f in found])
     bias, weight = _logistic(evidence, y.astype(float))
@@ -214,15 +229,16 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     own = own.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (C.crc_mod("doc_id", 5) != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     picked = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id")
-    once = rows.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("toxic").alias("toxic"))
+    once = rows.groupBy("doc_id").agg(F.min_by(F.col("text").cast("binary"), F.xxhash64("text")).alias("text"), F.first("toxic").alias("toxic"))
 
     def fitted(pdf: pd.DataFrame) -> Model:
         pdf = pdf.sort_values("doc_id", kind="stable")
-        return train(pdf["text"].tolist(), pdf["toxic"].tolist())
+        return train([t or b"" for t in pdf["text"]], pdf["toxic"].tolist())
 
     return C.fit_in_task(once, fitted) or train([], [])
 
 
+PASSAGES = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
 SCORED = "doc_id long, no_id boolean, score double, predicted int, evidence double, passages array<struct<start:int,end:int,score:double>>"
 
 
@@ -236,15 +252,16 @@ def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         own = held.value
-        for pdf in batches:
-            rows = []
-            texts = [C.as_bytes(t) for t in pdf["text"]]
-            for doc, none, (n, found) in zip(pdf["doc_id"], pdf["no_id"], own.passages(texts)):
-                p, evidence = own.probability(n, found)
-                rows.append((doc, none, p, int(p >= 0.5), evidence, [{"start": a, "end": b, "score": s} for a, b, s in found if own.calibrated(n, s) > SIGNIFICANT]))
-            yield pd.DataFrame(rows, columns=["doc_id", "no_id", "score", "predicted", "evidence", "passages"])
-
-    out = C.keyed(docs, "text").mapInPandas(run, SCORED).withColumn("doc_id", C.doc_id())
+        for batch in batches:
+            for part, texts in C.text_slices(batch):
+                rows = []
+                for n, found in own.passages(texts):
+                    p, evidence = own.probability(n, found)
+                    rows.append((p, int(p >= 0.5), evidence, [{"start": a, "end": b, "score": s} for a, b, s in found if own.calibrated(n, s) > SIGNIFICANT]))
+                own_columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.float64(), pa.int32(), pa.float64(), PASSAGES))]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("no_id"), *own_columns], names=["doc_id", "no_id", "score", "predicted", "evidence", "passages"])
+
+    out = C.keyed(docs, "text").mapInArrow(run, SCORED).withColumn("doc_id", C.doc_id())
     held_out = F.coalesce(C.crc_mod("doc_id", 5) == 0, F.lit(False))
     return out.select("doc_id", held_out.alias("held_out"), "score", "predicted", "evidence", "passages")
 
@@ -256,8 +273,8 @@ def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches):
         own = held.value
         for batch in batches:
-            texts = [C.as_bytes(t) for t in batch.column("text").to_pylist()]
-            yield batch.filter(pa.array([own.probability(n, found)[0] < 0.5 for n, found in own.passages(texts)], pa.bool_()))
+            for part, texts in C.text_slices(batch):
+                yield part.filter(pa.array([own.probability(n, found)[0] < 0.5 for n, found in own.passages(texts)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
