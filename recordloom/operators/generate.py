@@ -130,7 +130,8 @@ class Generated:
 
 def dense_index(df: DataFrame, *order: Column, name: str = IX) -> DataFrame:
     """Number rows 0, 1, ... in an order without passing them through one task: range partitions and their sizes."""
-    parts = max(1, df.sparkSession.sparkContext.defaultParallelism)
+    spark = df.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ranged = write_through(df.repartitionByRange(parts, *order).withColumn("__pid", F.spark_partition_id()), "index")
     sizes = ranged.groupBy("__pid").agg(F.count("*").alias("__n"))
     before = sizes.select("__pid", F.coalesce(F.sum("__n").over(Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))

@@ -79,6 +79,19 @@ def test_of(c: Comparison, a: Column, b: Column) -> Column:
     return F.coalesce(measured <= F.lit(c.number), F.lit(False))
 
 
+def at_most(c: Comparison, a: Column, b: Column) -> Column | None:
+    """What a Jaro-Winkler similarity can be at most for texts of these lengths; None for other kinds.
+
+    At most all characters of the shorter text match, and the first four agree.
+    """
+    if c.kind not in ("jw", "jwTokens"):
+        return None
+    x, y = (K.tokens(a), K.tokens(b)) if c.kind == "jwTokens" else (a, b)
+    x, y = F.length(x), F.length(y)
+    jaro = (2 + F.least(x, y) / F.greatest(x, y, F.lit(1))) / 3
+    return jaro + 0.4 * (1 - jaro) + 1e-9
+
+
 def passes(rule: Rule, a: dict[str, Column], b: dict[str, Column], blank_of=K.is_blank, keyed: bool = False) -> Column:
     """All comparisons pass and one at least was evaluated. Builtin tests come first, Python ones last.
 
@@ -91,6 +104,10 @@ def passes(rule: Rule, a: dict[str, Column], b: dict[str, Column], blank_of=K.is
             continue
         blank = blank_of(a[c.field]) | blank_of(b[c.field])
         test = test_of(c, a[c.field], b[c.field])
+        # A conjunct of its own, so that the JVM drops pairs by their lengths before Python sees them.
+        bound = at_most(c, a[c.field], b[c.field])
+        if bound is not None:
+            every.append(F.when(blank, F.lit(rule.blankAgrees)).otherwise(bound >= F.lit(c.threshold)))
         every.append(F.when(blank, F.lit(rule.blankAgrees)).otherwise(test))
         some.append(~blank)
     return reduce(lambda x, y: x & y, every) & reduce(lambda x, y: x | y, some)

@@ -19,6 +19,8 @@ from .sources import parsing, sinks
 
 #: Fixed value: the alphabet of identifiers (no I, L, O or U).
 ALPHABET = "0123456789ABCDEFGHJKMNPQRSTVWXYZ"
+#: Fixed value: rows of an entity that one request may ask for. Replies are made on the driver, so they are bounded.
+MAX_ROWS = 10_000
 
 
 def new_id() -> str:
@@ -26,6 +28,12 @@ def new_id() -> str:
     return "".join(secrets.choice(ALPHABET) for _ in range(32))
 
 
+def seed_of(raw: Any) -> int:
+    """The whole number that a seed begins with; a new random one if it begins with none."""
+    found = re.match(r"\s*([+-]?\d+)", "" if raw is None else str(raw))
+    return int(found[1]) if found else secrets.randbelow(10**9)
+
+
 def normalize_id(raw: Any) -> str | None:
     """The identifier as it is stored; None if it is none."""
     own = re.sub(r"[\s-]", "", str(raw or "")).upper()
@@ -86,8 +94,11 @@ class Service:
 
     def run(self, key: str, count: Any = None, seed: int | None = None) -> tuple[dict[str, Generated], int]:
         entities = read_schema(self.schema(key))
-        seed = secrets.randbelow(10**9) if seed is None else int(seed)
-        return Generator(self.spark, entities, resolve_counts(entities, count), seed).run(), seed
+        seed, counts = seed_of(seed), resolve_counts(entities, count, MAX_ROWS)
+        over = [name for name, n in counts.items() if n > MAX_ROWS]
+        if over:
+            raise Invalid(f'"{over[0]}" has more than {MAX_ROWS:,} rows', "count")
+        return Generator(self.spark, entities, counts, seed).run(), seed
 
     def generate(self, key: str, count: Any = None, seed: int | None = None, kind: str = "json") -> dict:
         """Texts of all entities, the seed, a fingerprint that does not depend on the format, and warnings."""

@@ -171,3 +171,15 @@ def test_header_detect_reads_every_page(spark, tmp_path):
     spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
     got = {r.page_id: r.header for r in reading.header_detect(spark, str(tmp_path)).collect()}
     assert got == {i: P.looks_like_header(u.split("/") if u else None) for i, u in enumerate(urls)} and got[1] and not got[2]
+
+
+def test_seeds_and_row_limits(spark):
+    from recordloom.service import Service, seed_of
+
+    assert [seed_of(x) for x in (5, "7", " 12abc", "-3", 4.9)] == [5, 7, 12, -3, 4]
+    assert all(0 <= seed_of(x) < 10**9 for x in (None, "", "abc"))
+    service = Service(spark)
+    key = service.register({"entities": [{"name": "E", "fields": [{"name": "n", "type": "Row Number"}]}]})
+    with pytest.raises(Invalid):
+        service.generate(key, 10_001, 1)
+    assert service.generate(key, 3, "8x")["seed"] == 8
