@@ -74,8 +74,8 @@ def weighted_pick(spark, d):
 
 
 def ident_checks(spark, d):
-    """Check digits over numbers made from the customers' keys."""
-    body = lambda n: M.padded(F.col("c_custkey") * 7919, n)
+    """Check digits over numbers made from the customers' keys: the first ``n`` digits of longer ones."""
+    body = lambda n: F.lpad((F.col("c_custkey") * 7919).cast("string"), n, "0")
     own = table(spark, d, "customer")
     aba = (10 - M.weighted_sum(body(8), [3, 7, 1, 3, 7, 1, 3, 7]) % 10) % 10
     return own.select("c_custkey", M.luhn(F.concat(F.lit("80840"), body(9))).alias("npi"), aba.cast("string").alias("aba"), M.gtin(body(12), 12, 1).alias("gtin13"), M.gtin(body(11), 11, 3).alias("upc12"))
