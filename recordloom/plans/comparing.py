@@ -57,9 +57,11 @@ def cmp_jw_tokens(spark, d):
 
 
 def cmp_numeric(spark, d):
-    part = table(spark, d, "part").select("p_partkey", "p_brand", "p_name", K.text(F.col("p_retailprice"), table(spark, d, "part").schema["p_retailprice"].dataType).alias("price"))
-    a, b = part.alias("a"), part.alias("b")
-    diff = F.abs(K.number(F.col("a.price")) - K.number(F.col("b.price")))
+    """Prices are read as numbers once for each part; parts are dealt out, for there are far more pairs than parts."""
+    part = table(spark, d, "part").select("p_partkey", "p_brand", "p_name", K.number(K.text(F.col("p_retailprice"), table(spark, d, "part").schema["p_retailprice"].dataType)).alias("price"))
+    tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    a, b = part.repartition(tasks, "p_partkey").alias("a"), part.alias("b")
+    diff = F.abs(F.col("a.price") - F.col("b.price"))
     met = a.join(b, (F.col("a.p_brand") == F.col("b.p_brand")) & (F.col("a.p_name") == F.col("b.p_name")) & (F.col("a.p_partkey") < F.col("b.p_partkey")))
     return met.where(diff <= 50).select(F.col("a.p_partkey").alias("a"), F.col("b.p_partkey").alias("b"), diff.alias("difference"))
 
