@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import keys as K
 from ..functions import similarity as S
-from .matcher import _kind_of, field_column, measure_of, rounded, test_of
+from .matcher import _kind_of, field_column, key_of, measure_of, rounded, test_of
 from .rules import KINDS, Rule
 
 #: Kinds of change in their order, with labels.
@@ -182,8 +183,42 @@ def what_if(rules: list[Rule], records: DataFrame, field: str, damage: Callable[
     found = seen.select("__from", F.col("__to").alias("value"), "count", classify_change(F.col("__from"), F.col("__to"), kind).alias("change"), explanation(rules, side).alias("explained"))
     accepted = F.transform(F.filter("explained", lambda r: r["passed"]), lambda r: r["rule"])
     outcomes = found.groupBy("value", "change", accepted.alias("accepted")).agg(F.sum("count").alias("count")).orderBy(F.desc("count"), "value")
-    survived = found.select("count", F.explode("explained").alias("r")).groupBy(F.col("r.rule").alias("rule"), F.col("r.name").alias("name"))
-    total = survived.agg(F.sum(F.when(F.col("r.passed"), F.col("count")).otherwise(0)).alias("survived"), F.sum("count").alias("samples"))
-    return outcomes, total.select("rule", "name", "survived", "samples", (F.col("survived") / F.col("samples")).alias("rate"))
+    return outcomes, _survival(rules, records, field, damage, samples)
 
 
+def _survival(rules: list[Rule], records: DataFrame, field: str, damage: Callable[[Column, Column], Column], samples: int) -> DataFrame:
+    """A row a rule: how many draws it still accepts.
+
+    What the draws leave as it is, is judged once for each record; records are dealt out, for there are many draws of
+    each. No explanation is made and no draw is brought together with its likes.
+    """
+    spark = records.sparkSession
+    fields = sorted({c.field for r in rules for c in r.comparisons})
+    own = lambda f: K.text(field_column(records, f), _kind_of(records, field_column(records, f)))
+    tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    base = records.select(*[own(f).alias(f"v{i}") for i, f in enumerate({field: 0} | dict.fromkeys(fields))]).repartition(tasks)
+    at = {f: F.col(f"v{i}") for i, f in enumerate({field: 0} | dict.fromkeys(fields))}
+    told, drawn = {}, []
+    for i, r in enumerate(rules):
+        for j, c in enumerate(r.comparisons):
+            v, name = at[c.field], f"{i}_{j}"
+            if c.field != field:
+                told |= {f"b{name}": K.is_blank(v), f"t{name}": F.when(K.is_blank(v), F.lit(r.blankAgrees)).otherwise(test_of(c, v, v))}
+                drawn.append((i, F.col(f"t{name}"), ~F.col(f"b{name}")))
+            else:
+                blank = F.col("b") | F.col("__blank")
+                test = test_of(c, v, F.col("__to"))
+                if KINDS[c.kind].blocks:
+                    told[f"k{name}"] = key_of(c, v)
+                    test = F.col(f"k{name}") == key_of(c, F.col("__to"))
+                drawn.append((i, F.when(blank, F.lit(r.blankAgrees)).otherwise(test), ~blank))
+    base = base.select(at[field].alias("__from"), at[field], K.is_blank(at[field]).alias("b"), *[x.alias(k) for k, x in told.items()])
+    each = base.withColumn("__draw", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
+    each = each.withColumn("__to", F.coalesce(damage(F.col("__from"), F.col("__draw")).cast("string"), F.lit(""))).withColumn("__blank", K.is_blank(F.col("__to")))
+    passed = []
+    for i in range(len(rules)):
+        every, some = [x for k, x, _ in drawn if k == i], [x for k, _, x in drawn if k == i]
+        passed.append(reduce(lambda x, y: x & y, every) & reduce(lambda x, y: x | y, some))
+    sums = each.agg(F.count("*").alias("samples"), *[F.count_if(p).alias(f"n{i}") for i, p in enumerate(passed)])
+    rows = F.array(*[F.struct(F.lit(i).alias("rule"), F.lit(r.name or f"Rule {i + 1}").alias("name"), F.col(f"n{i}").alias("survived")) for i, r in enumerate(rules)])
+    return sums.where("samples > 0").select("samples", F.explode(rows).alias("r")).select("r.rule", "r.name", "r.survived", "samples", (F.col("r.survived") / F.col("samples")).alias("rate"))
