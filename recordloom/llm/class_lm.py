@@ -209,15 +209,25 @@ def best_classes(of: np.ndarray, table: np.ndarray, after: np.ndarray, before: n
     gain = np.zeros((len(of), CLASSES))
     for side, (x, y, t) in enumerate(((after, before, table), (before, after, table.T))):
         w, j = np.nonzero(x)
+        columns = t[:CLASSES].T
+        logs = _xlogx(columns)
         for at in np.array_split(np.arange(len(w)), -(-len(w) // 20_000) or 1):  # bounded memory
             if not len(at):
                 continue
             v, k = w[at], j[at]
-            add = x[v, k][:, None]
-            old = t[:CLASSES, k].T - (d == of[v][:, None]) * add - (k == of[v])[:, None] * y[v][:, :CLASSES]
-            old -= ((d == of[v][:, None]) & (k == of[v])[:, None]) * selves[v][:, None]
+            add = x[v, k]
+            old, less = columns[k], logs[k]
+            # Only a word's own class, and all classes beside it, lack the word: elsewhere the logs are the table's.
+            inside = np.flatnonzero(of[v] < CLASSES)
+            old[inside, of[v[inside]]] -= add[inside]
+            beside = np.flatnonzero(k == of[v])
+            old[beside] -= y[v[beside]][:, :CLASSES]
+            both = beside[of[v[beside]] < CLASSES]
+            old[both, of[v[both]]] -= selves[v[both]]
+            less[inside, of[v[inside]]] = _xlogx(old[inside, of[v[inside]]])
+            less[beside] = _xlogx(old[beside])
             starts = np.flatnonzero(np.diff(v, prepend=-1))  # rows of a word are neighbours
-            gain[v[starts]] += np.add.reduceat(_xlogx(old + add) - _xlogx(old), starts)
+            gain[v[starts]] += np.add.reduceat(_xlogx(old + add[:, None]) - less, starts)
     own = np.arange(len(of))
     stays = d == of[:, None]
     right, left = after[:, :CLASSES], before[:, :CLASSES]
@@ -232,15 +242,16 @@ def best_classes(of: np.ndarray, table: np.ndarray, after: np.ndarray, before: n
     return np.where((of < CLASSES) & (gain[own, best] <= gain[own, now] + 1e-9), of, best)
 
 
-def _moves(pairs: DataFrame, of: np.ndarray, table: np.ndarray, parts: int) -> np.ndarray:
-    """Where each word would move; one byte a word reaches the driver."""
-    sent = pairs.sparkSession.sparkContext.broadcast((of, table))
+def _moves(pairs: DataFrame, of: np.ndarray, table: np.ndarray, parts: int, moving: np.ndarray) -> np.ndarray:
+    """Where each word that is ``moving`` would move, the others' classes; one byte a word reaches the driver."""
+    sent = pairs.sparkSession.sparkContext.broadcast((of, table, np.packbits(moving)))
     words = len(of) - 2
     edges = _edges(words, parts)
 
     def run(batches):
-        of, table = sent.value
+        of, table, moving = sent.value
         full = len(of)
+        moving = np.unpackbits(moving)[:full].astype(bool)
         for pdf in batches:
             for part, row in zip(pdf["part"].tolist(), range(len(pdf))):
                 a, b = int(edges[part]), int(edges[part + 1])
@@ -251,9 +262,10 @@ def _moves(pairs: DataFrame, of: np.ndarray, table: np.ndarray, parts: int) -> n
                     if side == 0:
                         same = v == x
                         selves[v[same & (v < words)] - a] = n[same & (v < words)]
-                    use = (v < b) & (v != x)
+                    use = moving[v] & (v < b) & (v != x)
                     found[side] = np.bincount((v[use] - a) * TOTAL + of[x[use]], weights=n[use], minlength=(b - a) * TOTAL).reshape(b - a, TOTAL)
-                best = best_classes(of[a:b].astype(np.int64), table, found[0], found[1], selves).astype(np.uint8)
+                best, go = of[a:b].copy(), np.flatnonzero(moving[a:b])
+                best[go] = best_classes(of[a:b][go].astype(np.int64), table, found[0][go], found[1][go], selves[go]).astype(np.uint8)
                 yield pd.DataFrame({"part": [part], "best": [best.tobytes()]})
 
     out = of.copy()
@@ -275,13 +287,12 @@ def cluster(pairs: DataFrame, totals: np.ndarray, parts: int) -> tuple[np.ndarra
     of[top] = exchange(_table(pairs, first, len(top) + 2))
     table = _table(pairs, of, TOTAL)
     if words > len(top):  # the others join them, all at once
-        of = np.where(of == UNSEEN, _moves(pairs, of, table, parts), of)
-        of[-2] = UNSEEN
+        of = _moves(pairs, of, table, parts, np.append(of[:-2] == UNSEEN, [False, False]))
         table = _table(pairs, of, TOTAL)
         groups = turn = 2
         for _ in range(STEPS):
             moving = np.append(np.arange(words) % groups == turn % groups, [False, False])
-            new = np.where(moving, _moves(pairs, of, table, parts), of)
+            new = _moves(pairs, of, table, parts, moving)
             if (new == of).all():
                 turn += 1
                 continue

@@ -212,3 +212,14 @@ def test_rare_words_go_where_their_contexts_are_likeliest(monkeypatch):
     asked = [(b, 0, np.array([11, 12], np.uint64).tobytes(), L.C.pack(np.array([1, 0], np.uint8).tobytes()), L.C.pack(np.array([[3, 5]], np.uint8).tobytes())) for b in (0, 1)]
     got = L._place(Sent)(L.pd.DataFrame(asked, columns=["blk", "bucket", "words", "times", "around"]))
     assert [L.C.unpack(x)[0] for x in got["placed"]] == [7, 7]
+
+
+def test_logs_of_the_table_are_taken_once(monkeypatch):
+    """A step takes logarithms of changed cells; the table's own are not taken again for every word."""
+    rng = np.random.default_rng(3)
+    of, table = rng.integers(0, L.CLASSES, 200), rng.integers(1000, 9000, (L.TOTAL, L.TOTAL)).astype(float)
+    after, before = rng.integers(1, 4, (2, 200, L.TOTAL)).astype(float)
+    taken, real = [], L._xlogx
+    monkeypatch.setattr(L, "_xlogx", lambda x: taken.append(np.size(x)) or real(x))
+    L.best_classes(of, table, after, before, np.ones(200))
+    assert sum(taken) < 1.3 * 2 * 200 * L.TOTAL * L.CLASSES
