@@ -7,6 +7,8 @@ return the columns of ``documents``.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +17,18 @@ from recordloom.llm import bpe, common, mixing, near_dedup, suffix_dedup, toxici
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def _settled(stage):
+    """The stage, begun after all heaps gave back what the one before left in them."""
+
+    @functools.wraps(stage)
+    def begin(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        common.settle(spark)
+        return stage(spark, docs, sf_dir)
+
+    return begin
+
+
+@_settled
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model predicts toxic go; it is trained on the labelled folds of ``docs``.
 
@@ -24,6 +38,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.drop_toxic(docs.select(*COLUMNS), model)
 
 
+@_settled
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each near-duplicate component the document with the least id stays; texts without words all stay.
 
@@ -43,6 +58,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return stay.unionByName(own.where("doc_id is null"))
 
 
+@_settled
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats of 50 bytes that also start in an earlier document leave the texts; n_chars follows.
 
@@ -52,6 +68,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("long").alias("n_chars"))
 
 
+@_settled
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The weighted fair mix: a row for each play of a document, whole.
 
@@ -67,6 +84,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return sized.join(decided.alias("m"), same).withColumn("play", F.explode(F.sequence(F.lit(1), F.col("plays")))).select(*[f"d.{c}" for c in COLUMNS])
 
 
+@_settled
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of every row's ids and decoded text; a null doc_id stays null, a null text is empty."""
     return bpe.bpe_encode(docs)

@@ -61,6 +61,17 @@ def release(spark: SparkSession) -> None:
         time.sleep(0.2)
 
 
+def settle(spark: SparkSession) -> None:
+    """Let the driver and, by a task for each core, the executors collect their garbage: heaps shrink to what lives.
+
+    Else a heap stays as large as the last step made it, beside what the Python workers of the next one take.
+    """
+    release(spark)
+    cores = spark.sparkContext.defaultParallelism
+    for _ in range(2):  # a heap shrinks by what the first round found free
+        spark.range(0, cores, 1, cores).select(F.expr("java_method('java.lang.System', 'gc')")).write.format("noop").mode("overwrite").save()
+
+
 def keyed(docs: DataFrame, *columns) -> DataFrame:
     """doc_id as a number that is never null, no_id where it was, and ``columns``.
 

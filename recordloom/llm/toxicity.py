@@ -13,11 +13,13 @@ logistic curve over it gives the probability of label 1.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import hashlib
+import itertools
+import pickle
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,8 +32,8 @@ SAMPLE = 20_000
 PRIOR, CAUTION = 0.2, 2.0
 #: -log of the chance in clean text from which a segment is evidence (5 %); least scale of the Gumbel law.
 SIGNIFICANT, LEAST_SCALE = 3.0, 0.25
-#: Ranges in which training tells contexts apart, one after the other: a power of two.
-SLICES = 16
+#: Ranges in which training tells contexts apart, one after the other: a power of two; those that are held at once.
+SLICES, HELD = 16, 4
 
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
@@ -165,39 +167,88 @@ def gumbel(n: np.ndarray, best: np.ndarray) -> tuple[float, float, float]:
     return float(middle - of(0.5) * scale), slope, scale
 
 
-def _counts(texts: Iterable[bytes], vocab: np.ndarray) -> np.ndarray:
-    """Distinct contexts of each token of the vocabulary, told apart in ``SLICES`` ranges of their hashes."""
-    edges = np.arange(1, SLICES, dtype=np.uint64) << np.uint64(64 - SLICES.bit_length() + 1)
-    slices: list[list] = [[] for _ in range(SLICES)]
+class _Texts:
+    """Texts that are read several times: packed in blocks of about 1 MB, of which one is unpacked at a time."""
+
+    def __init__(self):
+        self.blocks: list[tuple[bytes, list[int]]] = []
+        self.open: list[bytes] = []
+        self.size = 0
+
+    def add(self, text: bytes) -> None:
+        self.open.append(text)
+        self.size += len(text)
+        if self.size >= 1 << 20:
+            self.blocks.append((C.pack(b"".join(self.open)), [len(t) for t in self.open]))
+            self.open, self.size = [], 0
+
+    def __iter__(self) -> Iterator[bytes]:
+        for blob, lengths in self.blocks:
+            block, at = C.unpack(blob), 0
+            for n in lengths:
+                yield block[at : at + n]
+                at += n
+        yield from self.open
+
+
+def _vocabulary(texts: Iterable[bytes]) -> np.ndarray:
+    """Sorted hashes of all tokens."""
+    vocab, fresh = np.zeros(0, np.uint64), []
     for _, buf, bounds in C.gather(texts):
-        h, first, _, _ = tokens_of(buf, bounds)
-        met, at = np.unique(_contexts(h, first), return_index=True)
-        code = np.searchsorted(vocab, h[at]).astype(np.int32)
-        cuts = [0, *np.searchsorted(met, edges).tolist(), len(met)]
-        for own, i, j in zip(slices, cuts[:-1], cuts[1:]):
-            own.append((met[i:j].copy(), code[i:j].copy()))
+        fresh.append(np.unique(tokens_of(buf, bounds)[0]))
+        if len(fresh) == 16:
+            vocab, fresh = np.unique(np.concatenate([vocab, *fresh])), []
+    return np.unique(np.concatenate([vocab, *fresh]))
+
+
+def _counts(texts: _Texts, chosen: np.ndarray, vocab: np.ndarray) -> np.ndarray:
+    """Distinct contexts of each token of the vocabulary in the chosen texts.
+
+    They are told apart in ``SLICES`` ranges of their hashes, ``HELD`` of which are held in each reading of the texts.
+    """
+    bits = np.uint64(64 - SLICES.bit_length() + 1)
     out = np.zeros(len(vocab))
-    for k in range(SLICES):
-        met, code = (np.concatenate(x) for x in zip(*slices[k])) if slices[k] else (np.zeros(0, np.uint64), np.zeros(0, np.int32))
-        slices[k] = []
-        out += np.bincount(code[np.unique(met, return_index=True)[1]], minlength=len(vocab))
+    for k in range(0, SLICES, HELD):
+        slices: list[list] = [[] for _ in range(HELD)]
+        edges = np.arange(k + 1, k + HELD, dtype=np.uint64) << bits
+        for _, buf, bounds in C.gather(t for t, own in zip(texts, chosen) if own):
+            h, first, _, _ = tokens_of(buf, bounds)
+            met = _contexts(h, first)
+            now = np.flatnonzero((met >> bits) // np.uint64(HELD) == k // HELD)
+            met, at = np.unique(met[now], return_index=True)
+            code = np.searchsorted(vocab, h[now[at]]).astype(np.int32)
+            cuts = [0, *np.searchsorted(met, edges).tolist(), len(met)]
+            for own, i, j in zip(slices, cuts[:-1], cuts[1:]):
+                own.append((met[i:j].copy(), code[i:j].copy()))
+        while slices:
+            met, code = (np.concatenate(x) for x in zip(*own)) if (own := slices.pop()) else (np.zeros(0, np.uint64), np.zeros(0, np.int32))
+            del own
+            out += np.bincount(code[np.unique(met, return_index=True)[1]], minlength=len(vocab))
     return out
 
 
-def train(texts: Iterable[str | bytes | None], labels: list[int]) -> Model:
-    """Fit a model to labelled texts. Without both labels nothing scores and the label's share is the answer."""
-    once = dict(zip((t if isinstance(t, bytes) else C.as_bytes(t) for t in texts), labels))  # copies count once
-    y, raw = np.array(list(once.values()), bool), list(once)
-    del once, texts
+def train(texts: Iterable[str | bytes | None], labels: Iterable[int]) -> Model:
+    """Fit a model to labelled texts. Without both labels nothing scores and the label's share is the answer.
+
+    The texts are taken one by one and held packed; neither they nor their contexts are ever there as a whole.
+    """
+    raw, own, place = _Texts(), [], {}
+    for t, label in zip(texts, labels):
+        t = t if isinstance(t, bytes) else C.as_bytes(t)
+        at = place.setdefault(hashlib.blake2b(t, digest_size=16).digest(), len(own))
+        if at == len(own):
+            raw.add(t)
+            own.append(label)
+        else:  # copies count once
+            own[at] = label
+    del place
+    y = np.array(own, bool)
     share = float((y.sum() + 0.5) / (len(y) + 1)) if len(y) else 0.0
     flat = float(np.log(share / (1 - share))) if 0 < share < 1 else -10.0
-    # the vocabulary first, then the distinct contexts of each label: no array has an entry for every token but one
-    vocab = np.zeros(0, np.uint64)
-    for _, buf, bounds in C.gather(raw, 1 << 20):
-        vocab = np.union1d(vocab, tokens_of(buf, bounds)[0])
+    vocab = _vocabulary(raw)
     if not len(vocab) or y.all() or not y.any():
         return Model(np.zeros(0, np.uint64), np.zeros(0), 0.0, 0.0, 0.0, 1.0, flat, 0.0)
-    scores, unseen = token_scores(*(_counts((t for t, k in zip(raw, y) if k == label), vocab) for label in (True, False)))
+    scores, unseen = token_scores(*(_counts(raw, y == label, vocab) for label in (True, False)))
     model = Model(vocab, scores.astype(np.float32), unseen, 0.0, 0.0, 1.0, 0.0, 0.0)
     found = [(k, np.array([s for *_, s in f])) for k, f in model.passages(raw)]  # of a long text thousands
     n, best = np.array([k for k, _ in found], float), np.array([f.max() if len(f) else 0.0 for _, f in found])
@@ -231,11 +282,15 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id")
     once = rows.groupBy("doc_id").agg(F.min_by(F.col("text").cast("binary"), F.xxhash64("text")).alias("text"), F.first("toxic").alias("toxic"))
 
-    def fitted(pdf: pd.DataFrame) -> Model:
-        pdf = pdf.sort_values("doc_id", kind="stable")
-        return train([t or b"" for t in pdf["text"]], pdf["toxic"].tolist())
+    def fitted(batches):
+        parts = (part for batch in batches for part in C.text_slices(batch))
+        rows, same = itertools.tee((t, label) for part, texts in parts for t, label in zip(texts, part.column("toxic").to_pylist()))
+        model = train((t for t, _ in rows), (label for _, label in same))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 
-    return C.fit_in_task(once, fitted) or train([], [])
+    # rows come in the order of their ids, a batch at a time: no copy of the sample is made in the task
+    found = once.repartition(1).sortWithinPartitions("doc_id").mapInArrow(fitted, "model binary").first()
+    return pickle.loads(found["model"]) if found else train([], [])
 
 
 PASSAGES = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))

@@ -79,3 +79,14 @@ def test_stages(spark, tmp_path):
     whole = sorted(tuple(r) for r in P.run(spark, str(tmp_path)).collect())
     assert whole == sorted(tuple(r) for r in tokens.collect()) and whole
     assert bpe.bpe_encode(mixed).columns == P.run(spark, str(tmp_path)).columns
+
+
+def test_stages_begin_with_collected_heaps(spark, tmp_path):
+    """Executors collect too (in this session they are the driver): more often than the driver alone does."""
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    whole = lambda: sum(b.getCollectionCount() for b in beans if "Young" not in b.getName())
+    df = spark.createDataFrame([(1, "a b", "en", "s", 3)], SCHEMA)
+    for name, stage in P.STAGES[-2:]:
+        before = whole()
+        stage(spark, df, str(tmp_path))
+        assert whole() - before >= 4, name

@@ -1,6 +1,7 @@
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -125,3 +126,23 @@ def test_no_labels_and_empty(spark):
     got = T.score_toxicity(docs, T.fit(docs, none)).collect()
     assert [r.predicted for r in got] == [0, 0] and {r.held_out for r in got} == {False}
     assert T.score_toxicity(docs.limit(0), T.fit(docs, none)).collect() == []
+
+
+def test_training_holds_neither_all_texts_nor_all_contexts():
+    r = random.Random(8)
+    words = ["".join(r.choice("abcdeorst") for _ in range(r.randint(2, 8))) for _ in range(3000)]
+
+    def rows():
+        for i in range(600):
+            yield i, " ".join(r.choices(words, k=5000) + ["zonk"] * (i % 7 == 0)).encode()
+
+    tracemalloc.start()
+    try:
+        size = sum(len(t) for _, t in rows())
+        tracemalloc.reset_peak()
+        model = T.train((t for _, t in rows()), [int(i % 7 == 0) for i in range(600)])
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(model.hashes) > 2000 and model.weight > 0
+    assert peak < 2.5 * size
