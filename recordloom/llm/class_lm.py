@@ -52,6 +52,15 @@ def _tokens(texts: list[bytes]):
     return h, np.concatenate([*firsts, [n]]).astype(np.int64)
 
 
+def _distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values and the place of each among them; only what is distinct is sorted."""
+    code, found = pd.factorize(h)
+    order = np.argsort(found)
+    place = np.empty(len(found), np.int64)
+    place[order] = np.arange(len(found))
+    return found[order], place[code]
+
+
 def _owned(train: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.repeat(train, np.diff(first))
 
@@ -62,8 +71,10 @@ def _count(buckets: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         train, texts = _texts(pdf)
         h, first = _tokens(texts)
-        words, code = np.unique(h, return_inverse=True)
-        counts = np.bincount(code[_owned(train, first)], minlength=len(words)).astype(np.int32)
+        words, _ = np.unique(h, return_counts=True)  # numpy sorts if it counts, and hashes, which takes longer, if not
+        own, n = np.unique(h[_owned(train, first)], return_counts=True)
+        counts = np.zeros(len(words), np.int32)
+        counts[np.searchsorted(words, own)] = n
         b = (words >> shift).astype(np.int64) if shift is not None else np.zeros(len(words), np.int64)
         rows = [(int(pdf["blk"].iloc[0]), k, words[i:j].tobytes(), C.pack(counts[i:j].tobytes())) for k, i, j in C.ranges(b)]
         return pd.DataFrame(rows, columns=["blk", "bucket", "words", "counts"])
@@ -80,7 +91,7 @@ def _answer(pdf: pd.DataFrame) -> pd.DataFrame:
     blks = pdf["blk"].to_numpy()[order]
     words = [np.frombuffer(pdf["words"].iloc[i], np.uint64) for i in order]
     counts = [np.frombuffer(C.unpack(pdf["counts"].iloc[i]), np.int32) for i in order]
-    every, code = np.unique(np.concatenate(words), return_inverse=True)
+    every, code = _distinct(np.concatenate(words))
     totals = np.bincount(code, weights=np.concatenate(counts), minlength=len(every)).astype(np.int64)
     top = totals >= FLOOR
     new = np.ones(len(every), bool)
@@ -93,50 +104,79 @@ def _answer(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["blk", "totals", "new", "bucket", "top", "top_n"])
 
 
+def _narrow(x: np.ndarray) -> bytes:
+    """Numbers from 0 on, packed in the fewest bytes a number that hold them all."""
+    x = x.astype(np.min_scalar_type(x.max(initial=0)))
+    return x.dtype.char.encode() + C.pack(x.tobytes())
+
+
+def _wide(blob: bytes) -> np.ndarray:
+    return np.frombuffer(C.unpack(blob[1:]), chr(blob[0]))
+
+
 def _packed(code: np.ndarray, n: np.ndarray) -> tuple[bytes, bytes]:
-    """Sorted codes as differences, and their counts."""
-    return C.pack(np.diff(code, prepend=0).tobytes()), C.pack(n.astype(np.int64).tobytes())
+    """Sorted codes as the first of them and differences, and their counts."""
+    return code[:1].astype(np.int64).tobytes() + _narrow(np.diff(code)), _narrow(n)
 
 
 def _unpacked(code: bytes, n: bytes) -> tuple[np.ndarray, np.ndarray]:
-    return np.cumsum(np.frombuffer(C.unpack(code), np.int64)), np.frombuffer(C.unpack(n), np.int64)
+    n = _wide(n).astype(np.int64)
+    out = np.zeros(len(n), np.int64)
+    if len(n):
+        out[0] = np.frombuffer(code, np.int64, 1)[0]
+        np.cumsum(_wide(code[8:]), dtype=np.int64, out=out[1:])
+        out[1:] += out[0]
+    return out, n
 
 
 def _summed(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    code, at = np.unique(np.concatenate(codes), return_inverse=True)
-    return code, np.bincount(at, weights=np.concatenate(counts), minlength=len(code)).astype(np.int64)
+    if len(codes) == 1:
+        return codes[0], counts[0]
+    code = np.concatenate(codes)
+    order = np.argsort(code)
+    code = code[order]
+    first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]][: len(code)])
+    return code[first], np.add.reduceat(np.concatenate(counts)[order], first) if len(first) else np.zeros(0, np.int64)
 
 
 PAIRS = "part long, side int, code binary, n binary"
 
 
+def _neighbours(own: np.ndarray, pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Codes and counts of the pairs of symbols that stand together in the training texts."""
+    _, texts = _texts(pdf[pdf["train"]])
+    h, first = _tokens(texts)
+    words, code = _distinct(h)
+    seq = np.insert(_symbols(own, words)[code], first, len(own) + 1)  # an end before every text, and after the last
+    del h, code
+    return np.unique(seq[:-1].astype(np.int64) * (len(own) + 2) + seq[1:], return_counts=True)
+
+
 def _bigrams(names, parts: int):
     """Counts of neighbouring pairs of exchanged words (others are one symbol, the end another), sparse.
 
     Side 0 has what stands after each word, side 1 what stands before it; both are dealt by ranges of words. Pairs of
-    the two last symbols are on side 0.
+    the two last symbols are on side 0. Side 2 has of side 1 what side 0 lacks: the two last symbols before words.
     """
 
     def run(batches):
         own = names.value
         size = len(own) + 2
-        total = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        total = []
         for pdf in batches:
-            train, texts = _texts(pdf[pdf["train"]])
-            h, first = _tokens(texts)
-            seq = np.insert(_symbols(own, h), first, len(own) + 1)  # an end before every text, and after the last
-            code, n = np.unique(seq[:-1].astype(np.int64) * size + seq[1:], return_counts=True)
-            total = _summed([total[0], code], [total[1], n])
+            total = [_summed(*zip(*total, _neighbours(own, pdf)))]
         edges = _edges(len(own), parts) * size
         edges[-1] = size * size
-        code, n = total
-        left, right = code // size, code % size
+        code, n = total[0] if total else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        left = code // size
+        right = code - left * size
         turned = right * size + left
-        order = np.argsort(turned, kind="stable")
-        order = order[right[order] < len(own)]
+        order = np.argsort(turned)
+        order = order[: np.searchsorted(turned[order], len(own) * size)]
         fore = np.flatnonzero((left < len(own)) | (right >= len(own)))
+        rest = order[left[order] >= len(own)]
         rows = []
-        for side, (c, m) in enumerate(((code[fore], n[fore]), (turned[order], n[order]))):
+        for side, (c, m) in enumerate(((code[fore], n[fore]), (turned[order], n[order]), (turned[rest], n[rest]))):
             cuts = np.searchsorted(c, edges)
             rows += [(k, side, *_packed(c[i:j], m[i:j])) for k, (i, j) in enumerate(zip(cuts[:-1], cuts[1:])) if j > i]
         yield pd.DataFrame(rows, columns=["part", "side", "code", "n"])
@@ -148,23 +188,17 @@ def _edges(words: int, parts: int) -> np.ndarray:
     return np.arange(parts + 1, dtype=np.int64) * words // parts
 
 
-MERGED = "part long, fore binary, fore_n binary, back binary, back_n binary"
+SIDES = ["fore", "fore_n", "back", "back_n", "rest", "rest_n"]
+MERGED = ", ".join(["part long", *(f"{c} binary" for c in SIDES)])
 
 
 def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
     """All of one part as one row, so that every step of the exchange reads it without dealing it out again."""
     row = [int(pdf["part"].iloc[0])]
-    for side in (0, 1):
+    for side in (0, 1, 2):
         own = [_unpacked(c, n) for c, n, s in zip(pdf["code"], pdf["n"], pdf["side"]) if s == side]
         row += _packed(*(_summed(*map(list, zip(*own))) if own else (np.zeros(0, np.int64), np.zeros(0, np.int64))))
-    return pd.DataFrame([row], columns=["part", "fore", "fore_n", "back", "back_n"])
-
-
-def _sides(pdf: pd.DataFrame):
-    """(side, codes, counts) of all parts."""
-    for fore, fore_n, back, back_n in zip(pdf["fore"], pdf["fore_n"], pdf["back"], pdf["back_n"]):
-        yield 0, *_unpacked(fore, fore_n)
-        yield 1, *_unpacked(back, back_n)
+    return pd.DataFrame([row], columns=["part", *SIDES])
 
 
 def _table(pairs: DataFrame, of: np.ndarray, size: int) -> np.ndarray:
@@ -172,18 +206,21 @@ def _table(pairs: DataFrame, of: np.ndarray, size: int) -> np.ndarray:
     sent = pairs.sparkSession.sparkContext.broadcast(of)
 
     def run(batches):
-        of, full = sent.value, np.int64(len(sent.value))
+        of, full = sent.value.astype(np.int64), len(sent.value)
+        found = np.zeros(size * size)
         for pdf in batches:
-            for side, code, n in _sides(pdf):
-                a, b = code // full, code % full
-                if side:  # of the side before a word only what side 0 lacks: the two last symbols before words
-                    a, b, n = (x[b >= full - 2] for x in (b, a, n))
-                if len(n):
-                    cell, m = _summed([of[a].astype(np.int64) * size + of[b]], [n])
-                    yield pd.DataFrame({"cell": cell, "n": m})
+            for side in ("fore", "rest"):
+                for code, n in map(_unpacked, pdf[side], pdf[side + "_n"]):
+                    v = code // full
+                    a, b = v, code - v * full
+                    if side == "rest":
+                        a, b = b, a
+                    found += np.bincount(of[a] * size + of[b], weights=n, minlength=size * size)
+        cell = np.flatnonzero(found)
+        yield pd.DataFrame({"cell": cell, "n": found[cell].astype(np.int64)})
 
     out = np.zeros(size * size)
-    cells = pairs.mapInPandas(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    cells = pairs.select("fore", "fore_n", "rest", "rest_n").mapInPandas(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
     out[cells["cell"].to_numpy(np.int64)] = cells["n"].to_numpy()
     sent.unpersist()
     return out.reshape(size, size)
@@ -198,6 +235,12 @@ def likelihood(table: np.ndarray) -> float:
     return float(_xlogx(table).sum() - _xlogx(table.sum(0)).sum() - _xlogx(table.sum(1)).sum())
 
 
+def _alike(counts: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """The place of each (count, class) among the distinct ones, and these."""
+    place, found = pd.factorize(counts.astype(np.int64) * TOTAL + k)
+    return place, (found // TOTAL, found % TOTAL)
+
+
 def best_classes(of: np.ndarray, table: np.ndarray, after: np.ndarray, before: np.ndarray, selves: np.ndarray) -> np.ndarray:
     """The class of each word with which the likelihood is largest if all others stay as they are.
 
@@ -216,18 +259,21 @@ def best_classes(of: np.ndarray, table: np.ndarray, after: np.ndarray, before: n
                 continue
             v, k = w[at], j[at]
             add = x[v, k]
-            old, less = columns[k], logs[k]
+            # Words with the same count beside a class gain the same there: taken once for all of them.
+            same, (adds, ks) = _alike(add, k)
+            gains = (_xlogx(columns[ks] + adds[:, None]) - logs[ks])[same]
             # Only a word's own class, and all classes beside it, lack the word: elsewhere the logs are the table's.
             inside = np.flatnonzero(of[v] < CLASSES)
-            old[inside, of[v[inside]]] -= add[inside]
+            c = of[v[inside]]
+            old = columns[k[inside], c] - add[inside]
+            gains[inside, c] = _xlogx(old + add[inside]) - _xlogx(old)
             beside = np.flatnonzero(k == of[v])
-            old[beside] -= y[v[beside]][:, :CLASSES]
-            both = beside[of[v[beside]] < CLASSES]
-            old[both, of[v[both]]] -= selves[v[both]]
-            less[inside, of[v[inside]]] = _xlogx(old[inside, of[v[inside]]])
-            less[beside] = _xlogx(old[beside])
+            old = columns[k[beside]] - y[v[beside]][:, :CLASSES]
+            both = np.flatnonzero(of[v[beside]] < CLASSES)
+            old[both, of[v[beside[both]]]] -= add[beside[both]] + selves[v[beside[both]]]
+            gains[beside] = _xlogx(old + add[beside][:, None]) - _xlogx(old)
             starts = np.flatnonzero(np.diff(v, prepend=-1))  # rows of a word are neighbours
-            gain[v[starts]] += np.add.reduceat(_xlogx(old + add[:, None]) - less, starts)
+            gain[v[starts]] += np.add.reduceat(gains, starts)
     own = np.arange(len(of))
     stays = d == of[:, None]
     right, left = after[:, :CLASSES], before[:, :CLASSES]
@@ -255,21 +301,24 @@ def _moves(pairs: DataFrame, of: np.ndarray, table: np.ndarray, parts: int, movi
         for pdf in batches:
             for part, row in zip(pdf["part"].tolist(), range(len(pdf))):
                 a, b = int(edges[part]), int(edges[part + 1])
-                found = np.zeros((2, b - a, TOTAL))
-                selves = np.zeros(b - a)
-                for side, code, n in _sides(pdf.iloc[row : row + 1]):
-                    v, x = code // full, code % full
-                    if side == 0:
-                        same = v == x
-                        selves[v[same & (v < words)] - a] = n[same & (v < words)]
-                    use = moving[v] & (v < b) & (v != x)
-                    found[side] = np.bincount((v[use] - a) * TOTAL + of[x[use]], weights=n[use], minlength=(b - a) * TOTAL).reshape(b - a, TOTAL)
-                best, go = of[a:b].copy(), np.flatnonzero(moving[a:b])
-                best[go] = best_classes(of[a:b][go].astype(np.int64), table, found[0][go], found[1][go], selves[go]).astype(np.uint8)
+                best, own = of[a:b].copy(), moving[a:b]
+                go = np.flatnonzero(own)
+                found, selves = [], np.zeros(len(go))
+                for side in ("fore", "back"):
+                    code, n = _unpacked(pdf[side].iloc[row], pdf[side + "_n"].iloc[row])
+                    each = np.diff(np.searchsorted(code, np.arange(a, b + 1) * full))  # pairs of each word
+                    use = np.flatnonzero(np.repeat(own, each))
+                    v = np.repeat(np.arange(len(go)), each[go])
+                    x, n = code[use] - (go[v] + a) * full, n[use]
+                    same = np.flatnonzero(x == go[v] + a)
+                    selves[v[same]] = n[same]
+                    n[same] = 0
+                    found.append(np.bincount(v * TOTAL + of[x], weights=n, minlength=len(go) * TOTAL).reshape(-1, TOTAL))
+                best[go] = best_classes(of[a:b][go].astype(np.int64), table, *found, selves).astype(np.uint8)
                 yield pd.DataFrame({"part": [part], "best": [best.tobytes()]})
 
     out = of.copy()
-    for r in pairs.mapInPandas(run, "part long, best binary").collect():
+    for r in pairs.select("part", "fore", "fore_n", "back", "back_n").mapInPandas(run, "part long, best binary").collect():
         out[edges[r["part"]] : edges[r["part"] + 1]] = np.frombuffer(r["best"], np.uint8)
     sent.unpersist()
     return out
@@ -393,7 +442,7 @@ def _contexts(names, classes):
             return pd.DataFrame(columns=columns)
         train, texts = _texts(docs)
         h, first = _tokens(texts)
-        words, code = np.unique(h, return_inverse=True)
+        words, code = _distinct(h)
         parts, totals, sizes = _answers(answers)
         kind = np.append(classes.value[:-2], UNSEEN)[_symbols(names.value, words)].astype(np.uint8)
         rare = _rare(totals)
@@ -423,7 +472,7 @@ def _place(table):
         words = [np.frombuffer(x, np.uint64) for x in pdf["words"]]
         times = np.concatenate([np.frombuffer(C.unpack(x), np.uint8) for x in pdf["times"]])
         around = np.concatenate([np.frombuffer(C.unpack(x), np.uint8).reshape(-1, 2) for x in pdf["around"]])
-        every, code = np.unique(np.concatenate(words), return_inverse=True)
+        every, code = _distinct(np.concatenate(words))
         t = table.value + ADD
         logs = np.log(t)
         rows, cols = np.log(t.sum(1)), np.log(t.sum(0))
@@ -444,6 +493,22 @@ def _classes(symbols: np.ndarray, counts: np.ndarray, exchanged: np.ndarray, pla
     return np.where(counts > 0, known, UNSEEN).astype(np.int64)
 
 
+def _transitions(seq: np.ndarray, first: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The distinct pairs of neighbouring classes of every document, and how often each comes; sorted some at a time."""
+    cells = TOTAL * TOTAL
+    codes, times = [], []
+    for own in np.array_split(np.arange(len(first) - 1), -(-int(first[-1]) // 200_000) or 1):  # bounded memory
+        if len(own):
+            at = first[own[0] : own[-1] + 2]
+            line = np.insert(seq[at[0] : at[-1]], at - at[0], END).astype(np.int64)
+            of = np.repeat(np.arange(len(own)) * cells, np.diff(at) + 1)  # one pair more than it has words
+            pairs, n = np.unique(of + line[:-1] * TOTAL + line[1:], return_counts=True)
+            cuts = np.searchsorted(pairs, np.arange(1, len(own)) * cells)
+            codes += np.split((pairs % cells).astype(np.int32), cuts)
+            times += np.split(n.astype(np.int32), cuts)
+    return codes, times
+
+
 def _reduce(names, classes):
     def run(docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         columns = ["doc_id", "no_id", "train", "n_tokens", "n_known", "log_counts", "codes", "times", "kinds", "masses", "moves"]
@@ -451,7 +516,8 @@ def _reduce(names, classes):
             return pd.DataFrame(columns=columns)
         train, texts = _texts(docs)
         h, first = _tokens(texts)
-        words, code = np.unique(h, return_inverse=True)
+        words, code = _distinct(h)
+        del h
         parts, totals, sizes = _answers(answers)
         new = np.concatenate([np.unpackbits(np.frombuffer(C.unpack(x), np.uint8))[:n] for x, n in zip(parts["new"], sizes)]).astype(bool) if len(sizes) else np.zeros(0, bool)
         placed = np.zeros(len(words), np.uint8)
@@ -466,22 +532,17 @@ def _reduce(names, classes):
         masses = np.bincount(kind[first_named], weights=totals[first_named], minlength=TOTAL).astype(np.int64)
         # Class transitions of the block's training texts, each word counted as if its own occurrence were not there:
         # what is seen once teaches how often unseen words come.
-        line = np.insert(left_out[code], first, END)
+        line = np.insert(left_out.astype(np.uint8)[code], first, END).astype(np.int32)
         inside = np.insert(np.repeat(train, np.diff(first)), first, np.append(train, False))
         inside = inside[:-1]  # a pair belongs to the text that its first symbol, or the end before it, opens
         moves = np.bincount((line[:-1] * TOTAL + line[1:])[inside], minlength=TOTAL * TOTAL)
+        del line, inside
         logs = np.log10(totals + ADD)[code]
-        seq = kind[code]
-        known = (totals > 0)[code]
-        rows = []
-        for i, (doc, none) in enumerate(zip(docs["doc_id"], docs["no_id"])):
-            a, b = first[i], first[i + 1]
-            line = np.empty(b - a + 2, np.int64)
-            line[0] = line[-1] = END
-            line[1:-1] = seq[a:b]
-            pairs, times = np.unique(line[:-1] * TOTAL + line[1:], return_counts=True)
-            rows.append((doc, none, bool(train[i]), int(b - a) + 1, int(known[a:b].sum()), float(logs[a:b].sum()), pairs.astype(np.int32), times.astype(np.int32), *((kinds, masses, moves) if i == 0 else (None, None, None))))
-        return pd.DataFrame(rows, columns=columns)
+        known = np.append(0, np.cumsum((totals > 0)[code]))[first]
+        none = [None] * (len(docs) - 1)
+        found = (docs["doc_id"].to_numpy(), docs["no_id"].to_numpy(), train, np.diff(first) + 1, np.diff(known), [float(logs[a:b].sum()) for a, b in zip(first[:-1], first[1:])])
+        found += *_transitions(kind.astype(np.uint8)[code], first), [kinds, *none], [masses, *none], [moves, *none]
+        return pd.DataFrame(dict(zip(columns, found)))
 
     return run
 

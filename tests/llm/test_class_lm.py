@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from recordloom.llm import class_lm as L
@@ -223,3 +224,51 @@ def test_logs_of_the_table_are_taken_once(monkeypatch):
     monkeypatch.setattr(L, "_xlogx", lambda x: taken.append(np.size(x)) or real(x))
     L.best_classes(of, table, after, before, np.ones(200))
     assert sum(taken) < 1.3 * 2 * 200 * L.TOTAL * L.CLASSES
+
+
+def test_words_with_the_same_count_beside_a_class_share_its_logs(monkeypatch):
+    rng = np.random.default_rng(3)
+    of, table = rng.integers(0, L.CLASSES, 200), rng.integers(1000, 9000, (L.TOTAL, L.TOTAL)).astype(float)
+    after, before = rng.integers(1, 4, (2, 200, L.TOTAL)).astype(float)
+    taken, real = [], L._xlogx
+    monkeypatch.setattr(L, "_xlogx", lambda x: taken.append(np.size(x)) or real(x))
+    L.best_classes(of, table, after, before, np.ones(200))
+    assert sum(taken) < 0.2 * 2 * 200 * L.TOTAL * L.CLASSES
+
+
+def test_pairs_are_packed_in_few_bytes_and_read_back_exactly():
+    rng = np.random.default_rng(4)
+    for first, gap, most in ((0, 200, 200), (1 << 40, 60_000, 3), (7, 1 << 34, 1 << 40)):
+        code = first + np.cumsum(rng.integers(1, gap, 1000))
+        n = rng.integers(1, most, 1000)
+        packed = L._packed(code, n)
+        assert all((a == b).all() and a.dtype == np.int64 for a, b in zip(L._unpacked(*packed), (code, n)))
+        assert len(L._wide(packed[0][8:])) == 999 and len(L._wide(packed[1])) == 1000
+        assert L._wide(packed[0][8:]).itemsize == np.min_scalar_type(gap - 1).itemsize
+        assert L._wide(packed[1]).itemsize == np.min_scalar_type(most - 1).itemsize
+    for k in (0, 1):
+        assert [x.tolist() for x in L._unpacked(*L._packed(np.arange(5, 5 + k), np.arange(9, 9 + k)))] == [[5][:k], [9][:k]]
+
+
+def test_distinct_words_are_sorted_and_found():
+    h = np.random.default_rng(5).integers(0, 50, 1000).astype(np.uint64) << np.uint64(58)
+    for x in (h, h[:1], h[:0]):
+        assert all((a == b).all() and a.dtype == b.dtype for a, b in zip(L._distinct(x), np.unique(x, return_inverse=True)))
+
+
+def test_the_table_of_classes_reads_no_pair_twice(spark):
+    """The side before the words lists pairs again: of it the table takes only the two last symbols before words."""
+    texts = ["a b a c", "z a", "b c", ""]
+    names, _ = L._distinct(L._tokens([b"a b c"])[0])
+
+    class Sent:
+        value = names
+
+    rows = pd.concat(L._bigrams(Sent, 2)(iter([pd.DataFrame({"text": texts, "train": True})])))
+    merged = spark.createDataFrame(pd.concat(map(lambda g: L._merge(g[1]), rows.groupby("part"))), L.MERGED)
+    sides = [c for c in merged.columns if not c.startswith("back")]
+    of = np.arange(5, dtype=np.uint8)
+    line = [4, *(x for t in texts for x in [*L._symbols(names, L._tokens([t.encode()])[0]).tolist(), 4])]
+    want = np.zeros((5, 5))
+    np.add.at(want, (line[:-1], line[1:]), 1)
+    assert (L._table(merged.select(*sides), of, 5) == want).all()
